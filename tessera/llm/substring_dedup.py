@@ -11,9 +11,10 @@ Factors reach ``window`` words at least, and as every window start is looked
 up, none is missed where one factor ends and another begins. The words under
 factors are the duplicate spans.
 
-Skew: an anchor with over ``hot`` occurrences is resolved by aggregating its
-windows (partial sums before the shuffle) and a join that adaptive execution
-can split; no task gathers such a group.
+Skew: the blocks of an anchor with over ``hot`` occurrences are first reduced
+to different ones (partial sums before the shuffle), whose windows are then
+aggregated; a join that adaptive execution can split brings the result back.
+No task gathers such a group.
 """
 
 from __future__ import annotations
@@ -204,12 +205,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_factors, "_k1 long, _k2 long, at int, n int, ref long, ref_at int")
     )
-    each = blocks.filter("hot").select("anchor", *key, "at", F.posexplode("windows").alias("_i", "_w")).select("anchor", "_w", *key, (F.col("at") + F.col("_i")).alias("at"))
-    where = F.struct("_k1", "_k2", "at")
-    seen = each.groupBy("anchor", "_w").agg(F.count("*").alias("_n"), F.min(where).alias("_lo"), F.max(where).alias("_hi")).filter("_n > 1")
-    other = F.when(F.col("_lo") == where, F.col("_hi")).otherwise(F.col("_lo"))
-    lots = each.join(seen, ["anchor", "_w"]).select(*key, "at", F.lit(1).alias("n"), other["_k1"].alias("ref"), other["at"].alias("ref_at"))
-    found = few.unionByName(lots).groupBy(*key).agg(F.collect_list(F.struct("at", "n", "ref", "ref_at")).alias("_f"))
+    # A crowded anchor: equal blocks are one, and only windows of different blocks meet.
+    crowd = blocks.filter("hot").withColumn("_d", F.xxhash64("windows"))
+    here = F.struct("_k1", "_k2", "at")
+    kinds = crowd.groupBy("anchor", "_d").agg(F.count("*").alias("_n"), F.min(here).alias("_lo"), F.max(here).alias("_hi"), F.first("windows").alias("windows"))
+    each = kinds.select("anchor", "_d", "_n", "_lo", "_hi", F.posexplode("windows").alias("_i", "_w"))
+    moved = lambda s: F.struct(s["_k1"].alias("_k1"), s["_k2"].alias("_k2"), (s["at"] + F.col("_i")).alias("at"))
+    seen = each.groupBy("anchor", "_w").agg(F.sum("_n").alias("_m"), F.min(moved(F.col("_lo"))).alias("_first"), F.max(moved(F.col("_hi"))).alias("_last")).filter("_m > 1")
+    solved = each.select("anchor", "_d", "_i", "_w").join(seen, ["anchor", "_w"]).groupBy("anchor", "_d").agg(F.collect_list(F.struct("_i", "_first", "_last")).alias("_s"))
+
+    def factor(x):
+        at = F.col("at") + x["_i"]
+        own = (x["_first"]["_k1"] == F.col("_k1")) & (x["_first"]["_k2"] == F.col("_k2")) & (x["_first"]["at"] == at)
+        return F.struct(at.alias("at"), F.lit(1).alias("n"), F.when(own, x["_last"]["_k1"]).otherwise(x["_first"]["_k1"]).alias("ref"), F.when(own, x["_last"]["at"]).otherwise(x["_first"]["at"]).alias("ref_at"))
+
+    lots = crowd.select("anchor", "_d", *key, "at").join(solved, ["anchor", "_d"]).select(*key, F.transform("_s", factor).alias("_a"))
+    alone = few.select(*key, F.array(F.struct("at", "n", "ref", "ref_at")).alias("_a"))
+    found = alone.unionByName(lots).groupBy(*key).agg(F.flatten(F.collect_list("_a")).alias("_f"))
 
     rest = base.schema["_rest"].dataType
     order = docs.columns
