@@ -46,14 +46,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a run of texts: byte bounds, 64-bit hashes, first word of each text."""
+    """Words of a run of texts: byte bounds, 64-bit hashes, first word of each text.
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    cuts: bytes before which a word ends, whether or not white space is there.
+    """
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None):
         n = len(buf)
         self.buf, self.offs, self.n_docs = buf, offs, len(offs) - 1
         inside = ~_WS[buf]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
+        if cuts is not None:
+            edge[:n] |= cuts
         first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[1:n]
         last = inside.copy()
