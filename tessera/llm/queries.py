@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as _decontaminate
+from . import media as _media
 from . import packing as _packing
 from . import simhash as _simhash
 from . import substring_dedup as _substring
+from . import warc as _warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +45,32 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_packing.pieces(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The archives' round trip must give what the pages say.
+ORACLE["op6_warc_transactions"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS lo FROM p)
+SELECT page_id, size AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN size >= 100 AND page_id <> lo THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 100 AND page_id <> lo THEN lo END AS refers_to
+FROM f
+"""
+
+
+@_query
+def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _media.media_features(_media.encode_media(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    digest = F.concat(F.size("fingerprint").cast("string"), F.lit(":"), F.sha2(F.array_join("fingerprint", ","), 256))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
