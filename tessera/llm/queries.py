@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import media as _media
 from . import packing as _packing
+from . import quality as _quality
 from . import simhash as _simhash
 from . import substring_dedup as _substring
+from . import toxicity as _toxicity
 from . import warc as _warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,13 @@ def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _media.media_features(_media.encode_media(_table(spark, sf_dir, "documents"), "doc_id", "text"))
     digest = F.concat(F.size("fingerprint").cast("string"), F.lit(":"), F.sha2(F.array_join("fingerprint", ","), 256))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
