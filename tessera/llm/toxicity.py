@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import textops as tx
 from .labelled import fit_logistic, fold, labelled_sample, sigmoid
 
-SAMPLE, MOST, SHORTEST, LONGEST, CHANCE = 6000, 20_000, 3, 7, 1e-3
+SAMPLE, MOST, SHORTEST, LONGEST, CHANCE, RATIO = 6000, 20_000, 4, 8, 1e-3, 2.0
 HELD_MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 NEGATED_FOR, THREAT_REACH = 2, 4
 #: Fixed lexicons.
@@ -43,7 +43,7 @@ TARGETS = {"you", "your", "yours", "u", "they", "them", "he", "she", "du", "dich
 NEGATIONS = {"not", "never", "isn't", "aren't", "wasn't", "don't", "kein", "keine", "niemals", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "quoted", "quotes", "reported", "wrote", "called", "sagte", "schrieb", "disait", "écrivait", "dijo", "escribió"}
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-READINGS = 6
+READINGS = 7
 
 
 def normal(word: bytes) -> str:
@@ -59,7 +59,7 @@ def normal(word: bytes) -> str:
 
 def entries(word: str) -> list[str]:
     """Automaton entries that a word reaches: its proper prefixes (marked by a star) and itself."""
-    return [f"{word[:k]}*" for k in range(SHORTEST, min(LONGEST, len(word) - 1) + 1)] + ([word] if len(word) >= SHORTEST and len(word) <= 24 else [])
+    return [f"{word[:k]}*" for k in range(SHORTEST, min(LONGEST, len(word) - 1) + 1)] + ([word] if 3 <= len(word) <= 24 else [])
 
 
 def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
@@ -76,7 +76,7 @@ def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) ->
         p = t / n  # Chernoff bound on so many toxic ones among n by chance
         kl = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
         weight = math.log((t + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
-        if -n * kl < limit and weight > 2:
+        if -n * kl < limit and weight > RATIO:
             out[e] = weight
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MOST])
 
@@ -93,7 +93,7 @@ def symbol(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
 
 def read_clause(symbols: list[int], weights: list[float]) -> np.ndarray:
     """Weights that the composed transducers emit for a clause, by reading."""
-    out = np.zeros(READINGS)
+    out = np.zeros(6)
     negated, reported, targets, threats = 0, False, [], []
     aimed = TARGET in symbols
     for i, s in enumerate(symbols):
@@ -154,6 +154,7 @@ class Grammar:
             d = doc[lo]
             out[d, :5] += made[:5]
             out[d, 5] = max(out[d, 5], made[5])
+        out[:, 6] = out[:, :4].sum(axis=1) / np.sqrt(np.maximum(words.counts(), 1))
         out[:, :5] = np.log1p(out[:, :5])
         return out
 
