@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import language_model as _lm
 from . import media as _media
 from . import packing as _packing
 from . import quality as _quality
@@ -86,3 +87,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score(_table(spark, sf_dir, "documents"))
