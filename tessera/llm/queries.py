@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import language_model as _lm
+from . import licenses as _licenses
 from . import media as _media
 from . import packing as _packing
 from . import quality as _quality
@@ -92,3 +93,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return _licenses.license_scan(_table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
+ORACLE["op10_license_scan"] = _licenses.oracle()
