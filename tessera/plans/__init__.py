@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import timeseries
+from . import relational, timeseries
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "win_trend_states"
