@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, timeseries
+from . import aggregate, relational, timeseries
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "win_trend_states"
