@@ -139,7 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 cols = np.array(made, np.int64).reshape(-1, 6)
                 yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), pa.array(bench.ids[cols[:, 1]] if len(cols) else [], pa.int64()), *(pa.array(cols[:, k].astype(np.int32)) for k in (2, 3, 4, 5))], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
 
-        each = own.mapInArrow(run, schema)
+        each = own.mapInArrow(tx.tidied(run), schema)
         out = each if out is None else out.unionByName(each)
     return out
 

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textops as tx
+
 RATE, FRAME, HOP, PEAKS, FAN, REACH, PAD, RUN = 8000, 256, 128, 3, 3, 31, 64, 4096
 _WINDOW = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
@@ -104,7 +106,7 @@ def encode_media(rows: DataFrame, id_col: str, payload: str, media_col: str = "m
 
     own = rows.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{payload}`").cast("binary").alias("_p"))
     schema = T.StructType([own.schema[0], T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tx.tidied(run), schema)
 
 
 def media_features(rows: DataFrame, media_col: str = "media") -> DataFrame:
@@ -143,4 +145,4 @@ def media_features(rows: DataFrame, media_col: str = "media") -> DataFrame:
                 names=schema.fieldNames(),
             )
 
-    return rows.select(*keep, media_col).mapInArrow(run, schema)
+    return rows.select(*keep, media_col).mapInArrow(tx.tidied(run), schema)

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as tx
 from .tokens import default_path, encode_column
 
 CAPACITY, END, EFFORT, SHARD = 2048, 0, 20_000, 500_000
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             )
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own.mapInArrow(tx.tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def bound(counts: np.ndarray, capacity: int) -> int:
@@ -236,4 +237,4 @@ def pack(made: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT, shard:
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
     deal = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    return made.withColumn("_d", deal).repartition("_d").sortWithinPartitions("_d").drop("_d").mapInArrow(run, f"{types}, sequence_id long, offset long")
+    return made.withColumn("_d", deal).repartition("_d").sortWithinPartitions("_d").drop("_d").mapInArrow(tx.tidied(run), f"{types}, sequence_id long, offset long")

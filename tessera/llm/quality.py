@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
                 rows.append(chunks_of(own, starts, np.full(len(starts), len(own))).tobytes())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    rows = labelled_sample(docs, labels, label, HELD_MODULUS, HELD_OUT, sample, id_col, text_col).mapInArrow(views, "id long, y int, x binary")
+    rows = labelled_sample(docs, labels, label, HELD_MODULUS, HELD_OUT, sample, id_col, text_col).mapInArrow(tx.tidied(views), "id long, y int, x binary")
     t = rows.toArrow().sort_by([("id", "ascending"), ("x", "ascending")])  # at most 2 * sample * VIEWS * CHUNK bytes
     return train([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in t["x"].to_pylist()], t["y"].to_numpy())
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [score_texts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sent.value) for lo, hi in tx.doc_runs(offs)]
             yield pa.record_batch([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, "_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tx.tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

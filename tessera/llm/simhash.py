@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(text_fingerprints(b.column(1), shingle).view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(tx.tidied(run), "id long, fp long")
 
 
 def pivot_table(fp: np.ndarray, pivots: int) -> np.ndarray:
@@ -164,7 +164,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, pivots: int = PIVOTS, crowd:
         if rows:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tx.tidied(run), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -107,7 +107,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             )
 
 
-def _factors(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _factors(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Batches sorted by anchor -> runs of windows that also start elsewhere, with where."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -192,18 +192,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = _keyed(docs, id_col, text_col)
     plain = base.select("_k1", "_k2", "_text")
     key = ["_k1", "_k2"]
-    anchors = plain.mapInArrow(lambda it: _anchors(it, window, gram), "anchor long, _k1 long, _k2 long, n int")
+    anchors = plain.mapInArrow(tx.tidied(lambda it: _anchors(it, window, gram)), "anchor long, _k1 long, _k2 long, n int")
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("_n")).filter("_n > 1").select("anchor", (F.col("_n") > hot).alias("_hot"))
     flags = (
         anchors.select("anchor", *key).join(repeated, "anchor").groupBy(*key)
         .agg(F.collect_list(F.when(~F.col("_hot"), F.col("anchor"))).alias("warm"), F.collect_list(F.when(F.col("_hot"), F.col("anchor"))).alias("hot"))
     )
     blocks = base.join(flags, key).select(*key, "_text", "warm", "hot").mapInArrow(
-        lambda it: _blocks(it, window, gram), "anchor long, _k1 long, _k2 long, at int, hot boolean, windows array<long>"
+        tx.tidied(lambda it: _blocks(it, window, gram)), "anchor long, _k1 long, _k2 long, at int, hot boolean, windows array<long>"
     )
     few = (
         blocks.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_factors, "_k1 long, _k2 long, at int, n int, ref long, ref_at int")
+        .mapInArrow(tx.tidied(_factors), "_k1 long, _k2 long, at int, n int, ref long, ref_at int")
     )
     # A crowded anchor: equal blocks are one, and only windows of different blocks meet.
     crowd = blocks.filter("hot").withColumn("_d", F.xxhash64("windows"))
@@ -262,4 +262,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, made_type)]
             yield pa.record_batch([*(cols[c] for c in order), *extra], names=schema.fieldNames())
 
-    return base.join(found, key, "left").select("_text", "_f", "_rest").mapInArrow(finish, schema)
+    return base.join(found, key, "left").select("_text", "_f", "_rest").mapInArrow(tx.tidied(finish), schema)

@@ -6,14 +6,16 @@ is a maximal run of bytes other than 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are handled in runs of about this many bytes, which bounds memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,7 +30,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n."""
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 18))
+        size = max(n + (n >> 3), 1 << 17)
         up = np.full(size, base, U64)
         down = np.full(size, pow(base, -1, 2**64), U64)
         up[0] = down[0] = 1
@@ -45,6 +47,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def tidied(run: Callable) -> Callable:
+    """A batch function that gives the memory of its worker back when its task ends; workers live on."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return go
+
+
 class Words:
     """Words of a run of texts: byte bounds, 64-bit hashes, first word of each text.
 

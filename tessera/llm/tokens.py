@@ -34,7 +34,7 @@ def default_path() -> str:
 class PieceCache:
     """Ids of pieces by 64-bit hash; emptied when it holds too many."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +84,7 @@ def encode_column(col: pa.Array, path: str):
     if cache is None:
         cache = _known[path] = PieceCache(path)
     buf, offs = tx.string_buffers(col)
-    for lo, hi in tx.doc_runs(offs, 1 << 22):
+    for lo, hi in tx.doc_runs(offs, 1 << 21):
         own, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         if b"<|" in own.tobytes():
             words = tx.Words(own, o)

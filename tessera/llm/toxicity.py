@@ -44,6 +44,7 @@ NEGATIONS = {"not", "never", "isn't", "aren't", "wasn't", "don't", "kein", "kein
 REPORTS = {"said", "says", "quoted", "quotes", "reported", "wrote", "called", "sagte", "schrieb", "disait", "écrivait", "dijo", "escribió"}
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 READINGS = 7
+_NOTHING = (OTHER, 0.0)
 
 
 def normal(word: bytes) -> str:
@@ -88,7 +89,7 @@ def symbol(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
     for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
         if word in words:
             return kind, 0.0
-    return OTHER, 0.0
+    return _NOTHING
 
 
 def read_clause(symbols: list[int], weights: list[float]) -> np.ndarray:
@@ -125,7 +126,7 @@ class Grammar:
         if not words.n:
             return out
         u, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         raw = buf.tobytes()
         kind = np.zeros(len(u), np.int8)
@@ -178,7 +179,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and logistic weights from labelled rows outside the held-out fold."""
     rows = labelled_sample(docs, labels, label, HELD_MODULUS, HELD_OUT, sample, id_col, text_col)
-    made = rows.mapInArrow(_counts, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    made = rows.mapInArrow(tx.tidied(_counts), "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     total = made.filter("entry = ''").first()
     toxic, other = (total.toxic, total.other) if total else (0, 0)
     if not toxic or not other:
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             x = np.concatenate([np.zeros((0, READINGS)), *(grammar.describe(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in tx.doc_runs(offs))])
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x[:, k]) for k in range(READINGS))], names=["id", "y", *(f"x{k}" for k in range(READINGS))])
 
-    t = rows.mapInArrow(run, "id long, y int, " + ", ".join(f"x{k} double" for k in range(READINGS))).toPandas().sort_values(["id", "x0", "x5"])
+    t = rows.mapInArrow(tx.tidied(run), "id long, y int, " + ", ".join(f"x{k} double" for k in range(READINGS))).toPandas().sort_values(["id", "x0", "x5"])
     return lexicon, fit_logistic(t[[f"x{k}" for k in range(READINGS)]].to_numpy(), t["y"].to_numpy())
 
 
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: s
             x = np.concatenate([np.zeros((0, READINGS)), *(grammar.describe(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in tx.doc_runs(offs))])
             yield pa.record_batch([*b.columns, pa.array(sigmoid(x @ w[:-1] + w[-1]))], names=[*b.schema.names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(tx.tidied(run), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as tx
 from .cluster import shared_dir
 
 LEAST, DATE = 100, "2024-01-01T00:00:00Z"
@@ -130,7 +131,7 @@ def read_warc(spark, path: str, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tx.tidied(run), _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
