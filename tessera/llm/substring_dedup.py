@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import textops as tx
 
 U64 = np.uint64
-WINDOW, GRAM, HOT = 35, 8, 512
+WINDOW, GRAM, HOT, PIECE = 35, 8, 512, 8
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +80,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """One row per run of windows that share an anchor known to repeat."""
+    """One row per run of windows that share an anchor known to repeat; with n over zero, runs that the text repeats itself."""
+    names = ["anchor", "_k1", "_k2", "at", "hot", "windows", "n", "ref_at"]
     for b in batches:
         k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
         warm, hot = b.column(3), b.column(4)
@@ -97,14 +98,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             if not len(keep):
                 continue
             doc = words.doc_of_word()[keep]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(keep) != 1) | (least[keep][1:] != least[keep][:-1]) | (doc[1:] != doc[:-1])]))
-            n = np.diff(np.append(new, len(keep)))
             wide = tx.ngram_hashes(h, window)[keep]
-            rows, a = doc[new] + lo, least[keep][new]
-            yield pa.record_batch(
-                [pa.array(a.view(np.int64)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array((keep[new] - words.first_word[doc[new]]).astype(np.int32)), pa.array(np.isin(a, heat)), tx.lists(pa.array(wide.view(np.int64)), n)],
-                names=["anchor", "_k1", "_k2", "at", "hot", "windows"],
-            )
+            pos = keep - words.first_word[doc]
+            # A window that its own text repeats is settled here; the index gets it once.
+            order = np.lexsort((pos, wide, doc))
+            fresh = np.concatenate([[True], (wide[order][1:] != wide[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+            size = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+            group = np.cumsum(fresh) - 1
+            first = order[np.flatnonzero(fresh)][group]
+            second = order[np.minimum(np.flatnonzero(fresh) + 1, len(order) - 1)][group]
+            twice = np.zeros(len(keep), bool)
+            target, once = np.empty(len(keep), np.int64), np.zeros(len(keep), bool)
+            twice[order] = size[group] > 1
+            target[order] = np.where(order == first, second, first)
+            once[order] = fresh
+            i = np.flatnonzero(twice)
+            if len(i):
+                t = pos[target[i]]
+                edge = np.flatnonzero(np.concatenate([[True], (np.diff(keep[i]) != 1) | (doc[i][1:] != doc[i][:-1]) | (np.diff(t) != 1)]))
+                rows = doc[i][edge] + lo
+                none = np.zeros(len(edge), np.int64)
+                yield pa.record_batch(
+                    [pa.array(none), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(pos[i][edge].astype(np.int32)), pa.array(none > 0), tx.lists(pa.array(none[:0]), none), pa.array(np.diff(np.append(edge, len(i))).astype(np.int32)), pa.array(t[edge].astype(np.int32))],
+                    names=names,
+                )
+            keep, doc, wide, pos = keep[once], doc[once], wide[once], pos[once]
+            own = least[keep]
+            # Crowded blocks are cut where their content says so: what documents share falls into equal pieces.
+            cut = np.isin(own, heat) & (wide % U64(PIECE) == 0)
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(keep) != 1) | (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | cut[1:]]))
+            n = np.diff(np.append(new, len(keep)))
+            rows, a = doc[new] + lo, own[new]
+            zero = pa.array(np.zeros(len(new), np.int32))
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(pos[new].astype(np.int32)), pa.array(np.isin(a, heat)), tx.lists(pa.array(wide.view(np.int64)), n), zero, zero], names=names)
 
 
 def _factors(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -199,14 +225,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.when(~F.col("_hot"), F.col("anchor"))).alias("warm"), F.collect_list(F.when(F.col("_hot"), F.col("anchor"))).alias("hot"))
     )
     blocks = base.join(flags, key).select(*key, "_text", "warm", "hot").mapInArrow(
-        tx.tidied(lambda it: _blocks(it, window, gram)), "anchor long, _k1 long, _k2 long, at int, hot boolean, windows array<long>"
+        tx.tidied(lambda it: _blocks(it, window, gram)), "anchor long, _k1 long, _k2 long, at int, hot boolean, windows array<long>, n int, ref_at int"
     )
     few = (
-        blocks.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
+        blocks.filter("not hot and n = 0").select("anchor", *key, "at", "hot", "windows").repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(tx.tidied(_factors), "_k1 long, _k2 long, at int, n int, ref long, ref_at int")
     )
     # A crowded anchor: equal blocks are one, and only windows of different blocks meet.
-    crowd = blocks.filter("hot").withColumn("_d", F.xxhash64("windows"))
+    crowd = blocks.filter("hot").select("anchor", *key, "at", "windows").withColumn("_d", F.xxhash64("windows"))
     here = F.struct("_k1", "_k2", "at")
     kinds = crowd.groupBy("anchor", "_d").agg(F.count("*").alias("_n"), F.min(here).alias("_lo"), F.max(here).alias("_hi"), F.first("windows").alias("windows"))
     each = kinds.select("anchor", "_d", "_n", "_lo", "_hi", F.posexplode("windows").alias("_i", "_w"))
@@ -221,7 +247,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     lots = crowd.select("anchor", "_d", *key, "at").join(solved, ["anchor", "_d"]).select(*key, F.transform("_s", factor).alias("_a"))
     alone = few.select(*key, F.array(F.struct("at", "n", "ref", "ref_at")).alias("_a"))
-    found = alone.unionByName(lots).groupBy(*key).agg(F.flatten(F.collect_list("_a")).alias("_f"))
+    inside = blocks.filter("n > 0").select(*key, F.array(F.struct("at", "n", F.col("_k1").alias("ref"), "ref_at")).alias("_a"))
+    found = alone.unionByName(lots).unionByName(inside).groupBy(*key).agg(F.flatten(F.collect_list("_a")).alias("_f"))
 
     rest = base.schema["_rest"].dataType
     order = docs.columns
