@@ -4,8 +4,8 @@ A seed is a fixed mask over a run of words; the words under its zeros are
 ignored, so a hash survives substitutions there. Hashes of all benchmark
 positions are looked up from every position of every document. A hit fixes a
 diagonal (document position minus item position), along which the words are
-compared: the best segment scores 1 for each equal word and -4 for each other,
-so a positive segment has over 80 % equal words. Segments of ``least`` words
+compared: the best segment scores 1 for each equal word and -3 for each other,
+so a positive segment has over 75 % equal words. Segments of ``least`` words
 or more (or the whole of a shorter item) are overlaps.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, so
@@ -100,7 +100,7 @@ class Bench:
             a, b = self.first[item], self.first[item + 1]
             lo, hi = max(shift, words.first_word[d]), min(shift + b - a, words.first_word[d + 1])
             same = h[lo:hi] == self.h[a + lo - shift : a + hi - shift]
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
             gain = total - np.minimum.accumulate(total)
             end = int(np.argmax(gain))
             start = int(np.argmin(total[: end + 1]))
