@@ -56,9 +56,10 @@ _SHD = "sh AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3),
 
 
 def doc_sets(spark, d):
+    """Five-word shingles as 64-bit hashes: no shingle string is ever built or shuffled."""
     w = F.split(F.trim("text"), "[ \t\n\r]+")
     x = table(spark, d, "documents").select("doc_id", w.alias("w")).filter(F.size("w") >= 5)
-    return x.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).alias("s"))
+    return x.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(5))))).alias("s"))
 
 
 @query("joi16_near_duplicates", f"WITH {_SHD}, e AS (SELECT doc_id, unnest(s) AS h, len(s) AS n FROM sh), f AS (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1), x AS (SELECT e.* FROM e JOIN f USING (h)), p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT l AS \"left\", r AS \"right\", round(c / (na + nb - c), 6) AS similarity FROM p WHERE c / (na + nb - c) >= 0.8")
