@@ -1,40 +1,57 @@
 """Packing of documents into token sequences by bin completion branch-and-bound.
 
 Documents are tokenised, closed by an end id and, only if longer than a
-sequence, cut. Placement needs the lengths alone: they are dealt out in shards
-by hash, and each shard packs itself, so no task sees more than its share and
-nothing is gathered. Inside a shard the problem is a histogram of lengths.
+sequence, cut. Which sequence a piece enters depends on its length alone, so
+the problem is the histogram of lengths: as many rows as a sequence has tokens
+at most, whatever the corpus holds. It is counted by Spark, solved once, and
+the solution is a table from (length, number among the pieces of that length)
+to places. Pieces are numbered by Spark: each length is dealt out in slices by
+hash, numbered inside a slice, and slices begin where those before them end.
+How the table is partitioned changes nothing in how many sequences are used.
 
 Bin completion: the largest length left gets a sequence, and the ways to fill
-the room around it are enumerated by falling length. Fillings that leave room
-for a further piece, or that another filling dominates (its pieces can hold
-theirs), are dropped. A filling is applied as often as the counts allow. A
-branch is pruned when the sequences used plus the bound on the rest (tokens
-left over the capacity, or pieces over half of it) reach the incumbent, which
-is the best-fit decreasing solution at first. ``effort`` bounds the fillings
-tried in a shard; beyond it the incumbent stands.
+the room around it are enumerated by falling length, those without waste
+first. Fillings that leave room for a further piece, or that another filling
+dominates (its pieces can hold theirs), are dropped, as are those that waste
+more than an improvement on the incumbent can afford. A filling is applied as
+often as the counts allow, then also once. A branch is pruned when the
+sequences used plus the bound on the rest (tokens left over the capacity, or
+pieces over half of it) reach the incumbent, which is the best-fit decreasing
+solution at first. ``effort`` bounds the steps of the whole search; beyond it
+the incumbent stands.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import textops as tx
+from .cluster import checkpoint
+from .columns import free
 from .tokens import default_path, encode_column
 
-CAPACITY, END, EFFORT, SHARD = 2048, 0, 20_000, 500_000
+#: Tokens of a sequence; end id; steps of the search; pieces of a slice; pieces of a filling up to which dominance is tested.
+CAPACITY, END, EFFORT, SLICE, TESTED = 2048, 0, 200_000, 1_000_000, 8
 Filling = tuple[tuple[int, ...], int]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece of every document, null texts as empty."""
+    """(doc_id, piece, start, length, ids_crc32) for every piece of every document.
+
+    Null and empty texts are one piece, the end id alone. A text of any length
+    is cut into pieces. Ids may be null, repeat or be of any type; repeated
+    rows give repeated pieces. Other columns are left out.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +71,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return own.mapInArrow(tx.tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return own.mapInArrow(tx.tidied(run), f"doc_id {own.schema['i'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def bound(counts: np.ndarray, capacity: int) -> int:
@@ -111,38 +128,61 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(left: np.ndarray, room: int, most: int = 12, tries: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by falling length, the fullest first."""
-    found: list[tuple[int, ...]] = []
+class Effort:
+    """Steps that a search may still take."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(left: np.ndarray, room: int, least: int, most: int, effort: Effort) -> Iterator[tuple[int, ...]]:
+    """Fillings of the room with a waste of ``least`` to ``most`` that no piece left fits into, by falling length."""
     sizes = (np.flatnonzero(left[1 : room + 1]) + 1)[::-1].tolist()
-    steps = 0
+    falls = [-s for s in sizes]
+    have = {s: int(left[s]) for s in sizes}
+    own: list[int] = []
+    rest = room
+    stack = [0]
+    fresh = True
+    while stack:
+        if fresh:  # a new partial filling
+            fresh = False
+            if rest == 0 or not any(have[s] for s in reversed(sizes[bisect_left(falls, -rest) :])):
+                if least <= rest <= most:
+                    yield tuple(own)
+                stack[-1] = len(sizes)
+        k = max(stack[-1], bisect_left(falls, -rest))
+        while k < len(sizes) and not have[sizes[k]] and effort.spend():
+            k += 1
+        if not effort.spend():
+            return
+        if k < len(sizes):
+            stack[-1] = k + 1
+            own.append(sizes[k])
+            have[sizes[k]] -= 1
+            rest -= sizes[k]
+            stack.append(k)
+            fresh = True
+        else:
+            stack.pop()
+            if own:
+                have[own[-1]] += 1
+                rest += own.pop()
 
-    def go(first: int, rest: int, own: list[int]) -> bool:
-        nonlocal steps
-        steps += 1
-        if rest in exact and left[rest] > own.count(rest):
-            found.append((*own, rest))
-            return True
-        fits = False
-        for k in range(first, len(sizes)):
-            size = sizes[k]
-            if size > rest or left[size] <= own.count(size):
-                continue
-            fits = True
-            if go(k, rest - size, [*own, size]) or steps > tries or len(found) >= most:
-                return bool(found) and sum(found[-1]) == room
-        if not fits:
-            found.append(tuple(own))
-        return False
 
-    exact = set(sizes)
-    go(0, room, [])
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))
+def undominated(options: Iterator[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+    """Fillings that none before them dominates; long ones are not tested, which only makes the search wider."""
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(dominates(k, f) for k in kept):
+    for f in options:
+        if len(f) <= TESTED:
+            if any(dominates(k, f) for k in kept):
+                continue
             kept.append(f)
-    return kept or [()]
+        yield f
 
 
 def complete(counts: np.ndarray, capacity: int, effort: int = EFFORT) -> list[Filling]:
@@ -150,11 +190,10 @@ def complete(counts: np.ndarray, capacity: int, effort: int = EFFORT) -> list[Fi
     best = best_fit_decreasing(counts, capacity)
     used = sum(n for _, n in best)
     floor = bound(counts, capacity)
-    if used <= floor:
-        return best
-    spent = 0
-    # Each level of the stack: counts left, fillings so far, sequences so far, fillings still to try.
-    stack: list[tuple[np.ndarray, list[Filling], int, list[tuple[int, ...]]]] = []
+    budget = Effort(effort)
+    size = np.arange(len(counts))
+    # Each level: counts left, fillings so far, sequences so far, fillings still to try, one that may also be applied once.
+    stack: list[list] = []
 
     def push(left: np.ndarray, made: list[Filling], n: int) -> None:
         nonlocal best, used
@@ -166,75 +205,86 @@ def complete(counts: np.ndarray, capacity: int, effort: int = EFFORT) -> list[Fi
         if n + bound(left, capacity) >= used:
             return
         top = int(some[-1])
-        left = left.copy()
-        left[top] -= 1
-        stack.append((left, made, n, [(top, *f) for f in fillings(left, capacity - top)][::-1]))
+        waste = (used - 1 - n) * capacity - int((left * size).sum())
+        rest = left.copy()
+        rest[top] -= 1
+        room = capacity - top
+        ways = itertools.chain(fillings(rest, room, 0, 0, budget), fillings(rest, room, 1, waste, budget) if waste else ())
+        stack.append([left, made, n, ((top, *f) for f in undominated(ways)), None])
 
     push(counts, [], 0)
-    while stack and spent < effort and used > floor:
-        left, made, n, options = stack[-1]
-        if not options:
+    while stack and budget.left > 0 and used > floor:
+        left, made, n, ways, again = level = stack[-1]
+        if again is not None:
+            level[4] = None
+            push(left - np.bincount(again, minlength=len(left)), [*made, (again, 1)], n + 1)
+            continue
+        own = next(ways, None)
+        if own is None:
             stack.pop()
             continue
-        spent += 1
-        own = options.pop()
         use = np.bincount(own, minlength=len(left))
-        whole = left.copy()
-        whole[own[0]] += 1
         some = use > 0
-        times = int((whole[some] // use[some]).min())
-        push(whole - use * times, [*made, (own, times)], n + times)
+        times = int((left[some] // use[some]).min())
+        if times > 1:
+            level[4] = own
+        push(left - use * times, [*made, (own, times)], n + times)
     return best
 
 
-def place(length: np.ndarray, capacity: int, effort: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece."""
-    order = np.argsort(length, kind="stable")
-    counts = np.bincount(length, minlength=capacity + 1)
-    at = np.cumsum(counts) - counts
-    seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-    base = 0
-    for own, times in complete(counts, capacity, effort):
-        start = 0
-        for size in own:
-            rows = order[at[size] : at[size] + times]
-            at[size] += times
-            seq[rows] = base + np.arange(times)
-            off[rows] = start
-            start += size
+def slots(solution: list[Filling]) -> np.ndarray:
+    """Rows (length, first number, pieces of a filling, first sequence, offset), sorted: where pieces of a length go from that number on.
+
+    A filling that is used k times uses up a length of the histogram, so rows
+    are bounded by the lengths and the different sizes that fit in a sequence.
+    """
+    out, seen, base = [], Counter(), 0
+    for own, times in solution:
+        at = 0
+        for size, k in sorted(Counter(own).items(), reverse=True):
+            out.append((size, seen[size], k, base, at))
+            seen[size] += k * times
+            at += size * k
         base += times
-    return seq, off
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
+
 
+def place(table: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces, each the ``number``-th of its length."""
+    if not len(length):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = (table[:, 0] << 48) + table[:, 1]
+    _, first, per, base, at = table[np.searchsorted(key, (length.astype(np.int64) << 48) + number, side="right") - 1].T
+    turn = number - first
+    return base + turn // per, at + length * (turn % per)
 
-def pack(made: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT, shard: int = SHARD) -> DataFrame:
+
+def pack(made: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT, slice_rows: int = SLICE) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with a column length (1 to capacity).
 
-    Pieces are dealt out by hash; a task packs its rows in shards of ``shard``
-    pieces. An empty table gives an empty one; equal rows are separate pieces.
+    An empty table gives an empty one; equal rows are separate pieces. Columns
+    sequence_id and offset of the input are replaced, all others kept.
     """
+    made = checkpoint(made.drop("sequence_id", "offset"))
     names = made.columns
+    part, number, before = (free(s, names) for s in ("slice", "number", "before"))
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in made.groupBy("length").count().collect():  # a row per length
+        counts[r[0]] = r[1]
+    sent = made.sparkSession.sparkContext.broadcast(slots(complete(counts, capacity, effort)))
+    n_slices = max(1, -(-int(counts.sum()) // slice_rows))
+    deal = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    keyed = made.withColumn(part, F.pmod(deal, F.lit(n_slices)))
+    whole = W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = keyed.groupBy("length", part).count().select("length", part, F.coalesce(F.sum("count").over(whole), F.lit(0)).alias(before))
+    numbered = keyed.withColumn(number, F.row_number().over(W.partitionBy("length", part).orderBy(deal, *[F.col(f"`{c}`") for c in names])) - 1)
+    numbered = numbered.join(starts, ["length", part]).select(*[F.col(f"`{c}`") for c in names], (F.col(number) + F.col(before)).alias(number))
     at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 36
-        held: list[pa.RecordBatch] = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal base
-            t = pa.Table.from_batches(held).combine_chunks()
-            seq, off = place(t.column(at).to_numpy(), capacity, effort)
-            own = pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns), pa.array(seq + base), pa.array(off)], names=[*names, "sequence_id", "offset"])
-            base += int(seq.max()) + 1
-            return own
-
         for b in batches:
-            held.append(b)
-            if sum(map(len, held)) >= shard:
-                yield out()
-                held = []
-        if sum(map(len, held)):
-            yield out()
+            seq, off = place(sent.value, b.column(at).to_numpy(), b.column(len(names)).to_numpy())
+            yield pa.record_batch([*b.columns[:-1], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
-    deal = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    return made.withColumn("_d", deal).repartition("_d").sortWithinPartitions("_d").drop("_d").mapInArrow(tx.tidied(run), f"{types}, sequence_id long, offset long")
+    return numbered.mapInArrow(tx.tidied(run), f"{types}, sequence_id long, offset long")

@@ -20,6 +20,15 @@ def test_ids_are_those_of_whole_texts():
     assert got == [model.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+def solve(sizes, capacity, effort=packing.EFFORT):
+    """(sequence, offset) of each size."""
+    sizes = np.asarray(sizes)
+    order = np.argsort(sizes, kind="stable")
+    number = np.empty(len(sizes), np.int64)
+    number[order] = np.arange(len(sizes)) - np.searchsorted(sizes[order], sizes[order])
+    return packing.place(packing.slots(packing.complete(np.bincount(sizes, minlength=capacity + 1), capacity, effort)), sizes, number)
+
+
 def fits(seq, off, length, capacity):
     for s in set(seq):
         own = sorted((o, n) for q, o, n in zip(seq, off, length) if q == s)
@@ -33,7 +42,7 @@ def fits(seq, off, length, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_small_instances_are_optimal(sizes):
-    seq, off = packing.place(np.array(sizes), 20, 20_000)
+    seq, off = solve(sizes, 20)
     fits(seq.tolist(), off.tolist(), sizes, 20)
 
     def possible(k):
@@ -66,6 +75,37 @@ def test_pieces_and_pack(spark):
 def test_bound_is_reached_on_many(n):
     rng = np.random.default_rng(n)
     sizes = rng.integers(1, 2049, n)
-    seq, off = packing.place(sizes, 2048, 20_000)
+    seq, off = solve(sizes, 2048)
     fits(seq.tolist(), off.tolist(), sizes.tolist(), 2048)
     assert len(set(seq.tolist())) <= sum(k for _, k in packing.best_fit_decreasing(np.bincount(sizes, minlength=2049), 2048))
+
+
+def test_bin_completion_beats_best_fit():
+    sizes = [9, 8, 7, 6, 5, 3, 2]  # 40
+    seq, off = solve(sizes, 20)
+    fits(seq.tolist(), off.tolist(), sizes, 20)
+    assert len(set(seq.tolist())) == 2
+    hard = np.bincount([7, 7, 5, 5, 4, 4, 4, 4], minlength=21)
+    assert sum(n for _, n in packing.best_fit_decreasing(hard, 20)) == 3
+    assert sum(n for _, n in packing.complete(hard, 20)) == 2
+
+
+def test_many_tiny_pieces_do_not_recurse():
+    seq, off = solve([1] * 5000 + [2047] * 3, 2048)
+    fits(seq.tolist(), off.tolist(), [1] * 5000 + [2047] * 3, 2048)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 211])
+def test_partitions_and_slices_change_nothing(spark, parts):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(n), "x", 1) for i, n in enumerate(rng.integers(1, 700, 900))] + [(5, 2048, "y", 2)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, length long, _d string, sequence_id int").repartition(parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size in (100, 1_000_000):
+            got = packing.pack(df, slice_rows=size).collect()
+            fits([r.sequence_id for r in got], [r.offset for r in got], [r.length for r in got], 2048)
+            assert sorted((r.doc_id, r.length, r._d) for r in got) == sorted(r[:3] for r in rows)
+            assert len({r.sequence_id for r in got}) == -(-sum(r[1] for r in rows) // 2048)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
