@@ -41,7 +41,7 @@ from .columns import free
 from .tokens import default_path, encode_column
 
 #: Tokens of a sequence; end id; steps of the search; pieces of a slice; pieces of a filling up to which dominance is tested.
-CAPACITY, END, EFFORT, SLICE, TESTED = 2048, 0, 200_000, 1_000_000, 8
+CAPACITY, END, EFFORT, SLICE, TESTED = 2048, 0, 1_000_000, 1_000_000, 8
 Filling = tuple[tuple[int, ...], int]
 
 
