@@ -1,18 +1,27 @@
 """Language-model scores: a gated recurrent network with a class-factored softmax, in numpy.
 
 Corpus statistics come from all training documents: how often each token
-occurs, N and V. The ``HEAD`` most frequent words are symbols of their own; any
-other word is known to the network by its shape (script, length, case, signs).
-The network reads symbols and predicts the next class: one of the head's
-classes, a shape, or the end. P(word) is P(class | state) times P(word | class):
-a softmax on the state within a head class, and the share of the corpus count
-within a shape, where all unknown words of the shape are one more word with
-count zero. So the factors sum to one.
-
-Weights are fitted by truncated backpropagation through time on at most
-``SAMPLE`` training documents of ``SPAN`` tokens each. Scoring reads every
-token: windows of ``WINDOW`` steps follow each other with the state carried on,
-so the sum is the log-likelihood of the whole document.
+occurs, N and V. The most frequent words are symbols of their own; any other
+word is known to the network by its shape (script, length, case, signs) and by
+the band of its rank. The network (``gru``) reads symbols and predicts the next
+class: a group of head words, a tail class, or the end. P(word) is
+P(class | state) times P(word | class): a softmax on the state within a head
+group, and the share of the corpus count within a tail class, where all unknown
+words of a shape are one more word with count zero. So the factors sum to one.
+
+Training reads every training document whole. A hash of the row deals them out
+in shards of about ``SHARD`` tokens, so there are more shards as the corpus
+grows. A first network is fitted on about ``WARM`` tokens. Then, in ``ROUNDS``
+rounds, each shard fits a copy of the common network on its part of the
+documents of that round (truncated backpropagation, the state carried on to the
+end of each document), and the copies are averaged. Shards are read in an order
+set by hash and averaged in whole numbers, so neither the layout of the table
+nor a lost executor changes the weights.
+
+Documents are tokenised twice: to count, and to write their symbols to the
+shared folder, from which the network learns and scores. Scoring reads every
+symbol: windows follow each other with the state carried on, so the sum is the
+log-likelihood of the whole document.
 
 The ``LEXICON`` most frequent words are sent to all tasks with their counts;
 counts of the others reach the documents by a join on the word.
@@ -20,6 +29,7 @@ counts of the others reach the documents by a join on the word.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -28,22 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from . import gru
 from . import textops as tx
 from .cluster import shared_dir
+from .gru import BANDS, END, HEAD, SHAPES, TAILS
 from .labelled import fold
 
 U64 = np.uint64
-HEAD, GROUP, HIDDEN, LEXICON, WINDOW = 1024, 32, 16, 200_000, 64
-SAMPLE, SPAN, EPOCHS, RATE = 2400, 192, 4, 8e-3
+LEXICON, SHARD, WARM, ROUNDS, MOST_PARTS = 200_000, 2_000_000, 1_000_000, 2, 20_000
+#: Rates of the first fit and of the rounds; tokens that the first fit reads at least, over again if need be, and how often at most.
+FIRST_RATE, RATE, READ_AT_LEAST, PASSES = 8e-3, 3e-3, 1_500_000, 6
+#: Ranks at which the bands of tail words end; what is not in the lexicon is in the last band.
+EDGES = (8192, 65_536)
 HELD_MODULUS, HELD_OUT = 5, 1
-SHAPES = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _WIDE = np.arange(256) >= 128
 _END_HASH = U64(0x5851F42D4C957F2D)
+_FIX = float(1 << 28)
+_BLOCK = 4096
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[tx.Words, np.ndarray, np.ndarray]:
@@ -93,177 +108,9 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 1_200_000) -> Iterator
     yield out(*merge())
 
 
-Model = dict[str, np.ndarray]
-
-
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], head_counts: np.ndarray, shape_counts: np.ndarray, end_count: int, seed: int = 3) -> Model:
-    """docs: symbol sequences (0..HEAD-1 head words, HEAD+shape, HEAD+SHAPES the end). Counts set the biases at first."""
-    rng = np.random.default_rng(seed)
-    groups = -(-HEAD // GROUP)
-    n_class, n_sym = groups + SHAPES + 1, HEAD + SHAPES + 1
-    mass = np.zeros(n_class)
-    hc = np.zeros(groups * GROUP)
-    hc[: len(head_counts)] = head_counts
-    mass[:groups] = hc.reshape(groups, GROUP).sum(axis=1)
-    mass[groups : groups + SHAPES] = shape_counts
-    mass[-1] = end_count
-    dead = np.where(np.arange(groups * GROUP) < max(1, len(head_counts)), 0.0, -60.0)
-    empty = np.zeros(n_class)
-    empty[:groups] = np.where(np.arange(groups) * GROUP < len(head_counts), 0.0, -60.0)
-    m: Model = {
-        "x": rng.normal(0, 0.1, (n_sym, 3 * HIDDEN)), "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)), "wc": rng.normal(0, 0.05, (HIDDEN, n_class)), "bc": np.log((mass + 0.5) / (mass + 0.5).sum()) + empty,
-        "ww": rng.normal(0, 0.05, (groups, HIDDEN, GROUP)), "bw": (np.log((hc + 0.5)) + dead).reshape(groups, GROUP),
-    }
-    m["bw"] -= np.log(np.exp(m["bw"]).sum(axis=1, keepdims=True))
-    m = {k: v.astype(np.float32) for k, v in m.items()}
-    if not docs:
-        return m
-    mean = {k: np.zeros_like(v) for k, v in m.items()}
-    var = {k: np.zeros_like(v) for k, v in m.items()}
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    packs = [order[i : i + 128] for i in range(0, len(order), 128)]
-    total = EPOCHS * sum(-(-len(docs[p[0]]) // 32) for p in packs)
-    step = 0
-    for _ in range(EPOCHS):
-        for p in (packs[i] for i in rng.permutation(len(packs))):
-            seq = np.full((len(p), len(docs[p[0]])), -1, np.int64)
-            for i, d in enumerate(p):
-                seq[i, : len(docs[d])] = docs[d]
-            h = np.zeros((len(p), HIDDEN), np.float32)
-            before = np.full(len(p), n_sym - 1)  # each document begins after an end
-            for at in range(0, seq.shape[1], 32):
-                part = seq[:, at : at + 32]
-                g, h, before = _gradient(m, part, h, before)
-                step += 1
-                rate = RATE * min(1.0, step / 20) * min(1.0, 1.5 * (1 - step / (total + 1)))
-                norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-                for k in m:
-                    gk = g[k] * min(1.0, 1 / max(norm, 1e-9))
-                    mean[k] += 0.1 * (gk - mean[k])
-                    var[k] += 0.01 * (gk**2 - var[k])
-                    m[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-6)
-    return m
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
-
-
-def _classes(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, place within a head class or -1) of symbols."""
-    head = sym < HEAD
-    return np.where(head, sym // GROUP, sym - HEAD + -(-HEAD // GROUP)), np.where(head, sym % GROUP, -1)
-
-
-def _gradient(m: Model, seq: np.ndarray, h: np.ndarray, before: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
-    """Gradients of the mean loss over a window (rows by steps, -1: past the end), state and last symbols after it."""
-    n, steps = seq.shape
-    H = HIDDEN
-    trace = []
-    states = np.empty((steps, n, H), np.float32)
-    prev = before
-    for t in range(steps):
-        gx = m["x"][prev]
-        gh = h @ m["u"][:, : 2 * H]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * H] + gh)))
-        z, r = zr[:, :H], zr[:, H:]
-        c = np.tanh(gx[:, 2 * H :] + (r * h) @ m["u"][:, 2 * H :])
-        new = h + z * (c - h)
-        trace.append((prev, h, z, r, c))
-        h = states[t] = new
-        prev = np.where(seq[:, t] >= 0, seq[:, t], prev)
-    live = seq.T >= 0
-    sym = seq.T[live]
-    s = states[live]
-    scale = np.float32(1 / max(1, len(sym)))
-    cls, place = _classes(sym)
-    p = _softmax(s @ m["wc"] + m["bc"])
-    p[np.arange(len(sym)), cls] -= 1
-    p *= scale
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    g["wc"], g["bc"] = s.T @ p, p.sum(axis=0)
-    ds = p @ m["wc"].T
-    for k in np.unique(cls[place >= 0]).tolist():
-        i = np.flatnonzero(cls == k)
-        q = _softmax(s[i] @ m["ww"][k] + m["bw"][k])
-        q[np.arange(len(i)), place[i]] -= 1
-        q *= scale
-        g["ww"][k], g["bw"][k] = s[i].T @ q, q.sum(axis=0)
-        ds[i] += q @ m["ww"][k].T
-    dstates = np.zeros_like(states)
-    dstates[live] = ds
-    dh = np.zeros((n, H), np.float32)
-    for t in range(steps - 1, -1, -1):
-        prev, h0, z, r, c = trace[t]
-        dh = dh + dstates[t]
-        dc = dh * z * (1 - c * c)
-        drh = dc @ m["u"][:, 2 * H :].T
-        dz = dh * (c - h0) * z * (1 - z)
-        dr = drh * h0 * r * (1 - r)
-        dzr = np.concatenate([dz, dr], axis=1)
-        g["u"][:, 2 * H :] += (r * h0).T @ dc
-        g["u"][:, : 2 * H] += h0.T @ dzr
-        np.add.at(g["x"], prev, np.concatenate([dzr, dc], axis=1))
-        dh = dh * (1 - z) + drh * r + dzr @ m["u"][:, : 2 * H].T
-    return g, h, prev if steps else before
-
-
-def log10_probability(m: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of P(classes and head words) of symbol sequences laid end to end; each ends with the end symbol."""
-    sizes = np.diff(first)
-    out = np.zeros(len(sizes))
-    H = HIDDEN
-    uz, uc = np.ascontiguousarray(m["u"][:, : 2 * H]), np.ascontiguousarray(m["u"][:, 2 * H :])
-    order = np.argsort(-sizes, kind="stable")
-    for lo in range(0, len(order), 1024):
-        rows = order[lo : lo + 1024]
-        size, at = sizes[rows], first[rows]
-        h = np.zeros((len(rows), H), np.float32)
-        prev = np.full(len(rows), HEAD + SHAPES)
-        for w in range(0, int(size[0]), WINDOW):
-            steps = min(WINDOW, int(size[0]) - w)
-            live = int(np.searchsorted(-size, -w, side="left"))  # sizes fall: the first ones go on
-            h, prev = h[:live], prev[:live]
-            ahead = w + np.arange(steps)
-            inside = ahead[:, None] < size[None, :live]
-            sym = seqs[np.minimum(at[None, :live] + ahead[:, None], len(seqs) - 1)].astype(np.int64)
-            states = np.empty((steps, live, H), np.float32)
-            for t in range(steps):
-                gx = m["x"][prev]
-                gh = h @ uz
-                gh += gx[:, : 2 * H]
-                np.negative(gh, out=gh)
-                np.exp(gh, out=gh)
-                gh += 1
-                np.reciprocal(gh, out=gh)
-                c = (gh[:, H:] * h) @ uc
-                c += gx[:, 2 * H :]
-                np.tanh(c, out=c)
-                c -= h
-                c *= gh[:, :H]
-                h = states[t] = h + c
-                prev = sym[t]
-            s, y = states[inside], sym[inside]
-            row = np.broadcast_to(np.arange(live), inside.shape)[inside]
-            cls, place = _classes(y)
-            logits = s @ m["wc"]
-            logits += m["bc"]
-            top = logits.max(axis=1, keepdims=True)
-            got = logits[np.arange(len(y)), cls] - top[:, 0]
-            logits -= top
-            np.exp(logits, out=logits)
-            lp = got - np.log(logits.sum(axis=1))
-            by = np.argsort(np.where(place >= 0, cls, 10_000).astype(np.int16), kind="stable")
-            edge = np.searchsorted(np.where(place >= 0, cls, 10_000)[by], np.arange(-(-HEAD // GROUP) + 1))
-            for k in range(-(-HEAD // GROUP)):
-                i = by[edge[k] : edge[k + 1]]
-                if len(i):
-                    q = s[i] @ m["ww"][k] + m["bw"][k]
-                    qt = q.max(axis=1, keepdims=True)
-                    lp[i] += q[np.arange(len(i)), place[i]] - qt[:, 0] - np.log(np.exp(q - qt).sum(axis=1))
-            out[rows[:live]] += np.bincount(row, weights=lp, minlength=live)
-    return out / np.log(10)
+def tail_class(rank: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Tail class of words by rank (-1: not in the lexicon) and shape."""
+    return shape + SHAPES * np.where(rank < 0, BANDS - 1, np.searchsorted(EDGES, rank, side="right"))
 
 
 class Lexicon:
@@ -284,115 +131,193 @@ class Lexicon:
 
 
 def symbols(lex: Lexicon, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol sequences with ends, first of each, text of each word, hashes, counts or -1, shapes)."""
+    """(symbol sequences with ends, first of each, text of each word, hashes, counts or -1, tail classes or -1)."""
     words, h, shape = tokens(buf, offs)
     u, back = np.unique(h, return_inverse=True)
     n, rank = lex.find(u)
     n, rank = n[back], rank[back]
-    sym = np.where((rank >= 0) & (rank < HEAD), rank, HEAD + shape)
+    tail = np.where((rank >= 0) & (rank < HEAD), -1, tail_class(rank, shape))
     first = words.first_word + np.arange(words.n_docs + 1)
-    seq = np.full(first[-1], HEAD + SHAPES)
+    seq = np.full(first[-1], END)
     doc = words.doc_of_word()
-    seq[np.arange(words.n) + doc] = sym
-    return seq, first, doc, h, n, np.where((rank >= 0) & (rank < HEAD), -1, shape)
+    seq[np.arange(words.n) + doc] = np.where(tail < 0, rank, HEAD + tail)
+    return seq, first, doc, h, n, tail
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, symbols) of each row (shard, seq)."""
+    for b in batches:
+        for shard, seq in zip(b.column(0).to_pylist(), b.column(1)):
+            yield shard, np.frombuffer(seq.as_py(), np.int16)
+
+
+def _first_fit(spark, docs: DataFrame, model: gru.Model) -> gru.Model:
+    """A network fitted on the rows (shard, key, seq), a bounded share of the corpus, in one task."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [s for _, s in _sequences(batches)]
+        size = sum(map(len, texts))
+        if size:
+            passes = min(PASSES, max(1, math.ceil(READ_AT_LEAST / size)))
+            m = gru.train(sent.value, (t for _ in range(passes) for t in texts), FIRST_RATE, passes * size, min(gru.ROWS, max(8, size // 4096)))
+            yield pa.record_batch([pa.array([gru.flat(m).tobytes()], pa.binary())], names=["m"])
+
+    made = docs.repartition(1, F.lit(0)).sortWithinPartitions("key", "shard").select("shard", "seq").mapInArrow(tx.tidied(run), "m binary").collect()  # one row
+    return gru.unflat(np.frombuffer(made[0].m, np.float32)) if made else model
+
+
+def _round(spark, docs: DataFrame, model: gru.Model, shards: int, planned: int) -> gru.Model:
+    """The mean of the networks that the shards of the rows (shard, key, seq) fit, each from ``model`` on."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _sequences(batches)
+        row = next(rows, None)
+        total, n = None, 0
+        while row is not None:
+            shard = row[0]
+
+            def own() -> Iterator[np.ndarray]:
+                nonlocal row
+                while row is not None and row[0] == shard:
+                    yield row[1]
+                    row = next(rows, None)
+
+            x = np.rint(gru.flat(gru.train(sent.value, own(), RATE, planned)).astype(np.float64) * _FIX).astype(np.int64)
+            total, n = (x if total is None else total + x), n + 1
+        if total is not None:
+            parts = [total[i : i + _BLOCK].tolist() for i in range(0, len(total), _BLOCK)]
+            yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array(np.full(len(parts), n)), pa.array(parts, pa.list_(pa.int64()))], names=["block", "n", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for block, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = x.values.to_numpy()
+                had = sums.get(block)
+                sums[block] = (n, x.copy()) if had is None else (had[0] + n, had[1] + x)
+        for block, (n, x) in sums.items():
+            yield pa.record_batch([pa.array([block]), pa.array([n]), pa.array([x.tolist()], pa.list_(pa.int64()))], names=["block", "n", "x"])
+
+    kind = "block long, n long, x array<long>"
+    made = docs.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard", "key").select("shard", "seq").mapInArrow(tx.tidied(run), kind)
+    got = sorted(made.repartition("block").mapInArrow(tx.tidied(add), kind).collect())  # the size of the network
+    return gru.unflat(np.concatenate([np.array(r.x, np.float64) / r.n for r in got]) / _FIX) if got else model
+
+
+def fit(docs: DataFrame, model: gru.Model, n_tokens: int, shard: int = SHARD, warm: int = WARM, rounds: int = ROUNDS) -> gru.Model:
+    """Fits the network on all rows (_k1, _k2, seq) of about ``n_tokens`` symbols."""
+    spark = docs.sparkSession
+    shards = max(1, -(-n_tokens // shard))
+    draw = lambda k, n: F.pmod(F.xxhash64("_k1", "_k2", F.lit(k)), F.lit(n))
+    rows = docs.select(draw(1, shards).alias("shard"), F.xxhash64("_k1", "_k2").alias("key"), draw(2, rounds).alias("round"), draw(3, 1_000_000).alias("lot"), "seq")
+    share = min(1.0, warm / max(1, n_tokens))
+    model = _first_fit(spark, rows.filter(F.col("lot") < math.ceil(share * 1_000_000)), model)
+    for k in range(rounds):
+        model = _round(spark, rows.filter(F.col("round") == k), model, shards, min(n_tokens, shard) // rounds)
+    return model
+
+
+_MARKED = "doc int, _id long, _k1 long, _k2 long, held boolean, h long, times long, n_tokens long, n_known long, base double, net double, seq binary"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, lexicon: int = LEXICON) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: int = LEXICON, shard: int = SHARD, warm: int = WARM, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Ids are integers.
 
-    Null texts are empty and consist of the end alone; null ids are not held
-    out. Without training documents N is 0 and every token unknown. Repeated
-    rows give repeated results.
+    Null and empty texts consist of the end alone; texts of any length are
+    read whole, in training too. Null ids are not held out. Words that occur
+    equally often are ranked by hash. Without training documents (or rows) N is
+    0 and every token unknown. Repeated rows are counted, learned from and
+    scored as often as they are there. Other columns are left out.
     """
     spark = docs.sparkSession
     held = F.coalesce(fold("_id", HELD_MODULUS) == HELD_OUT, F.lit(False))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text")).withColumn("_held", held)
-    train = own.filter("not _held")
-    path = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
-    train.select("_text").mapInArrow(tx.tidied(_count), "h long, n long, shape int").groupBy("h").agg(F.sum("n").alias("n"), F.min("shape").alias("shape")).write.parquet(path)
-    vocab = spark.read.schema("h long, n long, shape int").parquet(path)
+    base = f"{shared_dir(spark).rstrip('/')}/language-model-{uuid.uuid4().hex}"
+    own.filter("not _held").select("_text").mapInArrow(tx.tidied(_count), "h long, n long, shape int").groupBy("h").agg(F.sum("n").alias("n"), F.min("shape").alias("shape")).write.parquet(f"{base}/words")
+    vocab = spark.read.schema("h long, n long, shape int").parquet(f"{base}/words")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocab.filter("shape >= 0").orderBy(F.desc("n"), "h").limit(lexicon).toArrow()
-    lex = Lexicon(top["h"].to_numpy().view(U64), top["n"].to_numpy())
     ends = vocab.filter("shape < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    room, words = np.full(SHAPES, 0.5), np.zeros(SHAPES)
-    for r in vocab.filter("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
-        room[r["shape"]] += r["n"] + 0.5 * r["k"]
-        words[r["shape"]] += r["n"]
-    head_n = top["n"].to_numpy()[:HEAD]
-    head_shape = top["shape"].to_numpy()[:HEAD]
-    np.subtract.at(room, head_shape, head_n + 0.5)
-    np.subtract.at(words, head_shape, head_n)
-
-    sent_lex = spark.sparkContext.broadcast(lex)
-
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = tx.string_buffers(b.column(1))
-            rows = []
-            for lo, hi in tx.doc_runs(offs):
-                seq, first, *_ = symbols(sent_lex.value, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                rows += [seq[a:z][-SPAN:] if i % 2 else seq[a:z][:SPAN] for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
-            yield pa.record_batch([b.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], names=["k", "s"])
-
-    picked = train.select(F.xxhash64("_id", "_text").alias("k")).orderBy("k").limit(sample)
-    got = train.withColumn("k", F.xxhash64("_id", "_text")).join(F.broadcast(picked.distinct()), "k").dropDuplicates(["k"]).select("k", "_text").mapInArrow(tx.tidied(views), "k long, s array<long>").toArrow().sort_by("k")
-    model = fit([np.array(s, np.int64) for s in got["s"].to_pylist()], head_n, np.maximum(words, 0), ends)
-    sent = spark.sparkContext.broadcast((model, room))
-    denominator = float(np.log10(total + 0.5 * (distinct + 1)))
-
-    names = ["_k1", "_k2", "doc", "h", "times", "n_tokens", "n_known", "base", "net"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rest = sent.value
-        lx = sent_lex.value
+    top = vocab.filter("shape >= 0").orderBy(F.desc("n"), "h").limit(lexicon).toArrow()
+    top_n, top_shape = top["n"].to_numpy(), top["shape"].to_numpy()
+    sent_lex = spark.sparkContext.broadcast(Lexicon(top["h"].to_numpy().view(U64), top_n))
+    # Room and counts of the tail classes: those of the lexicon by band, all other words in the last band.
+    words, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    for r in vocab.filter("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # a row per shape
+        words[TAILS - SHAPES + r["shape"]], kinds[TAILS - SHAPES + r["shape"]] = r["n"], r["k"]
+    np.subtract.at(words, TAILS - SHAPES + top_shape, top_n)
+    np.subtract.at(kinds, TAILS - SHAPES + top_shape, 1)
+    tail = tail_class(np.arange(HEAD, len(top_n)), top_shape[HEAD:])
+    np.add.at(words, tail, top_n[HEAD:])
+    np.add.at(kinds, tail, 1)
+    room = words + 0.5 * kinds
+    room[TAILS - SHAPES :] += 0.5
+    sent_room = spark.sparkContext.broadcast(room)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lx, rest = sent_lex.value, sent_room.value
+        names = [c.split(" ")[0] for c in _MARKED.split(", ")]
         for b in batches:
-            k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
-            buf, offs = tx.string_buffers(b.column(2))
-            k = len(b)
-            sizes, known_n, base, net = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
-            parts, tails = [], []
+            ident, k1, k2, is_held = (b.column(i) for i in range(4))
+            buf, offs = tx.string_buffers(b.column(4))
             for lo, hi in tx.doc_runs(offs):
-                seq, first, doc, h, n, shape = symbols(lx, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                parts.append(seq.astype(np.int16))
-                sizes[lo:hi] = np.diff(first)
+                k = hi - lo
+                seq, first, doc, h, n, tails = symbols(lx, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                raw = seq.astype(np.int16).tobytes()
                 known = n >= 0
-                own_n = hi - lo
-                known_n[lo:hi] = np.bincount(doc[known], minlength=own_n) + (ends > 0)
-                base[lo:hi] = np.bincount(doc[known], weights=np.log10(n[known] + 0.5), minlength=own_n) + np.log10(ends + 0.5)
-                fine = known & (shape >= 0)
+                here = np.bincount(doc[known], weights=np.log10(n[known] + 0.5), minlength=k) + np.log10(ends + 0.5)
+                fine = known & (tails >= 0)
                 far = np.flatnonzero(~known)
-                net[lo:hi] = np.bincount(doc[fine], weights=np.log10(n[fine] + 0.5) - np.log10(rest[shape[fine]]), minlength=own_n) - np.bincount(doc[far], weights=np.log10(rest[shape[far]]), minlength=own_n)
+                net = np.bincount(doc[fine], weights=np.log10(n[fine] + 0.5) - np.log10(rest[tails[fine]]), minlength=k) - np.bincount(doc[far], weights=np.log10(rest[tails[far]]), minlength=k)
+                zero, one = np.zeros(k, np.int64), np.ones(k, np.int32)
+                yield pa.record_batch(
+                    [pa.array(one), *(c.slice(lo, k) for c in (ident, k1, k2, is_held)), pa.array(zero), pa.array(zero), pa.array(np.diff(first)), pa.array(np.bincount(doc[known], minlength=k) + int(ends > 0)), pa.array(here), pa.array(net, pa.float64()), pa.array([raw[2 * s : 2 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
+                    names=names,
+                )
                 if len(far):
                     d, hh = doc[far], h[far]
                     o = np.lexsort((hh, d))
                     d, hh = d[o], hh[o]
                     new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (hh[1:] != hh[:-1])]))
-                    tails.append((d[new] + lo, hh[new], np.diff(np.append(new, len(d)))))
-            if not k:
-                continue
-            net += log10_probability(m, np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]))
-            marks = tx.mix(k2.view(U64) ^ U64(0xA5A5A5A5)).view(np.int64)  # spreads the rows of the documents themselves
-            yield pa.record_batch([pa.array(k1), pa.array(k2), pa.array(np.ones(k, np.int32)), pa.array(marks), pa.array(np.zeros(k, np.int64)), pa.array(sizes), pa.array(known_n), pa.array(base), pa.array(net)], names=names)
-            for row, hh, times in tails:
-                zero, none = np.zeros(len(row), np.int64), np.zeros(len(row))
-                yield pa.record_batch([pa.array(k1[row]), pa.array(k2[row]), pa.array(zero.astype(np.int32)), pa.array(hh.view(np.int64)), pa.array(times), pa.array(zero), pa.array(zero), pa.array(none), pa.array(none)], names=names)
-
-    keyed = own.select(F.coalesce("_id", F.lit(0)).alias("_k1"), F.xxhash64("_text", F.col("_id").isNull()).alias("_k2"), "_text", "_id")
-    marked = keyed.select("_k1", "_k2", "_text").mapInArrow(tx.tidied(run), "_k1 long, _k2 long, doc int, h long, times long, n_tokens long, n_known long, base double, net double")
-    joined = marked.join(vocab.select("h", F.col("n").alias("c")), "h", "left")
-    c = F.coalesce(F.when(F.col("doc") == 0, F.col("c")), F.lit(0))
-    add = F.when(F.col("doc") == 0, F.col("times") * F.log10(c + F.lit(0.5))).otherwise(0.0)
-    each = joined.groupBy("_k1", "_k2").agg(
-        F.sum("doc").alias("_m"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + add).alias("base"), F.sum(F.col("net") + add).alias("net"),
+                    row = pa.array(d[new] + lo)
+                    k = len(new)
+                    opens = np.concatenate([[True], np.diff(d[new]) != 0]).astype(np.int64)  # one row of each text says that it is there
+                    yield pa.record_batch(
+                        [pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int64()), k1.take(row), k2.take(row), pa.nulls(k, pa.bool_()), pa.array(hh[new].view(np.int64)), pa.array(np.diff(np.append(new, len(d)))), pa.array(opens), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.binary())],
+                        names=names,
+                    )
+
+    keyed = own.select("_id", F.coalesce("_id", F.lit(0)).alias("_k1"), F.xxhash64("_text", F.col("_id").isNull()).alias("_k2"), "_held", "_text")
+    keyed.mapInArrow(tx.tidied(mark), _MARKED).write.parquet(f"{base}/symbols")
+    marked = spark.read.schema(_MARKED).parquet(f"{base}/symbols")
+    mine, far = marked.filter("doc = 1"), marked.filter("doc = 0")
+    head_n = top_n[:HEAD]
+    model = gru.start(head_n, words, ends)
+    if total:
+        model = fit(mine.filter("not held").select("_k1", "_k2", "seq"), model, int(total), shard, warm, rounds)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [np.frombuffer(s.as_py(), np.int16) for s in b.column(6)]
+            if seqs:
+                lp = gru.log10_probability(sent.value, np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]))
+                yield pa.record_batch([*b.columns[:5], pa.array(b.column(5).to_numpy() + lp)], names=["_id", "_k1", "_k2", "n_tokens", "n_known", "net"]).append_column("base", b.column(7))
+
+    cols = ["_id", "_k1", "_k2", "n_tokens", "n_known", "net", "seq", "base"]
+    each = mine.select(*cols).mapInArrow(tx.tidied(run), "_id long, _k1 long, _k2 long, n_tokens long, n_known long, net double, base double")
+    c = F.coalesce(F.col("c"), F.lit(0))
+    more = (
+        far.select("_k1", "_k2", "h", "times", F.col("n_tokens").alias("m")).join(vocab.select("h", F.col("n").alias("c")), "h", "left").groupBy("_k1", "_k2")
+        .agg(F.sum("m").alias("m"), F.sum(F.col("times") * F.log10(c + F.lit(0.5))).alias("add"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
+        .select("_k1", "_k2", (F.col("add") / F.col("m")).alias("add"), (F.col("known") / F.col("m")).cast("long").alias("known"))
     )
-    m = F.col("_m")
-    tokens_here = (F.col("n_tokens") / m).cast("long")
-    ids = keyed.groupBy("_k1", "_k2").agg(F.max("_id").alias("_id"))
-    out = each.join(ids, ["_k1", "_k2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), m.cast("int"))))
+    out = each.join(more, ["_k1", "_k2"], "left")
+    add = F.coalesce("add", F.lit(0.0))
+    denominator = float(np.log10(total + 0.5 * (distinct + 1)))
     return out.select(
-        F.col("_id").alias("doc_id"), held.alias("held_out"), tokens_here.alias("n_tokens"), (F.col("n_known") / m).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") / m - tokens_here * F.lit(denominator)).alias("base_score"), (F.col("net") / m).alias("score"),
+        F.col("_id").alias("doc_id"), held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + add - F.col("n_tokens") * F.lit(denominator)).alias("base_score"), (F.col("net") + add).alias("score"),
     )
