@@ -97,8 +97,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return _licenses.license_scan(_table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return _licenses.license_scan(_table(spark, sf_dir, "documents"), "doc_id", "text", _licenses.document_path())
 
 
 ORACLE["op10_license_scan"] = _licenses.oracle()

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.llm import gru, language_model, licenses, quality, toxicity
+from tessera.llm import gru, language_model, license_texts, licenses, quality, toxicity
 from tessera.llm.labelled import fit_logistic
 
 
@@ -204,18 +204,41 @@ def test_language_model_learns_to_the_end_of_a_text():
     assert not np.allclose(a, b, atol=1e-9)
 
 
-def test_licenses(spark):
-    from pyspark.sql import functions as F
+@pytest.fixture
+def real_license():
+    holder = "The MIT License (MIT)\n\nCopyright (c) 2019 Jane Doe\n\n"
+    return holder + license_texts.MIT
 
+
+def scan(spark, rows):
+    df = spark.createDataFrame([(p, i, t, "zz", 1) for p, i, t in rows], "path string, doc_id long, text string, license string, _k1 int")
+    return sorted(((r.doc_id, r.license, r.how, r.from_dir) for r in licenses.license_scan(df, "doc_id", "text", F.col("path")).collect()), key=str)
+
+
+def test_licenses(spark, real_license):
+    wrapped = "/*\n * This library is free software: you can redistribute it and/or modify it\n * under the terms of the GNU Lesser General Public License as published by the\n * Free Software Foundation, either version 3 of the License, or (at your\n * option) any later version.\n */\n" + "int f();\n" * 50
     rows = [
         ("p/LICENSE", 1, "Licensed under the Apache License, Version 2.0."), ("p/q/a.txt", 2, "nothing to see"), ("p/q/r/b.txt", 3, "x y z. " * 30 + "\nReleased under the MIT License.\nmore"),
-        ("p/q/LICENSE", 4, "This work is licensed under the GNU General Public License, version 3."), ("other/c.txt", 5, None), ("d.txt", 6, ""), (None, 7, "plain"), ("p/q/a.txt", 2, "nothing to see"),
+        ("p/q/COPYING.md", 4, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + license_texts.GPL_PREAMBLE + " and so on for many pages. " * 300), ("other/c.txt", 5, None), ("d.txt", 6, ""), (None, 7, "plain"), ("p/q/a.txt", 2, "nothing to see"),
+        ("src/stub.c", 8, "// Licensed under the Apache License, Version 2.0"), ("src/main.c", 9, "int main();"), ("src/wrapped.c", 10, wrapped), ("m/terms.txt", 11, real_license), ("m/n/o/x.c", 12, "int x;"), ("p/x/y/z.c", 13, ""), (None, None, None),
+    ]
+    want = [
+        (1, "Apache-2.0", "file", None), (2, "GPL-3.0", "inherited", "p/q"), (2, "GPL-3.0", "inherited", "p/q"), (3, "MIT", "header", None), (4, "GPL-3.0", "file", None), (5, None, None, None), (6, None, None, None), (7, None, None, None),
+        (8, "Apache-2.0", "header", None), (9, None, None, None), (10, "LGPL-3.0", "header", None), (11, "MIT", "file", None), (12, "MIT", "inherited", "m"), (13, "Apache-2.0", "inherited", "p"), (None, None, None, None),
     ]
-    df = spark.createDataFrame([(p, i, t, "zz") for p, i, t in rows], "path string, doc_id long, text string, license string")
-    got = sorted(((r.doc_id, r.license, r.how, r.from_dir) for r in licenses.license_scan(df, "doc_id", "text", F.col("path")).collect()), key=str)
-    want = [(1, "Apache-2.0", "file", None), (2, "GPL-3.0", "inherited", "p/q"), (2, "GPL-3.0", "inherited", "p/q"), (3, "MIT", "header", None), (4, "GPL-3.0", "file", None), (5, None, None, None), (6, None, None, None), (7, None, None, None)]
-    assert got == sorted(want, key=str)
-    assert licenses.license_scan(df.limit(0), "doc_id", "text", F.col("path")).count() == 0
+    assert scan(spark, rows) == sorted(want, key=str)
+    assert scan(spark, []) == []
+
+
+def test_license_ties_and_copies(spark):
+    rows = [("a/LICENSE", 1, "Released under the MIT License."), ("a/COPYING", 2, "Released under the BSD 3-Clause License."), ("a/x", 3, "x"), ("a/LICENSE", 1, "Released under the MIT License.")]
+    assert scan(spark, rows) == [(1, "MIT", "file", None), (1, "MIT", "file", None), (2, "BSD-3-Clause", "file", None), (3, "MIT", "inherited", "a")]
+
+
+@pytest.mark.parametrize("name,text", [(n, t) for n, k, t in license_texts.TEMPLATES if k == "text"])
+def test_license_texts_are_found(spark, name, text):
+    df = spark.createDataFrame([("l/any", 1, f"Copyright 2020 Somebody\n\n{text}"), ("l/z", 2, "z")], "path string, doc_id long, text string")
+    assert {(r.license, r.how) for r in licenses.license_scan(df, "doc_id", "text", F.col("path")).collect()} == {(name, "file"), (name, "inherited")}
 
 
 def test_licenses_native():
