@@ -4,9 +4,14 @@ A capture is written as three records: a request, a response (or a revisit of
 an earlier response with the same payload) and metadata; the request and the
 metadata name the response in WARC-Concurrent-To. Archives are written by
 Spark's text writer and read by its binary file reader, so both work on any
-file system that Spark knows. Records are cut by Content-Length, so payloads
-may hold anything. Assembly groups records by the capture they name and emits
-one nested row each.
+file system that Spark knows. Record ids are made of the capture's own id, its
+payload's digest and a hash of its address, so a revisit names its target
+rightly however the table is cut and whichever task is run again. Archives hold
+about ``FILE_BYTES`` each by the mean size of a page and are inflated as they are
+read, so a worker holds one compressed archive and one record. Records are cut
+by Content-Length, so payloads may hold anything; a record that ends early is an
+error. Assembly groups records by the capture they name and emits one nested
+row each.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .cluster import shared_dir
 
-LEAST, DATE = 100, "2024-01-01T00:00:00Z"
+LEAST, DATE, FILE_BYTES, STEP = 100, "2024-01-01T00:00:00Z", 128 << 20, 1 << 20
 _RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, mime string, payload_bytes long, payload_digest string, http string, fields map<string,string>, payload binary"
 
 
@@ -34,19 +39,23 @@ def _record(kind: str, head: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*lines, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_warc(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE, least: int = LEAST, per_file: int = 20_000) -> None:
+def write_warc(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
     """Writes a request, a response or revisit, and a metadata record per row.
 
     Of rows with equal payloads of ``least`` bytes or more, that with the least
     id is the response and the others revisit it; equal rows of that id are
-    both responses. Null payloads are empty ones; null ids are written as such
-    and revisit when any other row has the payload.
+    both responses, with equal records. Null payloads are empty ones; null ids
+    are written as such and revisit when any other row has the payload. Ids are
+    integers. Other columns are left out; an empty table writes no record.
     """
     rows = captures.select(
         F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("_url"),
-        F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("_body"), F.monotonically_increasing_id().alias("_row"),
+        F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("_body"),
     )
+    mean = rows.agg(F.avg(F.octet_length("_body"))).first()[0] or 0
+    per_file = int(min(20_000, max(1, file_bytes // (mean + 1000))))
     rows = rows.withColumn("_size", F.octet_length("_body").cast("long")).withColumn("_sha", F.sha2("_body", 256))
+    rows = rows.withColumn("_row", F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), "_sha", F.hex(F.xxhash64("_url"))))
     first = rows.filter(F.col("_size") >= least).groupBy("_sha").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))).alias("_first"))
     rows = rows.join(first, "_sha", "left").withColumn("_again", F.coalesce(~F.col("_id").eqNullSafe(F.col("_first._id")) & F.col("_first").isNotNull(), F.lit(False)))
     name = lambda kind, row: F.concat(F.lit(f"<urn:x-capture:{kind}:"), row.cast("string"), F.lit(">"))
@@ -77,27 +86,73 @@ def _head(block: bytes) -> dict[str, str]:
     return out
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """An archive, plain or gzip (one member or many), in steps."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), STEP):
+            yield data[at : at + STEP]
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, tail = zlib.decompressobj(31), b""
+        while at < len(data) and not member.eof:
+            own = tail or view[at : at + STEP]
+            made = member.decompress(own, STEP)
+            if not tail:
+                at += len(own)
+            tail = member.unconsumed_tail
+            if made:
+                yield made
+            while tail and not member.eof:
+                made = member.decompress(tail, STEP)
+                tail = member.unconsumed_tail
+                yield made
+        if not member.eof:
+            raise ValueError("the archive ends within a gzip member")
+        at -= len(member.unused_data)
+        while at < len(data) and data[at] == 0:
+            at += 1
+
+
 def parse_warc(data: bytes, with_payload: bool = True) -> Iterator[dict]:
-    """Records of an archive, plain or gzip (one member or many), as rows of ``read_warc``."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data.lstrip(b"\0")
-        data = b"".join(parts)
-    at = 0
+    """Records of an archive as rows of ``read_warc``; raises ValueError where a record is cut short."""
+    parts = _inflated(data)
+    buf, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del buf[:at]
+        at = 0
+        buf.extend(part)
+        return True
+
     while True:
-        while data[at : at + 2] == b"\r\n":
+        while len(buf) - at < 2 and more():
+            pass
+        while buf[at : at + 2] == b"\r\n":
             at += 2
-        if at >= len(data):
+            while len(buf) - at < 2 and more():
+                pass
+        if at >= len(buf):
             return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = _head(data[at:end])
-        block = data[end + 4 : end + 4 + int(head["content-length"])]
-        at = end + 4 + len(block)
+        seen = at
+        while (end := buf.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(buf) - at - 3)
+            if not more():
+                raise ValueError("no WARC record where one should begin")
+        if buf[at : at + 5] != b"WARC/":
+            raise ValueError("no WARC record where one should begin")
+        head = _head(bytes(buf[at:end]))
+        size = int(head["content-length"])
+        at = end + 4
+        while len(buf) - at < size:
+            if not more():
+                raise ValueError(f"record {head.get('warc-record-id')} is cut short")
+        block = bytes(buf[at : at + size])
+        at += size
         mime = head.get("content-type", "")
         http, fields, payload = None, {}, block
         if mime.startswith("application/http"):
@@ -139,26 +194,28 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A record belongs to the capture it names in concurrent_to, else to its own.
     Captures without a response or revisit have a null main; of several
-    records of a kind, that with the least id counts. refers is null for
+    different records of a kind, that with the least id counts. A capture that
+    is in the archives several times gives as many rows. refers is null for
     responses and for revisits of records that are not in the archives.
     """
     body = F.struct(*[F.col(c) for c in records.columns if c != "fields"], F.map_entries("fields").alias("fields"))
     kind = lambda *types: F.min(F.when(F.col("type").isin(*types), body))
-    whole = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id")).groupBy("capture_id").agg(kind("response", "revisit").alias("main"), kind("request").alias("request"), kind("metadata").alias("metadata"))
+    whole = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id")).groupBy("capture_id").agg(kind("response", "revisit").alias("main"), kind("request").alias("request"), kind("metadata").alias("metadata"), F.count_if(F.col("type").isin("response", "revisit")).alias("_times"))
     said = F.col("metadata.fields")
     whole = whole.withColumn("capture_number", F.try_element_at(F.map_from_entries(F.coalesce(said, F.array().cast(said_type))), F.lit("capture-id")).try_cast("long"))
     target = whole.filter("main.type = 'response'").select(F.col("main.record_id").alias("_rid"), F.struct("capture_number", F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest")).alias("refers"))
-    return whole.join(target, whole["main.refers_to"] == target["_rid"], "left").drop("_rid")
+    out = whole.join(target, whole["main.refers_to"] == target["_rid"], "left").withColumn("_rid", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_times").cast("int"), F.lit(1)))))
+    return out.drop("_rid", "_times")
 
 
 said_type = "array<struct<key:string,value:string>>"
 
 
-def round_trip(captures: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
+def round_trip(captures: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes archives to the shared folder, reads them back and returns one row per capture."""
     spark = captures.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(captures, path, id_col, url_col, payload_col, least=least)
+    write_warc(captures, path, id_col, url_col, payload_col, least=least, file_bytes=file_bytes)
     whole = assemble(read_warc(spark, path, with_payload=False))
     again = F.col("main.type") == "revisit"
     return whole.select(

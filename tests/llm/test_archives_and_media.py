@@ -5,6 +5,7 @@ import wave
 import zlib
 
 import numpy as np
+import pytest
 
 from tessera.llm import media, warc
 
@@ -29,6 +30,28 @@ def test_parse_members_and_orphans(spark):
     rows = list(warc.parse_warc(gzip.compress(one) + gzip.compress(two)))
     assert [r["type"] for r in rows] == ["request", "response"] and rows[0]["payload"] == b"body" and rows[1]["payload_bytes"] == 0
     assert list(warc.parse_warc(one + two)) == rows
+    step, warc.STEP = warc.STEP, 3  # records across the steps of reading
+    try:
+        assert list(warc.parse_warc(gzip.compress(one) + gzip.compress(two) + gzip.compress(one)))[:2] == rows
+        assert list(warc.parse_warc(one + two)) == rows
+    finally:
+        warc.STEP = step
+    for cut in (one[:-10], gzip.compress(one)[:-12], one + b"WARC/1.0\r\nWARC"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse_warc(cut))
+    assert list(warc.parse_warc(b"")) == []
+
+
+def test_round_trip_of_many_files_and_layouts(spark):
+    big = "x" * 3_000_000
+    rows = [(i, f"u{i % 7}", big if i in (3, 90) else ("same " * 30 if i % 3 else f"page {i} " * 20)) for i in range(120)] + [(5, "u5", "same " * 30)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = None
+    for parts in (1, 9):
+        got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df.repartition(parts), file_bytes=40_000).collect()), key=str)
+        want = want or got
+        assert got == want and len(got) == len(rows)
+    assert [r for r in want if r[0] == 90] == [(90, 3_000_000, "revisit", 3)]
 
 
 def test_media(spark):
