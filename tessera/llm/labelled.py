@@ -6,17 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import checkpoint
+
 
 def fold(id_col: str, modulus: int):
     """The fold of a row: crc32 of its id as text, modulo modulus."""
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of at most ``most`` labelled documents of each class outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, y, text) of at most ``most`` labelled documents of each class outside the held-out fold, of ``most_bytes`` bytes of text in all.
 
-    Which ones is set by a hash of the id. Only the ids are sent around, ``2 *
-    most`` of them at the most.
+    Which ones is set by a hash of the id; a text that no longer fits is left
+    out, those taken are whole. Only ids and sizes are sent around. The sample
+    is written once to the shared folder.
     """
     ok = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     ok = ok.filter(fold("id", modulus) != held_out)
@@ -24,8 +27,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     for y in (0, 1):
         part = ok.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return text.join(F.broadcast(picked), "id").select("id", "y", "text")
+    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = checkpoint(text.join(F.broadcast(picked), "id").select("id", "y", "text"))
+    sizes = rows.groupBy("id").agg(F.sum(F.octet_length("text")).alias("n"), F.xxhash64("id").alias("o")).orderBy("o", "id").collect()  # 2 * most rows
+    room, dropped = most_bytes, []
+    for r in sizes:
+        if r.n <= room:
+            room -= r.n
+        else:
+            dropped.append(r.id)
+    return rows.filter(~F.col("id").isin(dropped)) if dropped else rows
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -8,10 +8,10 @@ table rows. Rectified responses are max-pooled over the chunk; the chunks of a
 document are combined by their mean and maximum, and a logistic unit gives the
 probability of label 1.
 
-It is trained by Adam on at most ``SAMPLE`` labelled documents of each class,
-each seen through at most ``VIEWS`` chunks spread over it, so neither the
-driver's memory nor the cost of training depends on the size of the corpus.
-Scoring reads every byte of every text.
+It is trained by Adam on all chunks of at most ``SAMPLE`` labelled documents of
+each class, ``SAMPLE_BYTES`` of text at most, so neither the driver's memory nor
+the cost of training depends on the size of the corpus. Scoring reads every
+byte of every text.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .columns import free
 from .labelled import fold, labelled_sample, sigmoid
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 512, 32, 8, 4, 24
-SAMPLE, VIEWS, STEPS, BATCH, RATE = 1500, 12, 900, 48, 4e-3
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH, RATE = 1500, 64 << 20, 900, 48, 4e-3
 HELD_MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 _SPOTS = (CHUNK - WIDTH) // STRIDE + 1
 Model = dict[str, np.ndarray]
@@ -128,45 +129,44 @@ def score_texts(buf: np.ndarray, offs: np.ndarray, m: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Trains on labelled rows outside the held-out fold."""
+    t = labelled_sample(docs, labels, label, HELD_MODULUS, HELD_OUT, sample, SAMPLE_BYTES, id_col, text_col).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    held = []
+    for text in t["text"].to_pylist():
+        own = np.frombuffer(text.encode(), np.uint8)
+        starts = chunk_starts(len(own))
+        held.append(chunks_of(own, starts, np.full(len(starts), len(own))))
+    return train(held, t["y"].to_numpy())
 
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = tx.string_buffers(b.column(2))
-            rows = []
-            for i in range(len(b)):
-                own = buf[offs[i] : offs[i + 1]]
-                starts = chunk_starts(len(own))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(VIEWS, len(starts))).round().astype(int))]
-                rows.append(chunks_of(own, starts, np.full(len(starts), len(own))).tobytes())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
-
-    rows = labelled_sample(docs, labels, label, HELD_MODULUS, HELD_OUT, sample, id_col, text_col).mapInArrow(tx.tidied(views), "id long, y int, x binary")
-    t = rows.toArrow().sort_by([("id", "ascending"), ("x", "ascending")])  # at most 2 * sample * VIEWS * CHUNK bytes
-    return train([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in t["x"].to_pylist()], t["y"].to_numpy())
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``_score``: the probability of label 1. Null texts score as empty ones."""
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "_score") -> DataFrame:
+    """docs with a column ``name``: the probability of label 1. Null texts score as empty ones; ``name`` must be new to docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = tx.string_buffers(b.column(at))
             out = [score_texts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sent.value) for lo, hi in tx.doc_runs(offs)]
-            yield pa.record_batch([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, "_score"])
+            yield pa.record_batch([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, name])
 
     return docs.mapInArrow(tx.tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, held_out, score, predicted) of every row. Null ids count as not held out; without labels of both classes the score is their share."""
-    made = score(docs.select(id_col, text_col), fit(docs, labels, label, id_col, text_col), id_col, text_col)
-    held = F.coalesce(fold(id_col, HELD_MODULUS) == HELD_OUT, F.lit(False))
-    return made.select(id_col, held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    """(id_col, held_out, score, predicted) of every row.
+
+    Null ids count as not held out. Null and empty texts score as one chunk of
+    zero bytes; texts of any length are read whole. Without labels of both
+    classes the score is their share. A repeated label counts as the greater.
+    Repeated rows give repeated results; other columns are left out.
+    """
+    made = score(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")), fit(docs, labels, label, id_col, text_col), "i", "t")
+    held = F.coalesce(fold("i", HELD_MODULUS) == HELD_OUT, F.lit(False))
+    return made.select(F.col("i").alias(id_col), held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    return score(docs, fit(docs, labels, "quality", id_col, text_col), id_col, text_col).filter(F.col("_score") >= threshold).drop("_score")
+    """The rows of docs, all columns, that the classifier accepts."""
+    name = free("score", docs.columns)
+    return score(docs, fit(docs, labels, "quality", id_col, text_col), id_col, text_col, name).filter(F.col(name) >= threshold).drop(name)

@@ -1,10 +1,13 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
@@ -52,14 +55,75 @@ def test_quality_edges(spark):
     good = {r.doc_id: r.predicted for r in got if r.doc_id is not None and 50 <= r.doc_id < 60}
     assert all(p == int(i % 3 > 0) for i, p in good.items())
     assert quality.classify(docs, labels.limit(0)).count() == len(rows)
-    assert quality.keep_good(docs, labels).columns == docs.columns
-
-
-def test_toxicity_readings_and_edges(spark):
+    clash = docs.selectExpr("*", "1 as _score", "'x' as y", "text as i", "3 as held_out", "4 as __a")
+    kept = quality.keep_good(clash, labels)
+    assert kept.columns == clash.columns and 0 < kept.count() < len(rows)
+    twice = quality.classify(clash.union(clash), labels.union(labels)).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.predicted) for r in twice) == sorted([(str(r.doc_id), r.held_out, r.predicted) for r in got] * 2)
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_quality_scores_are_those_of_a_plain_network():
+    rng = np.random.default_rng(6)
+    m = quality.train([rng.integers(97, 123, (k % 3 + 1, quality.CHUNK)).astype(np.uint8) for k in range(12)], np.arange(12) % 2)
+    texts = [b"", b"a", b"abc def " * 64, bytes(rng.integers(32, 127, 5000).astype(np.uint8)), b"x" * 100_000]
+    got = quality.score_texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), m)
+    for t, p in zip(texts, got):
+        pooled = []
+        for s in quality.chunk_starts(len(t)):
+            c = t[s : s + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            every = [sum(m["table"][k, c[at + k]] for k in range(quality.WIDTH)) for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            pooled.append(np.maximum(np.max(every, axis=0) + m["bias"], 0))
+        z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ m["out"] + m["last"][0]
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def plain_reading(symbols, i):
+    """Which reading an insult or threat has, by looking around."""
+    before = symbols[:i]
+    negated = toxicity.NEGATION in before[-toxicity.NEGATED_FOR :]
+    if symbols[i] == toxicity.INSULT:
+        return 3 if toxicity.REPORT in before else 2 if negated else 1 if toxicity.TARGET in symbols else 0
+    near = toxicity.TARGET in symbols[max(0, i - toxicity.THREAT_REACH) : i + toxicity.THREAT_REACH + 1]
+    return 4 if near and not negated and toxicity.REPORT not in before else -1
+
+
+@given(st.lists(st.integers(0, 5), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_composed_machines_read_as_looking_around_does(symbols):
+    weights = [0.5 + i if s == toxicity.INSULT else 0.0 for i, s in enumerate(symbols)]
+    want = [0.0] * 5
+    for i, s in enumerate(symbols):
+        if s in (toxicity.INSULT, toxicity.THREAT) and (k := plain_reading(symbols, i)) >= 0:
+            want[k] += weights[i] if s == toxicity.INSULT else 1
+    assert toxicity.read_clause(symbols, weights) == pytest.approx(want)
+
+
+def test_toxicity_scores_are_those_of_a_plain_scorer():
     lex = {"idiot": 5.0, "schu*": 3.0}
-    read = lambda s: toxicity.read_clause(*map(list, zip(*[toxicity.symbol(toxicity.normal(w.encode()), lex) for w in s.split()])))
-    assert read("what an idiot")[0] == 5 and read("you are an idiot")[1] == 5 and read("not idiot")[2] == 5 and read("he said idiot,")[3] == 5
-    assert read("kill you")[4] == 1 and toxicity.symbol("schuft", lex) == (toxicity.INSULT, 3.0)
+    texts = ["", "you are an idiot. he said: idiot! not an idiot\nidiot idiot", "kill you; kill the time", "du bist nicht idiot", "tu es pas idiot", "ein schuft ist ein schuft " * 50, "x " * 40_000 + "you idiot"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = toxicity.Grammar(lex).describe(buf, offs)
+    for t, x in zip(texts, got):
+        sums, dense, n = np.zeros(5), 0.0, 0
+        for clause in re.split("(?<=[.,;:!?])\\s+|\n", t):
+            made = [toxicity.symbol(toxicity.normal(w.encode()), lex) for w in clause.split()]
+            if not any(s in (toxicity.INSULT, toxicity.THREAT) for s, _ in made):
+                continue
+            own = np.zeros(5)
+            for i, (s, w) in enumerate(made):
+                if s in (toxicity.INSULT, toxicity.THREAT) and (k := plain_reading([m[0] for m in made], i)) >= 0:
+                    own[k] += w if s == toxicity.INSULT else 1
+            meant = own[0] + own[1] + own[4]
+            sums, dense, n = sums + own, max(dense, meant / len(made) ** 0.5), n + (meant > 0)
+        assert x == pytest.approx([*np.log1p(sums), dense, np.log1p(n)])
+    assert got[3][1] == got[4][1] == 0 < got[3][2]
+
+
+def test_toxicity_edges(spark):
+    lex = {"schu*": 3.0}
+    assert toxicity.symbol("schuft", lex) == (toxicity.INSULT, 3.0)
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     rows = [(i, " ".join(word() for _ in range(40)) + (" grunk! " if i % 4 == 0 else "")) for i in range(400)] + [(400, None), (401, ""), (None, "grunk")]
@@ -69,7 +133,10 @@ def test_toxicity_readings_and_edges(spark):
     assert len(got) == len(rows)
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 400)
     assert all(r.predicted == 0 for r in got if r.doc_id in (400, 401))
-    assert toxicity.classify(docs, labels.limit(0)).count() == len(rows)
+    assert toxicity.classify(docs, labels.limit(0)).count() == len(rows) and toxicity.classify(docs.limit(0), labels).count() == 0
+    clash = docs.selectExpr("*", "1 as _score", "'x' as y", "2 as score", "text as i", "3 as held_out")
+    twice = toxicity.classify(clash.union(clash), labels.union(labels)).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.predicted) for r in twice) == sorted([(str(r.doc_id), r.held_out, r.predicted) for r in got] * 2)
 
 
 def test_logistic():
