@@ -16,7 +16,7 @@ states at an insult or threat sets its reading: plain, aimed, negated, reported
 or a threat near a target. What a clause emits is the weight of each reading.
 
 A text is described by its matched clauses alone: the weights by reading, the
-greatest weight of a clause for its length and how many clauses match. A
+greatest weight of a clause, also for its length, and how many clauses match. A
 logistic unit fitted on the labelled sample combines them.
 
 The sample is at most ``SAMPLE`` labelled documents of each class and
@@ -51,7 +51,7 @@ REPORTS = {"said", "says", "quoted", "quotes", "reported", "wrote", "called", "s
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = 6
 PLAIN, PERSONAL, DENIED, QUOTED, MENACE = range(5)
-FEATURES = 7
+FEATURES = 8
 _NOTHING = (OTHER, 0.0)
 
 
@@ -202,6 +202,7 @@ class Grammar:
             out[d, :5] += made
             out[d, 5] = max(out[d, 5], meant / math.sqrt(hi - lo))
             out[d, 6] += meant > 0
+            out[d, 7] = max(out[d, 7], meant)
         out[:, :5] = np.log1p(out[:, :5])
         out[:, 6] = np.log1p(out[:, 6])
         return out

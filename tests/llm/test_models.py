@@ -106,7 +106,7 @@ def test_toxicity_scores_are_those_of_a_plain_scorer():
     offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
     got = toxicity.Grammar(lex).describe(buf, offs)
     for t, x in zip(texts, got):
-        sums, dense, n = np.zeros(5), 0.0, 0
+        sums, dense, n, most = np.zeros(5), 0.0, 0, 0.0
         for clause in re.split("(?<=[.,;:!?])\\s+|\n", t):
             made = [toxicity.symbol(toxicity.normal(w.encode()), lex) for w in clause.split()]
             if not any(s in (toxicity.INSULT, toxicity.THREAT) for s, _ in made):
@@ -117,7 +117,8 @@ def test_toxicity_scores_are_those_of_a_plain_scorer():
                     own[k] += w if s == toxicity.INSULT else 1
             meant = own[0] + own[1] + own[4]
             sums, dense, n = sums + own, max(dense, meant / len(made) ** 0.5), n + (meant > 0)
-        assert x == pytest.approx([*np.log1p(sums), dense, np.log1p(n)])
+            most = max(most, meant)
+        assert x == pytest.approx([*np.log1p(sums), dense, np.log1p(n), most])
     assert got[3][1] == got[4][1] == 0 < got[3][2]
 
 
