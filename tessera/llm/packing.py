@@ -41,7 +41,7 @@ from .columns import free
 from .tokens import default_path, encode_column
 
 #: Tokens of a sequence; end id; steps of the search; pieces of a slice; pieces of a filling up to which dominance is tested.
-CAPACITY, END, EFFORT, SLICE, TESTED = 2048, 0, 1_000_000, 1_000_000, 8
+CAPACITY, END, EFFORT, SLICE, TESTED = 2048, 0, 1_000_000, 5_000, 8
 Filling = tuple[tuple[int, ...], int]
 
 
@@ -267,14 +267,15 @@ def pack(made: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT, slice_
     """
     made = checkpoint(made.drop("sequence_id", "offset"))
     names = made.columns
-    part, number, before = (free(s, names) for s in ("slice", "number", "before"))
+    part, number, before, size = (free(s, names) for s in ("slice", "number", "before", "size"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in made.groupBy("length").count().collect():  # a row per length
         counts[r[0]] = r[1]
     sent = made.sparkSession.sparkContext.broadcast(slots(complete(counts, capacity, effort)))
-    n_slices = max(1, -(-int(counts.sum()) // slice_rows))
+    # Slices by length: only lengths of many pieces have several.
+    cut = made.sparkSession.createDataFrame([(k, int(-(-n // slice_rows))) for k, n in enumerate(counts.tolist()) if n] or [(0, 1)], f"`{size}` long, `{before}` int")
     deal = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    keyed = made.withColumn(part, F.pmod(deal, F.lit(n_slices)))
+    keyed = made.join(F.broadcast(cut), F.col("length") == F.col(size)).withColumn(part, F.pmod(deal, F.col(before)).cast("int")).drop(size, before)
     whole = W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     starts = keyed.groupBy("length", part).count().select("length", part, F.coalesce(F.sum("count").over(whole), F.lit(0)).alias(before))
     numbered = keyed.withColumn(number, F.row_number().over(W.partitionBy("length", part).orderBy(deal, *[F.col(f"`{c}`") for c in names])) - 1)
