@@ -18,7 +18,7 @@ GROUPS, TAILS = HEAD // GROUP, SHAPES * BANDS
 END = HEAD + TAILS
 CLASSES, SYMBOLS = GROUPS + TAILS + 1, END + 1
 #: Steps of a window when scoring and when training; texts side by side; tokens read before they are laid side by side.
-WINDOW, STEPS, ROWS, READ = 64, 32, 64, 1 << 18
+WINDOW, STEPS, ROWS, READ = 64, 32, 128, 1 << 18
 Model = dict[str, np.ndarray]
 SHAPE = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (GROUPS, HIDDEN, GROUP), "bw": (GROUPS, GROUP)}
 
