@@ -4,17 +4,20 @@ The reference is the whole corpus, cut into blocks at content-defined anchors.
 Every window of ``window`` words contains an anchor: a ``gram``-word hash that
 is minimal in it, so equal windows lie in blocks with equal anchors. Blocks
 whose anchor occurs once match nothing and leave early. The rest are indexed by
-anchor, each keeping the hashes of its windows, and each document is factored
-against them: a window that starts elsewhere too points to its first other
-occurrence; successive windows whose targets advance together form one factor.
-Factors reach ``window`` words at least, and as every window start is looked
-up, none is missed where one factor ends and another begins. The words under
-factors are the duplicate spans.
-
-Skew: the blocks of an anchor with over ``hot`` occurrences are first reduced
-to different ones (partial sums before the shuffle), whose windows are then
-aggregated; a join that adaptive execution can split brings the result back.
-No task gathers such a group.
+anchor, each keeping the hashes of its windows, and each block is factored
+against all blocks of its anchor: from its first window that starts elsewhere
+too, the longest run of windows that goes on in the same way at any one other
+place is a factor, and parsing goes on behind it. The longest match is a
+neighbour in the sorted order of all suffixes. Factors that go on in the next
+block of both texts are joined. So factors reach ``window`` words at least, each
+window is looked at where a factor begins or ends, and the words under factors
+are the duplicate spans.
+
+Skew: the blocks of an anchor with over ``hot`` occurrences are cut where their
+content says so and reduced to different pieces (partial sums before the
+shuffle), whose windows are then aggregated; a join that adaptive execution can
+split brings the result back. There a factor is a run of windows whose first
+other occurrences follow each other. No task gathers such a group.
 """
 
 from __future__ import annotations
@@ -29,21 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .columns import free
 
 U64 = np.uint64
 WINDOW, GRAM, HOT, PIECE = 35, 8, 512, 8
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
     """Rows under neutral names; (_k1, _k2) tells rows apart even if ids repeat or are null."""
-    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != text_col]
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
     text = F.col(f"`{text_col}`").cast("string")
     ident = F.col(f"`{id_col}`")
     return docs.select(
         F.coalesce(ident.cast("long"), F.lit(0)).alias("_k1"),
         F.xxhash64(text, ident.isNull()).alias("_k2"),
         text.alias("_text"),
-        F.struct(*rest).alias("_rest"),
+        F.struct(F.lit(0).alias("none"), *rest).alias("_rest"),
     )
 
 
@@ -133,6 +137,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(pos[new].astype(np.int32)), pa.array(np.isin(a, heat)), tx.lists(pa.array(wide.view(np.int64)), n), zero, zero], names=names)
 
 
+def longest_matches(kind: np.ndarray, opens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, how many windows from it on some other place repeats, and that place.
+
+    kind: equal for equal windows; opens: whether a run begins; first: an order
+    of the windows, in which equal suffixes are sorted. Suffixes of runs are
+    ranked by doubling; a longest match is a neighbour in their order.
+    """
+    n = len(kind)
+    run = np.cumsum(opens) - 1
+    end = np.append(np.flatnonzero(opens)[1:], n)[run]
+    left = end - np.arange(n)
+    ranks, step = [np.unique(kind, return_inverse=True)[1].reshape(-1)], 1
+    while step < left.max():
+        after = np.minimum(np.arange(n) + step, n - 1)
+        second = np.where(left > step, ranks[-1][after] + 1, 0)
+        ranks.append(np.unique(ranks[-1] * (n + 1) + second, return_inverse=True)[1].reshape(-1))
+        step *= 2
+    tie = np.empty(n, np.int64)
+    tie[first] = np.arange(n)
+    order = np.lexsort((tie, ranks[-1]))
+    a, b = order[:-1], order[1:]
+    most = np.minimum(left[a], left[b])
+    common = np.zeros(n - 1, np.int64)
+    for rank in reversed(ranks):
+        x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+        common += np.where((common < most) & (rank[x] == rank[y]), step, 0)
+        step //= 2
+    common = np.minimum(common, most)
+    up, down = np.append(0, common), np.append(common, 0)
+    size, other = np.empty(n, np.int64), np.empty(n, np.int64)
+    size[order] = np.maximum(up, down)
+    other[order] = np.where(up >= down, np.append(order[:1], a), np.append(b, order[-1:]))
+    return size, other
+
+
+def greedy(kind: np.ndarray, opens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, place of the match) of the greedy factors of all runs; arguments as in ``longest_matches``."""
+    size, other = longest_matches(kind, opens, first)
+    at = np.flatnonzero(opens)
+    end = np.append(at[1:], len(kind))
+    out = []
+    while len(at):  # one factor of every run at a time
+        out.append(at)
+        at = at + np.maximum(size[at], 1)
+        at, end = at[at < end], end[at < end]
+    at = np.sort(np.concatenate(out))
+    return at, size[at], other[at]
+
+
 def _factors(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Batches sorted by anchor -> runs of windows that also start elsewhere, with where."""
 
@@ -144,28 +197,17 @@ def _factors(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterato
         wh = w.flatten().to_numpy().view(U64)
         anchor, k1, k2, at = (t[c].to_numpy() for c in ("anchor", "_k1", "_k2", "at"))
         pos = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((pos, k2[row], k1[row], anchor[row], wh))
-        s, a = wh[order], anchor[row][order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] != a[:-1])])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(s)))
-        group = np.cumsum(new) - 1
-        many = size[group] > 1
-        target = first[group] + (np.arange(len(s)) == first[group])  # the first occupies its second
-        target = np.minimum(target, len(s) - 1)
-        ref = np.empty(len(s), np.int64)
-        ref[order] = order[target]
-        dup = np.zeros(len(s), bool)
-        dup[order] = many
-        i = np.flatnonzero(dup)
+        order = np.lexsort((wh, anchor[row]))
+        new = np.concatenate([[True], (wh[order][1:] != wh[order][:-1]) | (anchor[row][order][1:] != anchor[row][order][:-1])])
+        kind = np.empty(len(wh), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        i = np.flatnonzero((np.bincount(kind) > 1)[kind])  # windows that start elsewhere too
         if not len(i):
             return None
-        r = ref[i]
-        ks, kr = row[i], row[r]
-        step = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(ks) != 0) | (k1[kr][1:] != k1[kr][:-1]) | (k2[kr][1:] != k2[kr][:-1]) | (np.diff(pos[r]) != 1)])
-        f = np.flatnonzero(step)
+        at, size, ref = greedy(kind[i], np.concatenate([[True], (np.diff(i) != 1) | (np.diff(row[i]) != 0)]), np.lexsort((pos[i], k2[row[i]], k1[row[i]])))
+        ks, kr = row[i[at]], row[i[ref]]
         return pa.record_batch(
-            [pa.array(k1[ks[f]]), pa.array(k2[ks[f]]), pa.array(pos[i[f]].astype(np.int32)), pa.array(np.diff(np.append(f, len(i))).astype(np.int32)), pa.array(k1[kr[f]]), pa.array(pos[r[f]].astype(np.int32))],
+            [pa.array(k1[ks]), pa.array(k2[ks]), pa.array(pos[i[at]].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(k1[kr]), pa.array(pos[i[ref]].astype(np.int32))],
             names=["_k1", "_k2", "at", "n", "ref", "ref_at"],
         )
 
@@ -203,19 +245,30 @@ def _parse(factors: list[dict] | None, n_words: int, window: int) -> tuple[np.nd
     return np.cumsum(mark[:-1]) > 0, [(s, n + window - 1, r, p) for s, n, r, p in out]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+REPORT = "n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int,source:long,source_start:int>>"
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, prefix: str = "_") -> DataFrame:
     """Removes every word under a run of ``window`` words that also starts elsewhere.
 
     Returns the other columns of docs with ``text_col`` replaced by what is
-    kept (its own white space stays), and ``_n_words``, ``_n_removed``,
-    ``_kept_sha256`` (of the kept words joined by one space) and ``_factors``
-    (array of start, words, source id, source start).
+    kept (its own white space stays), and behind them, their names begun by
+    ``prefix``, n_words, n_removed, kept_sha256 (of the kept words joined by one
+    space) and factors (array of start, words, source id, source start). A
+    column of docs by such a name is replaced. Ids are integers and may be null
+    or repeat.
 
     Null and empty texts have no words and stay as they are; texts shorter than
-    ``window`` words lose nothing. A row that is there twice is a copy of
-    itself, so both lose all their windows. Windows are judged on the input.
+    ``window`` words lose nothing; texts of any length are parsed whole. A row
+    that is there twice is a copy of itself, so both lose all their windows.
+    Of equally long matches a neighbour by id is the source. Windows are judged
+    on the input. An empty table gives an empty one.
     """
-    base = _keyed(docs, id_col, text_col)
+    report = T._parse_datatype_string(REPORT).fields
+    made_names = [prefix + f.name for f in report]
+    order = [c for c in docs.columns if c.lower() not in {m.lower() for m in made_names}]
+    others = [c for c in order if c != text_col]
+    base = _keyed(docs, id_col, text_col, others)
     plain = base.select("_k1", "_k2", "_text")
     key = ["_k1", "_k2"]
     anchors = plain.mapInArrow(tx.tidied(lambda it: _anchors(it, window, gram)), "anchor long, _k1 long, _k2 long, n int")
@@ -250,13 +303,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = blocks.filter("n > 0").select(*key, F.array(F.struct("at", "n", F.col("_k1").alias("ref"), "ref_at")).alias("_a"))
     found = alone.unionByName(lots).unionByName(inside).groupBy(*key).agg(F.flatten(F.collect_list("_a")).alias("_f"))
 
-    rest = base.schema["_rest"].dataType
-    order = docs.columns
-    schema = T.StructType([*[docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in order], *T._parse_datatype_string("_n_words long, _n_removed long, _kept_sha256 string, _factors array<struct<start:int,words:int,source:long,source_start:int>>").fields])
+    schema = T.StructType([*(docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in order), *(T.StructField(m, f.dataType) for m, f in zip(made_names, report))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, factors, others = b.column(0), b.column(1).to_pylist(), b.column(2)
+            text, factors, rest = b.column(0), b.column(1).to_pylist(), b.column(2)
             kept, n_words, n_removed, sha, spans = [], [], [], [], []
             row = 0
             for lo, hi, words in tx.word_runs(text):
@@ -283,10 +334,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sha.append(hashlib.sha256(joined).hexdigest())
                     spans.append([dict(zip(("start", "words", "source", "source_start"), m)) for m in made])
                     row += 1
-            cols = {c: others.field(rest.fieldNames().index(c)) for c in order if c != text_col}
+            cols = {c: rest.field(f"c{k}") for k, c in enumerate(others)}
             cols[text_col] = pa.array(kept, pa.string())
             made_type = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
             extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, made_type)]
             yield pa.record_batch([*(cols[c] for c in order), *extra], names=schema.fieldNames())
 
     return base.join(found, key, "left").select("_text", "_f", "_rest").mapInArrow(tx.tidied(finish), schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, **more) -> DataFrame:
+    """docs, their own columns, without repeated passages; ``size_col`` takes the characters of texts that lost words."""
+    mark = free("", docs.columns)
+    out = substring_dedup(docs, id_col, text_col, prefix=mark, **more)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    if size_col in docs.columns:
+        size = F.when(F.col(f"{mark}n_removed") > 0, F.length(F.col(f"`{text_col}`")).cast(docs.schema[size_col].dataType)).otherwise(F.col(f"`{size_col}`"))
+        cols[docs.columns.index(size_col)] = size.alias(size_col)
+    return out.select(*cols)
