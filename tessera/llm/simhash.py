@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from . import textops as tx
 from .cluster import checkpoint, components, hook
 
@@ -172,7 +173,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     Texts without words have fingerprint zero and link like any other. Null
     ids take part in links but are no component's id unless nothing else is
-    there. Repeated rows give repeated results. Other columns are left out.
+    there. Ids are integers; texts of any length are read whole. Repeated rows
+    give repeated results, an empty table an empty one. Other columns are left
+    out.
     """
     each = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     nodes = each.groupBy("fp").agg(F.min("id").alias("least"))
@@ -182,8 +185,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return each.join(rooted.join(best, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Keeps one document of each group, that with the least id; a repeated id stays once. Null ids are kept as they are."""
-    keep = groups(docs, id_col, text_col, shingle, distance).filter("id = component_id").select(F.col("id").alias("_keep_id")).distinct()
-    some = docs.join(keep, docs[id_col].cast("long") == keep["_keep_id"]).drop("_keep_id").dropDuplicates([id_col])
-    return some.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keeps one row of each group of near copies: SimHash over five-word shingles with pivot tables, links verified at a Jaccard similarity of 0.8 (``near_copies``)."""
+    return near_copies.near_dedup(docs, id_col, text_col)
