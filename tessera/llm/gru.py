@@ -13,12 +13,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-HEAD, GROUP, HIDDEN, SHAPES, BANDS = 1024, 32, 16, 16, 3
+HEAD, GROUP, HIDDEN, SHAPES, BANDS = 1024, 32, 16, 16, 2
 GROUPS, TAILS = HEAD // GROUP, SHAPES * BANDS
 END = HEAD + TAILS
 CLASSES, SYMBOLS = GROUPS + TAILS + 1, END + 1
 #: Steps of a window when scoring and when training; texts side by side; tokens read before they are laid side by side.
-WINDOW, STEPS, ROWS, READ = 64, 32, 128, 1 << 18
+WINDOW, STEPS, ROWS, READ = 64, 16, 128, 1 << 20
 Model = dict[str, np.ndarray]
 SHAPE = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (GROUPS, HIDDEN, GROUP), "bw": (GROUPS, GROUP)}
 
@@ -55,9 +55,10 @@ def unflat(x: np.ndarray) -> Model:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=-1, keepdims=True))
-    e /= e.sum(axis=-1, keepdims=True)
-    return e
+    """In place; sums by a product, which is faster than a reduction along short rows. Logits of bounded states stay far from overflow."""
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def _classes(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,39 +78,55 @@ def gradient(m: Model, seq: np.ndarray, h: np.ndarray, before: np.ndarray) -> tu
     uz, uc = m["u"][:, : 2 * H], m["u"][:, 2 * H :]
     for t in range(steps):
         gx = m["x"][prev]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * H] + h @ uz)))
+        zr = h @ uz
+        zr += gx[:, : 2 * H]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :H], zr[:, H:]
         rh = r * h
-        c = np.tanh(gx[:, 2 * H :] + rh @ uc)
+        c = rh @ uc
+        c += gx[:, 2 * H :]
+        np.tanh(c, out=c)
         states[t] = h + z * (c - h)
         trace.append((prev, h, z, r, rh, c))
         h = states[t] * on[t]
         prev = np.where(seq[:, t] >= 0, seq[:, t], prev)
     live = seq.T >= 0
     sym = seq.T[live]
-    s = states[live]
-    scale = np.float32(1 / max(1, len(sym)))
     cls, place = _classes(sym)
-    p = _softmax(s @ m["wc"] + m["bc"])
+    by = np.argsort(np.where(place >= 0, cls, GROUPS).astype(np.int16), kind="stable")  # by group, which makes each group's rows a slice
+    cls, place = cls[by], place[by]
+    s = np.ones((len(sym), H + 1), h.dtype)  # the last column meets the biases
+    s[:, :H] = states[live][by]
+    scale = np.float32(1 / max(1, len(sym)))
+    g = {}
+    p = _softmax(s @ np.vstack([m["wc"], m["bc"]]))
     p[np.arange(len(sym)), cls] -= 1
     p *= scale
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    g["wc"], g["bc"] = s.T @ p, p.sum(axis=0)
+    gw = s.T @ p
+    g["wc"], g["bc"] = gw[:H], gw[H]
     ds = p @ m["wc"].T
-    by = np.argsort(np.where(place >= 0, cls, GROUPS).astype(np.int16), kind="stable")
-    edge = np.searchsorted(np.where(place >= 0, cls, GROUPS)[by], np.arange(GROUPS + 1))
+    edge = np.searchsorted(np.where(place >= 0, cls, GROUPS), np.arange(GROUPS + 1))
+    g["ww"], g["bw"] = np.zeros_like(m["ww"]), np.zeros_like(m["bw"])
+    wb = np.concatenate([m["ww"], m["bw"][:, None]], axis=1)
     for k in range(GROUPS):
-        i = by[edge[k] : edge[k + 1]]
-        if len(i):
-            q = _softmax(s[i] @ m["ww"][k] + m["bw"][k])
-            q[np.arange(len(i)), place[i]] -= 1
+        i = slice(edge[k], edge[k + 1])
+        if edge[k] < edge[k + 1]:
+            q = _softmax(s[i] @ wb[k])
+            q[np.arange(len(q)), place[i]] -= 1
             q *= scale
-            g["ww"][k], g["bw"][k] = s[i].T @ q, q.sum(axis=0)
+            gw = s[i].T @ q
+            g["ww"][k], g["bw"][k] = gw[:H], gw[H]
             ds[i] += q @ m["ww"][k].T
+    back = np.empty_like(ds)
+    back[by] = ds
     dstates = np.zeros_like(states)
-    dstates[live] = ds
+    dstates[live] = back
     dh = np.zeros((n, H), h.dtype)
     dx = np.empty((steps, n, 3 * H), h.dtype)
+    g["u"], g["x"] = np.zeros_like(m["u"]), np.zeros_like(m["x"])
     for t in range(steps - 1, -1, -1):
         _, h0, z, r, rh, c = trace[t]
         dh = dh * on[t] + dstates[t]
@@ -118,13 +135,14 @@ def gradient(m: Model, seq: np.ndarray, h: np.ndarray, before: np.ndarray) -> tu
         dx[t, :, :H] = dh * (c - h0) * z * (1 - z)
         dx[t, :, H : 2 * H] = drh * h0 * r * (1 - r)
         dx[t, :, 2 * H :] = dc
-        g["u"][:, 2 * H :] += rh.T @ dc
-        g["u"][:, : 2 * H] += h0.T @ dx[t, :, : 2 * H]
         dh = dh * (1 - z) + drh * r + dx[t, :, : 2 * H] @ uz.T
+    wide = dx.reshape(-1, 3 * H)
+    g["u"][:, 2 * H :] = np.concatenate([x[4] for x in trace]).T @ wide[:, 2 * H :]
+    g["u"][:, : 2 * H] = np.concatenate([x[1] for x in trace]).T @ wide[:, : 2 * H]
     read = np.concatenate([x[0] for x in trace])
     order = np.argsort(read, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) != 0]))
-    g["x"][read[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * H)[order], first, axis=0)
+    g["x"][read[order][first]] = np.add.reduceat(wide[order], first, axis=0)
     return g, h, prev
 
 
@@ -224,18 +242,18 @@ def log10_probability(m: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarr
             cls, place = _classes(y)
             logits = s @ m["wc"]
             logits += m["bc"]
-            top = logits.max(axis=1, keepdims=True)
-            got = logits[np.arange(len(y)), cls] - top[:, 0]
-            logits -= top
-            np.exp(logits, out=logits)
-            lp = got - np.log(logits.sum(axis=1))
+            lp = logits[np.arange(len(y)), cls]
+            np.exp(np.minimum(logits, 60, out=logits), out=logits)
+            lp = np.minimum(lp, 60) - np.log(logits @ np.ones(CLASSES, logits.dtype))
             by = np.argsort(np.where(place >= 0, cls, 10_000).astype(np.int16), kind="stable")
             edge = np.searchsorted(np.where(place >= 0, cls, 10_000)[by], np.arange(GROUPS + 1))
             for k in range(GROUPS):
                 i = by[edge[k] : edge[k + 1]]
                 if len(i):
-                    q = s[i] @ m["ww"][k] + m["bw"][k]
-                    qt = q.max(axis=1, keepdims=True)
-                    lp[i] += q[np.arange(len(i)), place[i]] - qt[:, 0] - np.log(np.exp(q - qt).sum(axis=1))
+                    q = s[i] @ m["ww"][k]
+                    q += m["bw"][k]
+                    np.minimum(q, 60, out=q)
+                    got = q[np.arange(len(i)), place[i]]
+                    lp[i] += got - np.log(np.exp(q, out=q) @ np.ones(GROUP, q.dtype))
             out[rows[:live]] += np.bincount(row, weights=lp, minlength=live)
     return out / np.log(10)

@@ -49,7 +49,7 @@ LEXICON, SHARD, WARM, ROUNDS, MOST_PARTS = 200_000, 2_000_000, 1_000_000, 2, 20_
 #: Rates of the first fit and of the rounds; tokens that the first fit reads at least, over again if need be, and how often at most.
 FIRST_RATE, RATE, READ_AT_LEAST, PASSES = 8e-3, 3e-3, 1_500_000, 6
 #: Ranks at which the bands of tail words end; what is not in the lexicon is in the last band.
-EDGES = (8192, 65_536)
+EDGES = (16_384,)
 HELD_MODULUS, HELD_OUT = 5, 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
