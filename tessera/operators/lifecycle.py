@@ -143,3 +143,17 @@ def germination(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     num = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
     den = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     return df.withColumn("germination", F.when(den > 0, num / den))
+
+
+def reference_distance(candidates: DataFrame, references: DataFrame, candidate: str, reference: str, element: str) -> DataFrame:
+    """MAT-12. (candidate, distance): 1 less the greatest Jaccard similarity of a candidate's elements with any reference's.
+
+    Both tables hold one element a row. Sets meet by their elements, so pairs
+    without a common one are never made; a candidate that meets none has 1.
+    """
+    a = candidates.select(F.col(candidate).alias("_c"), F.col(element).alias("_e")).distinct()
+    b = references.select(F.col(reference).alias("_r"), F.col(element).alias("_e")).distinct()
+    na, nb = a.groupBy("_c").agg(F.count("*").alias("_na")), b.groupBy("_r").agg(F.count("*").alias("_nb"))
+    both = a.join(b, "_e").groupBy("_c", "_r").agg(F.count("*").alias("_k")).join(nb, "_r").join(na, "_c")
+    best = both.groupBy("_c").agg(F.max(F.col("_k") / (F.col("_na") + F.col("_nb") - F.col("_k"))).alias("_s"))
+    return na.join(best, "_c", "left").select(F.col("_c").alias(candidate), (1 - F.coalesce("_s", F.lit(0.0))).alias("distance"))

@@ -126,16 +126,16 @@ def agg19(spark, d):
     return x.select("position", "skill", *_r("required_share", "bonus_share", "total_coverage"))
 
 
-@query("agg20_coverage_state", f"WITH {FACTS}, g AS (SELECT skill, version, ent % 5 AS e5, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT ent) AS e FROM f WHERE doc % 50 = 0 GROUP BY 1, 2, 3) SELECT skill, version, e5, CASE WHEN n < 3 THEN 'insufficient_evidence' WHEN s <= 1 OR e <= 1 THEN 'source_concentrated' ELSE 'unresolved' END AS state FROM g")
+@query("agg20_coverage_state", f"WITH {FACTS}, g AS (SELECT skill, version, ent % 5 AS e5, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT ent) AS e FROM f GROUP BY 1, 2, 3) SELECT skill, version, e5, CASE WHEN n < 3 THEN 'insufficient_evidence' WHEN s <= 1 OR e <= 1 THEN 'source_concentrated' ELSE 'unresolved' END AS state FROM g")
 def agg20(spark, d):
-    g = facts(spark, d).filter("doc % 50 = 0").groupBy("skill", "version", (F.col("ent") % 5).alias("e5")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.countDistinct("ent").alias("e"))
+    g = facts(spark, d).groupBy("skill", "version", (F.col("ent") % 5).alias("e5")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.countDistinct("ent").alias("e"))
     return g.select("skill", "version", "e5", ag.coverage_state(F.col("n"), F.col("s"), F.col("e")).alias("state"))
 
 
-@query("agg21_profile_thresholds", f"""WITH {FACTS}, {_BEST}, g AS (SELECT position, skill, max(modality) AS modality, count(*) AS s, count(*) FILTER (modality = 'required') AS r, count(DISTINCT ent) AS e FROM b WHERE doc % 40 = 0 GROUP BY 1, 2), n AS (SELECT position, count(DISTINCT doc) AS n FROM b WHERE doc % 40 = 0 GROUP BY 1)
+@query("agg21_profile_thresholds", f"""WITH {FACTS}, {_BEST}, g AS (SELECT position, skill, max(modality) AS modality, count(*) AS s, count(*) FILTER (modality = 'required') AS r, count(DISTINCT ent) AS e FROM b GROUP BY 1, 2), n AS (SELECT position, count(DISTINCT doc) AS n FROM b GROUP BY 1)
 SELECT position, skill, round(s / n, 6) AS support_ratio, round(r / n, 6) AS required_prevalence, round(r / s, 6) AS required_purity, CASE WHEN modality <> 'required' THEN 'not_applicable' WHEN NOT (r / n < 0.02 OR r < 2 OR r / s < 0.5) THEN 'market_supported' WHEN e >= 2 OR s >= 3 THEN 'enterprise_specific' ELSE 'inflation_risk' END AS status FROM g JOIN n USING (position)""")
 def agg21(spark, d):
-    b = best(spark, d).filter("doc % 40 = 0")
+    b = best(spark, d)
     g = b.groupBy("position", "skill").agg(F.max("modality").alias("modality"), F.count("*").alias("s"), F.count_if(F.col("modality") == "required").alias("r"), F.countDistinct("ent").alias("e"))
     g = g.join(b.groupBy("position").agg(F.countDistinct("doc").alias("n")), "position")
     p, q = F.col("r") / F.col("n"), F.col("r") / F.col("s")
@@ -224,10 +224,10 @@ def agg35(spark, d):
     return ag.concentration(facts(spark, d), "skill", "ent").select("skill", *_r("hhi", "max_share"), "members")
 
 
-@query("agg38_candidate_match", f"WITH {FACTS}, w AS (SELECT position, skill, count(*) / 1000.0 AS w FROM f GROUP BY 1, 2), c AS (SELECT DISTINCT o_custkey AS cand, o_orderkey % 50 AS skill FROM orders WHERE o_custkey < 100) SELECT cand, position, round(sum(CASE WHEN c.skill IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) AS score, round(count(c.skill) / count(*), 6) AS coverage FROM (SELECT DISTINCT cand FROM c) x CROSS JOIN w LEFT JOIN c USING (cand, skill) GROUP BY 1, 2".replace("SELECT cand, position", "SELECT x.cand, position"))
+@query("agg38_candidate_match", f"WITH {FACTS}, w AS (SELECT position, skill, count(*) / 1000.0 AS w FROM f GROUP BY 1, 2), c AS (SELECT DISTINCT o_custkey AS cand, o_orderkey % 50 AS skill FROM orders) SELECT cand, position, round(sum(CASE WHEN c.skill IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) AS score, round(count(c.skill) / count(*), 6) AS coverage FROM (SELECT DISTINCT cand FROM c) x CROSS JOIN w LEFT JOIN c USING (cand, skill) GROUP BY 1, 2".replace("SELECT cand, position", "SELECT x.cand, position"))
 def agg38(spark, d):
     w = facts(spark, d).groupBy("position", "skill").agg((F.count("*") / 1000.0).alias("w"))
-    c = table(spark, d, "orders").filter("o_custkey < 100").select(F.col("o_custkey").alias("cand"), (F.col("o_orderkey") % 50).alias("skill")).distinct().withColumn("hit", F.lit(1))
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("cand"), (F.col("o_orderkey") % 50).alias("skill")).distinct().withColumn("hit", F.lit(1))
     j = c.select("cand").distinct().crossJoin(w).join(c, ["cand", "skill"], "left")
     return j.groupBy("cand", "position").agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("w")).otherwise(0.0)) / F.sum("w"), 6).alias("score"), F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 

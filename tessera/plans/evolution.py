@@ -75,9 +75,9 @@ def evo05(spark, d):
     return signals(spark, d).filter("coverage_driven").select("position", "skill", "kind")
 
 
-@query("evo07_role_breadth", f"WITH {FACTS}, g AS (SELECT position, version, count(DISTINCT skill) AS s, count(DISTINCT ent) AS e, count(DISTINCT doc % 37) AS c FROM f WHERE doc % 30 = 0 GROUP BY 1, 2) SELECT position, version, round(0.35 * (s - lag(s) OVER w) / greatest(lag(s) OVER w, 1) + 0.25 * (e - lag(e) OVER w) / greatest(lag(e) OVER w, 1) + 0.2 * (c - lag(c) OVER w) / greatest(lag(c) OVER w, 1), 6) AS breadth_change FROM g WINDOW w AS (PARTITION BY position ORDER BY version)")
+@query("evo07_role_breadth", f"WITH {FACTS}, g AS (SELECT position, version, count(DISTINCT skill) AS s, count(DISTINCT ent) AS e, count(DISTINCT doc % 37) AS c FROM f GROUP BY 1, 2) SELECT position, version, round(0.35 * (s - lag(s) OVER w) / greatest(lag(s) OVER w, 1) + 0.25 * (e - lag(e) OVER w) / greatest(lag(e) OVER w, 1) + 0.2 * (c - lag(c) OVER w) / greatest(lag(c) OVER w, 1), 6) AS breadth_change FROM g WINDOW w AS (PARTITION BY position ORDER BY version)")
 def evo07(spark, d):
-    g = facts(spark, d).filter("doc % 30 = 0").groupBy("position", "version").agg(F.countDistinct("skill").alias("s"), F.countDistinct("ent").alias("e"), F.countDistinct(F.col("doc") % 37).alias("c"))
+    g = facts(spark, d).groupBy("position", "version").agg(F.countDistinct("skill").alias("s"), F.countDistinct("ent").alias("e"), F.countDistinct(F.col("doc") % 37).alias("c"))
     return ev.role_breadth(g, "position", "version", {"s": 0.35, "e": 0.25, "c": 0.2}).select("position", "version", F.round("breadth_change", 6).alias("breadth_change"))
 
 
@@ -110,9 +110,9 @@ def evo15(spark, d):
     return g.select("position", F.array_join(r, ",").alias("reasons"), (F.size(r) == 0).alias("publishable"))
 
 
-@query("set04_responsibility_shift", f"WITH {FACTS}, r AS (SELECT ent, version, list(DISTINCT skill) AS s FROM f WHERE doc % 60 = 0 AND version IN (1997, 1998) GROUP BY 1, 2), p AS (SELECT a.ent, b.s AS b, a.s AS a FROM r a JOIN r b ON a.ent = b.ent AND a.version = 1998 AND b.version = 1997), x AS (SELECT ent, len(list_filter(b, lambda v: NOT list_contains(a, v))) AS gone, len(list_filter(a, lambda v: NOT list_contains(b, v))) AS new, len(list_intersect(a, b)) AS k FROM p) SELECT ent, gone AS removed, new AS added, round(k / (gone + new + k), 6) AS similarity FROM x WHERE gone + new >= 2 AND k / (gone + new + k) < 0.5 AND k > 0 AND gone > 0 AND new > 0")
+@query("set04_responsibility_shift", f"WITH {FACTS}, r AS (SELECT ent, version, list(DISTINCT skill) AS s FROM f WHERE w >= 0.9 AND version IN (1997, 1998) GROUP BY 1, 2), p AS (SELECT a.ent, b.s AS b, a.s AS a FROM r a JOIN r b ON a.ent = b.ent AND a.version = 1998 AND b.version = 1997), x AS (SELECT ent, len(list_filter(b, lambda v: NOT list_contains(a, v))) AS gone, len(list_filter(a, lambda v: NOT list_contains(b, v))) AS new, len(list_intersect(a, b)) AS k FROM p) SELECT ent, gone AS removed, new AS added, round(k / (gone + new + k), 6) AS similarity FROM x WHERE gone + new >= 2 AND k / (gone + new + k) < 0.5 AND k > 0 AND gone > 0 AND new > 0")
 def set04(spark, d):
-    r = facts(spark, d).filter("doc % 60 = 0 and version in (1997, 1998)").groupBy("ent").pivot("version", [1997, 1998]).agg(F.collect_set("skill"))
+    r = facts(spark, d).filter("w >= 0.9 and version in (1997, 1998)").groupBy("ent").pivot("version", [1997, 1998]).agg(F.collect_set("skill"))
     x = r.filter((F.size("1997") > 0) & (F.size("1998") > 0)).select("ent", ev.responsibility_shift(F.col("1997"), F.col("1998")).alias("s")).filter("s is not null")
     return x.select("ent", big(F.size("s.removed")).alias("removed"), big(F.size("s.added")).alias("added"), F.round("s.similarity", 6).alias("similarity"))
 
@@ -155,9 +155,9 @@ def emg11(spark, d):
     return x.select("user_id", "missing_windows", "missing_support", "missing_companies", "satisfied")
 
 
-@query("emg01_stage2", f"WITH {FACTS}, g AS (SELECT skill, count(*) AS p, count(DISTINCT ent) AS e, count(DISTINCT source) AS s, count(DISTINCT version) AS w FROM f WHERE doc % 400 = 0 GROUP BY 1), a AS (SELECT *, unnest(['none', 'structural', 'diffusion', 'persistence']) AS ablation FROM g) SELECT skill, ablation, CASE WHEN p < 3 THEN 'insufficient' WHEN (skill % 3 = 0 OR ablation = 'structural') AND (e >= 2 AND s >= 2 OR ablation = 'diffusion') AND (w >= 2 OR ablation = 'persistence') THEN 'emerging' WHEN skill % 3 = 0 THEN 'weak_signal' ELSE 'not_emerging' END AS decision FROM a")
+@query("emg01_stage2", f"WITH {FACTS}, g AS (SELECT skill, count(*) AS p, count(DISTINCT ent) AS e, count(DISTINCT source) AS s, count(DISTINCT version) AS w FROM f GROUP BY 1), a AS (SELECT *, unnest(['none', 'structural', 'diffusion', 'persistence']) AS ablation FROM g) SELECT skill, ablation, CASE WHEN p < 3 THEN 'insufficient' WHEN (skill % 3 = 0 OR ablation = 'structural') AND (e >= 2 AND s >= 2 OR ablation = 'diffusion') AND (w >= 2 OR ablation = 'persistence') THEN 'emerging' WHEN skill % 3 = 0 THEN 'weak_signal' ELSE 'not_emerging' END AS decision FROM a")
 def emg01(spark, d):
-    g = facts(spark, d).filter("doc % 400 = 0").groupBy("skill").agg(F.count("*").alias("p"), F.countDistinct("ent").alias("e"), F.countDistinct("source").alias("s"), F.countDistinct("version").alias("w"))
+    g = facts(spark, d).groupBy("skill").agg(F.count("*").alias("p"), F.countDistinct("ent").alias("e"), F.countDistinct("source").alias("s"), F.countDistinct("version").alias("w"))
     return lc.stage2(g, F.col("skill") % 3 == 0, F.col("p"), F.col("e"), F.col("s"), F.col("w")).select("skill", "ablation", "decision")
 
 
@@ -176,7 +176,7 @@ def mat11(spark, d):
 
 
 def role_input(spark, d):
-    f = facts(spark, d).filter("doc % 20 = 0")
+    f = facts(spark, d)
     n = f.groupBy("position", "version").agg(F.countDistinct("doc").alias("docs"))
     g = f.groupBy("position", "skill", "version").agg(F.count_if(F.col("modality") == "required").alias("r"), F.count("*").alias("n"), F.countDistinct("ent").alias("e"))
     x = g.join(n, ["position", "version"])
@@ -199,22 +199,18 @@ def agg36(spark, d):
     return facts(spark, d).groupBy("skill").agg(F.count("*").alias("postings"), F.countDistinct("ent").alias("enterprises"), F.countDistinct("source").alias("sources"), F.countDistinct("version").alias("windows"), F.min("day").cast("string").alias("first_seen"), F.max("day").cast("string").alias("last_seen"))
 
 
-@query("agg34_mature_bank", f"WITH {FACTS}, z AS (SELECT position, count(DISTINCT doc) AS n FROM f WHERE doc % 10 = 0 GROUP BY 1), c AS (SELECT position, skill, count(DISTINCT doc) AS s FROM f WHERE doc % 10 = 0 GROUP BY 1, 2), r AS (SELECT c.*, row_number() OVER (PARTITION BY position ORDER BY s DESC, skill) AS rank FROM c JOIN z USING (position) WHERE n >= 50 AND s >= 0.01 * n) SELECT position, skill, s AS support, rank FROM r WHERE rank <= 15")
+@query("agg34_mature_bank", f"WITH {FACTS}, z AS (SELECT position, count(DISTINCT doc) AS n FROM f GROUP BY 1), c AS (SELECT position, skill, count(DISTINCT doc) AS s FROM f GROUP BY 1, 2), r AS (SELECT c.*, row_number() OVER (PARTITION BY position ORDER BY s DESC, skill) AS rank FROM c JOIN z USING (position) WHERE n >= 50 AND s >= 0.01 * n) SELECT position, skill, s AS support, rank FROM r WHERE rank <= 15")
 def agg34(spark, d):
     from tessera.operators.relational import top_k
 
-    f = facts(spark, d).filter("doc % 10 = 0")
+    f = facts(spark, d)
     c = f.groupBy("position", "skill").agg(F.countDistinct("doc").alias("support")).join(f.groupBy("position").agg(F.countDistinct("doc").alias("n")), "position").filter((F.col("n") >= 50) & (F.col("support") >= 0.01 * F.col("n")))
     return top_k(c, ["position"], [F.desc("support"), F.asc("skill")], 15).select("position", "skill", "support", "rank")
 
 
-@query("mat12_reference_distance", f"WITH {FACTS}, c AS (SELECT ent, list(DISTINCT skill) AS s FROM f WHERE doc % 80 = 0 GROUP BY 1), r AS (SELECT position, list(DISTINCT skill) AS s FROM f WHERE doc % 200 = 0 GROUP BY 1) SELECT ent, round(1 - max(len(list_intersect(c.s, r.s)) / len(list_distinct(list_concat(c.s, r.s)))), 6) AS distance FROM c, r GROUP BY 1")
+@query("mat12_reference_distance", f"WITH {FACTS}, c AS (SELECT ent, list(DISTINCT skill) AS s FROM f WHERE version = 1998 GROUP BY 1), r AS (SELECT position, list(DISTINCT skill) AS s FROM f WHERE version = 1997 AND modality = 'required' GROUP BY 1) SELECT ent, round(1 - max(len(list_intersect(c.s, r.s)) / len(list_distinct(list_concat(c.s, r.s)))), 6) AS distance FROM c, r GROUP BY 1")
 def mat12(spark, d):
-    from tessera.functions.text import jaccard
-
     f = facts(spark, d)
-    c = f.filter("doc % 80 = 0").groupBy("ent").agg(F.collect_set("skill").alias("s"))
-    r = f.filter("doc % 200 = 0").groupBy("position").agg(F.collect_set("skill").alias("r"))
-    return c.crossJoin(r).groupBy("ent").agg(F.round(1 - F.max(jaccard(F.col("s"), F.col("r"))), 6).alias("distance"))
+    return lc.reference_distance(f.filter("version = 1998"), f.filter("version = 1997 and modality = 'required'"), "ent", "position", "skill").select("ent", F.round("distance", 6).alias("distance"))
 
 

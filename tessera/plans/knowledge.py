@@ -27,11 +27,11 @@ def mat06(spark, d):
     return p.select("p_partkey", F.round(nv.name_novelty(F.col("a"), F.array("b", "c")), 6).alias("novelty"))
 
 
-_E = "s AS (SELECT ent, list(DISTINCT skill) FILTER (version = 1998) AS a, list(DISTINCT skill) FILTER (version = 1997) AS b FROM f WHERE doc % 40 = 0 GROUP BY 1), j AS (SELECT *, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL)"
+_E = "s AS (SELECT ent, list(DISTINCT skill) FILTER (version = 1998) AS a, list(DISTINCT skill) FILTER (version = 1997) AS b FROM f GROUP BY 1), j AS (SELECT *, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL)"
 
 
 def ents(spark, d):
-    g = facts(spark, d).filter("doc % 40 = 0").groupBy("ent").agg(F.collect_set(F.when(F.col("version") == 1998, F.col("skill"))).alias("a"), F.collect_set(F.when(F.col("version") == 1997, F.col("skill"))).alias("b"), F.count_if(F.col("version") == 1998).alias("n1"), F.count_if(F.col("version") == 1997).alias("n0"), F.countDistinct("position").alias("places"), F.countDistinct("source").alias("sources"), F.countDistinct("doc").alias("docs"))
+    g = facts(spark, d).groupBy("ent").agg(F.collect_set(F.when(F.col("version") == 1998, F.col("skill"))).alias("a"), F.collect_set(F.when(F.col("version") == 1997, F.col("skill"))).alias("b"), F.count_if(F.col("version") == 1998).alias("n1"), F.count_if(F.col("version") == 1997).alias("n0"), F.countDistinct("position").alias("places"), F.countDistinct("source").alias("sources"), F.countDistinct("doc").alias("docs"))
     return g.filter((F.size("a") > 0) & (F.size("b") > 0))
 
 
@@ -42,7 +42,7 @@ def mat07(spark, d):
     return ents(spark, d).select("ent", F.round(nv.skill_novelty(a, b, none), 6).alias("skill"), F.round(nv.responsibility_novelty(a, b, none), 6).alias("responsibility"), F.round(nv.industry_novelty(a, b), 6).alias("industry"))
 
 
-@query("mat09_market_novelty", f"WITH {FACTS}, s AS (SELECT ent, count(*) FILTER (version = 1998) AS n1, count(*) FILTER (version = 1997) AS n0, count(DISTINCT position) AS pl, count(DISTINCT source) AS so, count(DISTINCT doc) AS dc FROM f WHERE doc % 40 = 0 GROUP BY 1 HAVING n1 > 0 AND n0 > 0), x AS (SELECT *, ln(1 + n1) - ln(1 + n0) AS dl FROM s), y AS (SELECT *, least(1, 0.4 * CASE WHEN dl >= 0 THEN least(1, dl / ln(2)) ELSE 0.1 END + 0.35 * least(1, dc / 10.0) + 0.25 * least(1, pl / 5.0)) AS m FROM x) SELECT ent, round(CAST(CASE WHEN dc < 2 THEN 0.1 WHEN so < 2 THEN least(m * 0.5, 0.4) ELSE m END AS DOUBLE), 6) AS market FROM y")
+@query("mat09_market_novelty", f"WITH {FACTS}, s AS (SELECT ent, count(*) FILTER (version = 1998) AS n1, count(*) FILTER (version = 1997) AS n0, count(DISTINCT position) AS pl, count(DISTINCT source) AS so, count(DISTINCT doc) AS dc FROM f GROUP BY 1 HAVING n1 > 0 AND n0 > 0), x AS (SELECT *, ln(1 + n1) - ln(1 + n0) AS dl FROM s), y AS (SELECT *, least(1, 0.4 * CASE WHEN dl >= 0 THEN least(1, dl / ln(2)) ELSE 0.1 END + 0.35 * least(1, dc / 10.0) + 0.25 * least(1, pl / 5.0)) AS m FROM x) SELECT ent, round(CAST(CASE WHEN dc < 2 THEN 0.1 WHEN so < 2 THEN least(m * 0.5, 0.4) ELSE m END AS DOUBLE), 6) AS market FROM y")
 def mat09(spark, d):
     m = nv.market_novelty(F.col("n1"), F.col("n0"), F.lit(None).cast("double"), F.col("docs"), F.col("places"), F.col("sources") < 2)
     return ents(spark, d).select("ent", F.round(m, 6).alias("market"))
@@ -81,25 +81,25 @@ def emg03(spark, d):
     return nv.relation_class(adm(spark, d), F.col("t"), F.col("s"), F.col("r"), F.col("sig")).select("k", "profile", "relation")
 
 
-@query("emg12_definitions", f"WITH {FACTS}, c AS (SELECT position, skill, count(*) AS n FROM f WHERE version = 1998 GROUP BY 1, 2), r AS (SELECT DISTINCT skill FROM f WHERE version = 1997 AND doc % 300 = 0), k AS (SELECT c.*, r.skill IS NULL AS new, row_number() OVER (PARTITION BY position ORDER BY n DESC, c.skill) AS k FROM c LEFT JOIN r ON r.skill = c.skill) SELECT position, string_agg(CAST(skill AS VARCHAR), ',' ORDER BY skill) AS core_skills, coalesce(string_agg(CAST(skill AS VARCHAR), ',' ORDER BY skill) FILTER (new), '') AS new_skills FROM k WHERE k <= 5 GROUP BY 1")
+@query("emg12_definitions", f"WITH {FACTS}, c AS (SELECT position, skill, count(*) AS n FROM f WHERE version = 1998 GROUP BY 1, 2), r AS (SELECT DISTINCT skill FROM f WHERE version = 1997 AND modality = 'required'), k AS (SELECT c.*, r.skill IS NULL AS new, row_number() OVER (PARTITION BY position ORDER BY n DESC, c.skill) AS k FROM c LEFT JOIN r ON r.skill = c.skill) SELECT position, string_agg(CAST(skill AS VARCHAR), ',' ORDER BY skill) AS core_skills, coalesce(string_agg(CAST(skill AS VARCHAR), ',' ORDER BY skill) FILTER (new), '') AS new_skills FROM k WHERE k <= 5 GROUP BY 1")
 def emg12(spark, d):
     f = facts(spark, d)
-    x = nv.definition(f.filter("version = 1998"), "position", "skill", f.filter("version = 1997 and doc % 300 = 0"))
+    x = nv.definition(f.filter("version = 1998"), "position", "skill", f.filter("version = 1997 and modality = 'required'"))
     return x.select("position", F.array_join("core_skills", ",").alias("core_skills"), F.array_join("new_skills", ",").alias("new_skills"))
 
 
-@query("emg13_leakage", "WITH e AS (SELECT event_id, user_id % 5 AS s, user_id % 7 AS t, event_id % 9 AS u FROM events WHERE event_id < 500) SELECT event_id, concat_ws(',', CASE WHEN u > t THEN 'future_evidence' END, CASE WHEN s >= t THEN 'not_forward' END) AS violations FROM e WHERE u > t OR s >= t")
+@query("emg13_leakage", "WITH e AS (SELECT event_id, user_id % 5 AS s, user_id % 7 AS t, event_id % 9 AS u FROM events) SELECT event_id, concat_ws(',', CASE WHEN u > t THEN 'future_evidence' END, CASE WHEN s >= t THEN 'not_forward' END) AS violations FROM e WHERE u > t OR s >= t")
 def emg13(spark, d):
-    e = table(spark, d, "events").filter("event_id < 500").select("event_id", (F.col("user_id") % 5).alias("s"), (F.col("user_id") % 7).alias("t"), (F.col("event_id") % 9).alias("u"))
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("s"), (F.col("user_id") % 7).alias("t"), (F.col("event_id") % 9).alias("u"))
     return nv.leakage(e, "s", "t", "u").select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
-_CL = "cl AS (SELECT o_orderkey AS claim, o_custkey % 50 AS subject, 'REQUIRES' AS predicate, o_orderkey % 40 AS object, o_orderkey % 6 AS e, o_orderstatus = 'F' AS published FROM orders WHERE o_orderkey < 2000)"
+_CL = "cl AS (SELECT o_orderkey AS claim, o_custkey % 50 AS subject, 'REQUIRES' AS predicate, o_orderkey % 40 AS object, o_orderkey % 6 AS e, o_orderstatus = 'F' AS published FROM orders)"
 
 
 def claims(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").filter("o_orderkey < 2000").select(k.alias("claim"), (F.col("o_custkey") % 50).alias("subject"), F.lit("REQUIRES").alias("predicate"), (k % 40).alias("object"), F.array(k * 10 + k % 6).alias("evidence"), (F.col("o_orderstatus") == "F").alias("published"))
+    return table(spark, d, "orders").select(k.alias("claim"), (F.col("o_custkey") % 50).alias("subject"), F.lit("REQUIRES").alias("predicate"), (k % 40).alias("object"), F.array(k * 10 + k % 6).alias("evidence"), (F.col("o_orderstatus") == "F").alias("published"))
 
 
 @query("clu14_projection_edges", f"WITH {_CL} SELECT 'position:' || subject AS source, 'claim:' || claim AS target, 'HAS_CLAIM' AS kind, CASE WHEN published THEN 'authoritative' ELSE 'observed' END AS plane FROM cl UNION ALL SELECT 'claim:' || claim, 'skill:' || object, predicate, CASE WHEN published THEN 'authoritative' ELSE 'observed' END FROM cl UNION ALL SELECT 'claim:' || claim, 'evidence:' || (claim * 10 + e), 'SUPPORTED_BY', CASE WHEN published THEN 'authoritative' ELSE 'observed' END FROM cl")
@@ -112,9 +112,9 @@ def clu15(spark, d):
     return kn.verify_projection(*kn.project_graph(claims(spark, d)))
 
 
-@query("clu16_diffusion_graph", "WITH o AS (SELECT DISTINCT user_id % 30 AS c, CAST(ts AS DATE) AS w, event_type AS co, CAST(user_id % 4 AS VARCHAR) AS so FROM events WHERE event_id % 20 = 0), x AS (SELECT *, c || ':' || w AS obs FROM o), n AS (SELECT DISTINCT c, w, obs FROM x), l AS (SELECT obs, lead(obs) OVER (PARTITION BY c ORDER BY w) AS nx FROM n) SELECT DISTINCT CAST(c AS VARCHAR) AS source, obs AS target, 'OBSERVED' AS kind FROM x UNION ALL SELECT DISTINCT obs, co, 'COMPANY' FROM x UNION ALL SELECT DISTINCT obs, so, 'SOURCE' FROM x UNION ALL SELECT obs, nx, 'NEXT' FROM l WHERE nx IS NOT NULL")
+@query("clu16_diffusion_graph", "WITH o AS (SELECT DISTINCT user_id % 30 AS c, CAST(ts AS DATE) AS w, event_type AS co, CAST(user_id % 4 AS VARCHAR) AS so FROM events), x AS (SELECT *, c || ':' || w AS obs FROM o), n AS (SELECT DISTINCT c, w, obs FROM x), l AS (SELECT obs, lead(obs) OVER (PARTITION BY c ORDER BY w) AS nx FROM n) SELECT DISTINCT CAST(c AS VARCHAR) AS source, obs AS target, 'OBSERVED' AS kind FROM x UNION ALL SELECT DISTINCT obs, co, 'COMPANY' FROM x UNION ALL SELECT DISTINCT obs, so, 'SOURCE' FROM x UNION ALL SELECT obs, nx, 'NEXT' FROM l WHERE nx IS NOT NULL")
 def clu16(spark, d):
-    o = table(spark, d, "events").filter("event_id % 20 = 0").select((F.col("user_id") % 30).alias("c"), F.to_date("ts").alias("w"), F.col("event_type").alias("co"), (F.col("user_id") % 4).cast("string").alias("so")).distinct()
+    o = table(spark, d, "events").select((F.col("user_id") % 30).alias("c"), F.to_date("ts").alias("w"), F.col("event_type").alias("co"), (F.col("user_id") % 4).cast("string").alias("so")).distinct()
     return kn.diffusion_graph(o, "c", "w", "co", "so")
 
 
@@ -149,7 +149,7 @@ def str18(spark, d):
 @query("srt03_suggestions")
 def srt03(spark, d):
     p = table(spark, d, "part")
-    return kn.suggestions(p.filter("p_partkey < 200").select("p_partkey", F.regexp_replace("p_name", "e", "ee").alias("raw")), p.select("p_brand", "p_name").filter("p_partkey < 500"), "p_partkey", "raw", "p_brand", "p_name")
+    return kn.suggestions(p.select("p_partkey", F.regexp_replace("p_name", "e", "ee").alias("raw")), p.select("p_brand", "p_name"), "p_partkey", "raw", "p_brand", "p_name")
 
 
 @query("agg37_topic_representatives")
@@ -187,10 +187,10 @@ def agg51(spark, d):
     return r.groupBy("position").agg(F.count("*").alias("skills"), F.count_if(F.col("dl") > 0).alias("grown"), F.count_if(F.col("dl") < 0).alias("shrunk"), F.max(F.abs("dl")).alias("largest"))
 
 
-@query("evo09_requirement_drops", f"WITH {FACTS}, b AS (SELECT position, skill, max(ent % 9) AS y FROM f WHERE version = 1997 AND doc % 90 = 0 GROUP BY 1, 2), a AS (SELECT position, skill, max(ent % 9) AS y FROM f WHERE version = 1998 AND doc % 90 = 0 GROUP BY 1, 2) SELECT position, skill, b.y AS before, a.y AS after, round(least(1, (b.y - a.y) / 5.0), 6)::DOUBLE AS magnitude FROM b JOIN a USING (position, skill) WHERE b.y - a.y >= 1")
+@query("evo09_requirement_drops", f"WITH {FACTS}, b AS (SELECT ent, skill, max(doc % 9) AS y FROM f WHERE version = 1997 GROUP BY 1, 2), a AS (SELECT ent, skill, max(doc % 9) AS y FROM f WHERE version = 1998 GROUP BY 1, 2) SELECT ent, skill, b.y AS before, a.y AS after, round(least(1, (b.y - a.y) / 5.0), 6)::DOUBLE AS magnitude FROM b JOIN a USING (ent, skill) WHERE b.y - a.y >= 1")
 def evo09(spark, d):
-    f = facts(spark, d).filter("doc % 90 = 0").withColumn("y", F.col("ent") % 9)
-    return kn.requirement_drops(f.filter("version = 1997"), f.filter("version = 1998"), ["position", "skill"], "y").withColumn("magnitude", F.round("magnitude", 6))
+    f = facts(spark, d).withColumn("y", F.col("doc") % 9)
+    return kn.requirement_drops(f.filter("version = 1997"), f.filter("version = 1998"), ["ent", "skill"], "y").withColumn("magnitude", F.round("magnitude", 6))
 
 
 @query("evo13_controlled_replay", f"WITH {FACTS}, p AS (SELECT unnest(range(4)) AS mask) SELECT mask, (SELECT count(*) FROM f WHERE version = CASE WHEN mask & 1 <> 0 THEN 1998 ELSE 1997 END AND doc % 50 = 0 AND ent IN (SELECT ent FROM f WHERE version = CASE WHEN mask & 2 <> 0 THEN 1998 ELSE 1997 END AND doc % 100 = 7)) AS n FROM p")
@@ -206,11 +206,11 @@ def mat36(spark, d):
     return kn.contributions(x, ["k"], "profile", "t", "w").select("k", "profile", *_r("contribution", "share", "without"))
 
 
-@query("mat39_learning_steps", "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 60 AS skill, p_partkey % 60 - 1 - p_size % 7 AS needs FROM part WHERE p_partkey % 60 - 1 - p_size % 7 >= 0 AND p_partkey < 300), s AS (SELECT c_custkey AS holder, c_custkey % 60 AS skill, 0 AS depth FROM customer WHERE c_custkey < 40 UNION SELECT holder, e.needs, depth + 1 FROM s JOIN e USING (skill) WHERE depth < 5) SELECT holder, skill, CAST(max(depth) AS BIGINT) AS depth FROM s GROUP BY 1, 2")
+@query("mat39_learning_steps", "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 60 AS skill, p_partkey % 60 - 1 - p_size % 7 AS needs FROM part WHERE p_partkey % 60 - 1 - p_size % 7 >= 0), s AS (SELECT c_custkey AS holder, c_custkey % 60 AS skill, 0 AS depth FROM customer UNION SELECT holder, e.needs, depth + 1 FROM s JOIN e USING (skill) WHERE depth < 5) SELECT holder, skill, CAST(max(depth) AS BIGINT) AS depth FROM s GROUP BY 1, 2")
 def mat39(spark, d):
     s, n = F.col("p_partkey") % 60, F.col("p_partkey") % 60 - 1 - F.col("p_size") % 7
-    e = table(spark, d, "part").filter("p_partkey < 300").select(s.alias("skill"), n.alias("needs")).filter("needs >= 0").distinct()
-    return kn.learning_steps(e, table(spark, d, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("holder"), (F.col("c_custkey") % 60).alias("skill")))
+    e = table(spark, d, "part").select(s.alias("skill"), n.alias("needs")).filter("needs >= 0").distinct()
+    return kn.learning_steps(e, table(spark, d, "customer").select(F.col("c_custkey").alias("holder"), (F.col("c_custkey") % 60).alias("skill")))
 
 
 @query("mat38_routes")
@@ -219,10 +219,10 @@ def mat38(spark, d):
     return kn.plan_route(mat39(spark, d), costs, 20.0)
 
 
-@query("mat30_context_coverage", "WITH r AS (SELECT o_custkey AS holder, o_orderkey AS req, unnest([o_orderkey % 9, o_orderkey % 7, o_orderkey % 5]) AS w FROM orders WHERE o_custkey < 100), q AS (SELECT DISTINCT * FROM r), h AS (SELECT DISTINCT c_custkey AS holder, unnest([c_custkey % 9, c_custkey % 4, 3]) AS w FROM customer), g AS (SELECT holder, req, count(h.w) / count(*) AS c FROM q LEFT JOIN h USING (holder, w) GROUP BY 1, 2) SELECT holder, req, round(c, 6) AS coverage, CASE WHEN c >= 0.7 THEN 'matched' WHEN c >= 0.3 THEN 'partial' ELSE 'missing' END AS status FROM g")
+@query("mat30_context_coverage", "WITH r AS (SELECT o_custkey AS holder, o_orderkey AS req, unnest([o_orderkey % 9, o_orderkey % 7, o_orderkey % 5]) AS w FROM orders), q AS (SELECT DISTINCT * FROM r), h AS (SELECT DISTINCT c_custkey AS holder, unnest([c_custkey % 9, c_custkey % 4, 3]) AS w FROM customer), g AS (SELECT holder, req, count(h.w) / count(*) AS c FROM q LEFT JOIN h USING (holder, w) GROUP BY 1, 2) SELECT holder, req, round(c, 6) AS coverage, CASE WHEN c >= 0.7 THEN 'matched' WHEN c >= 0.3 THEN 'partial' ELSE 'missing' END AS status FROM g")
 def mat30(spark, d):
     k = F.col("o_orderkey")
-    r = table(spark, d, "orders").filter("o_custkey < 100").select(F.col("o_custkey").alias("holder"), k.alias("req"), F.array(k % 9, k % 7, k % 5).alias("w"))
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("holder"), k.alias("req"), F.array(k % 9, k % 7, k % 5).alias("w"))
     c = F.col("c_custkey")
     h = table(spark, d, "customer").select(c.alias("holder"), F.array(c % 9, c % 4, F.lit(3).cast("bigint")).alias("w"))
     return kn.context_coverage(r, h, ["holder", "req"], "w").select("holder", "req", *_r("coverage"), "status")

@@ -13,14 +13,14 @@ from tessera.streaming import events as st
 from .registry import query, table
 from .timeseries import series
 
-#: Candidates are customers under 150, requirements ten per position, items one per pair.
+#: Candidates are customers, requirements ten per position, items one per pair.
 _IT = """it AS (SELECT c_custkey AS cand, p.position, r.req, r.req % 3 AS dim, CASE (c_custkey * 3 + p.position * 5 + r.req * 7) % 7 WHEN 0 THEN 'matched' WHEN 1 THEN 'matched' WHEN 2 THEN 'weak' WHEN 3 THEN 'declared_only' WHEN 4 THEN 'missing' WHEN 5 THEN 'unknown' ELSE 'matched' END AS status,
- CASE (c_custkey + r.req) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'transferable' ELSE 'related' END AS mtype, ((c_custkey * 11 + r.req) % 50 + 50) / 100.0 AS rc FROM customer, (SELECT unnest(range(4)) AS position) p, (SELECT unnest(range(10)) AS req) r WHERE c_custkey < 150),
+ CASE (c_custkey + r.req) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'transferable' ELSE 'related' END AS mtype, ((c_custkey * 11 + r.req) % 50 + 50) / 100.0 AS rc FROM customer, (SELECT unnest(range(4)) AS position) p, (SELECT unnest(range(10)) AS req) r),
 si AS (SELECT *, CASE WHEN status = 'unknown' THEN NULL WHEN status = 'missing' THEN 0.0 WHEN status = 'weak' THEN 0.5 WHEN status = 'declared_only' THEN 0.3 WHEN mtype = 'exact' THEN 1.0 WHEN mtype = 'equivalent' THEN 0.9 WHEN mtype = 'transferable' THEN 0.6 * rc ELSE 0.0 END::DOUBLE AS score FROM it)"""
 
 
 def items(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 150").select(F.col("c_custkey").alias("cand"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("cand"))
     x = c.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).withColumn("req", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")))
     k = (F.col("cand") * 3 + F.col("position") * 5 + F.col("req") * 7) % 7
     s = F.when(k.isin(0, 1, 6), "matched").when(k == 2, "weak").when(k == 3, "declared_only").when(k == 4, "missing").otherwise("unknown")
@@ -166,12 +166,12 @@ def clu17(spark, d):
     return mt.requirement_tree(leaves, groups, "cand", 2).filter("node = 'root'").select("cand", big(F.col("value")).alias("value"))
 
 
-_TASK = "tk AS (SELECT o_orderkey AS task, o_custkey % 4 AS queue, o_orderstatus = 'O' AS blocking, o_orderkey % 7 AS unc, o_orderkey % 13 AS imp, o_orderkey % 12 AS reuse, (o_orderkey % 40)::DOUBLE AS wait FROM orders WHERE o_orderkey < 400)"
+_TASK = "tk AS (SELECT o_orderkey AS task, o_custkey AS queue, o_orderstatus = 'O' AS blocking, o_orderkey % 7 AS unc, o_orderkey % 13 AS imp, o_orderkey % 12 AS reuse, (o_orderkey % 40)::DOUBLE AS wait FROM orders)"
 
 
 def tasks(spark, d):
     k = F.col("o_orderkey")
-    t = table(spark, d, "orders").filter("o_orderkey < 400").select(k.alias("task"), (F.col("o_custkey") % 4).alias("queue"), (F.col("o_orderstatus") == "O").alias("blocking"), (k % 7).alias("unc"), (k % 13).alias("imp"), (k % 12).alias("reuse"), (k % 40).cast("double").alias("wait"), (k % 9).alias("object"), F.col("o_orderstatus").alias("type"), (k % 5).alias("subject"), (1 + k % 3).cast("double").alias("cost"))
+    t = table(spark, d, "orders").select(k.alias("task"), F.col("o_custkey").alias("queue"), (F.col("o_orderstatus") == "O").alias("blocking"), (k % 7).alias("unc"), (k % 13).alias("imp"), (k % 12).alias("reuse"), (k % 40).cast("double").alias("wait"), (k % 9).alias("object"), F.col("o_orderstatus").alias("type"), (k % 5).alias("subject"), (1 + k % 3).cast("double").alias("cost"))
     return t.withColumn("value", rk.value(F.col("blocking"), F.col("unc"), F.col("imp"), F.col("reuse"), F.col("wait")))
 
 

@@ -177,11 +177,11 @@ def joi11(spark, d):
     return rel.rolling_windows(e, "w", 2, 9).groupBy("as_of", "event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
 
 
-_EDGES = "g AS (SELECT DISTINCT l_partkey % 40 AS source, l_suppkey % 40 AS target FROM lineitem WHERE l_orderkey % 97 = 0), ed AS (SELECT source, target, 1 + (source * 7 + target * 3) % 5 AS cost, 0.4 + ((source * 13 + target * 29) % 60) / 100 AS confidence FROM g WHERE source <> target)"
+_EDGES = "g AS (SELECT DISTINCT l_partkey % 40 AS source, l_suppkey % 40 AS target FROM lineitem), ed AS (SELECT source, target, 1 + (source * 7 + target * 3) % 5 AS cost, 0.4 + ((source * 13 + target * 29) % 60) / 100 AS confidence FROM g WHERE source <> target)"
 
 
 def edges(spark, d):
-    g = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").select((F.col("l_partkey") % 40).alias("source"), (F.col("l_suppkey") % 40).alias("target")).distinct().filter("source <> target")
+    g = table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("source"), (F.col("l_suppkey") % 40).alias("target")).distinct().filter("source <> target")
     return g.withColumn("cost", 1 + (F.col("source") * 7 + F.col("target") * 3) % 5).withColumn("confidence", 0.4 + ((F.col("source") * 13 + F.col("target") * 29) % 60) / 100.0)
 
 
@@ -190,7 +190,7 @@ _TYPE = "CASE (source + target) % 5 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'transf
 
 @query("joi12_best_relation", f"""WITH {_EDGES}, rl AS (SELECT source * 100 + target AS relation_id, source, target, {_TYPE} AS type, confidence FROM ed WHERE confidence >= 0.5),
 ev AS (SELECT * FROM rl UNION ALL SELECT relation_id, target, source, type, confidence FROM rl WHERE type IN ('equivalent', 'related', 'transferable')),
-m AS (SELECT c_custkey AS holder, c_custkey % 40 AS required FROM customer WHERE c_custkey < 200), v AS (SELECT DISTINCT o_custkey AS holder, o_orderkey % 40 AS skill, 0.5 + (o_orderkey % 4) / 10 AS support FROM orders WHERE o_custkey < 200 AND o_orderkey % 3 = 0),
+m AS (SELECT c_custkey AS holder, c_custkey % 40 AS required FROM customer), v AS (SELECT DISTINCT o_custkey AS holder, o_orderkey % 40 AS skill, 0.5 + (o_orderkey % 4) / 10 AS support FROM orders),
 v1 AS (SELECT holder, skill, max(support) AS support FROM v GROUP BY 1, 2)
 SELECT m.holder, m.required, skill AS candidate, relation_id, type, round(confidence * support, 6) AS match_confidence FROM m JOIN ev ON ev.target = m.required JOIN v1 ON v1.holder = m.holder AND v1.skill = ev.source
 QUALIFY row_number() OVER (PARTITION BY m.holder, m.required ORDER BY CASE type WHEN 'equivalent' THEN 5 WHEN 'transferable' THEN 4 WHEN 'parent_child' THEN 3 WHEN 'related' THEN 2 ELSE 1 END DESC, confidence DESC, skill DESC, relation_id DESC) = 1""")
@@ -198,8 +198,8 @@ def joi12(spark, d):
     s = F.col("source") + F.col("target")
     kind = F.when(s % 5 == 0, "equivalent").when(s % 5 == 1, "transferable").when(s % 5 == 2, "parent_child").when(s % 5 == 3, "related").otherwise("prerequisite")
     r = edges(spark, d).select((F.col("source") * 100 + F.col("target")).alias("relation_id"), "source", "target", kind.alias("type"), "confidence")
-    m = table(spark, d, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("holder"), (F.col("c_custkey") % 40).alias("required"))
-    v = table(spark, d, "orders").filter("o_custkey < 200 and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("holder"), (F.col("o_orderkey") % 40).alias("skill"), (0.5 + (F.col("o_orderkey") % 4) / 10.0).alias("support")).groupBy("holder", "skill").agg(F.max("support").alias("support"))
+    m = table(spark, d, "customer").select(F.col("c_custkey").alias("holder"), (F.col("c_custkey") % 40).alias("required"))
+    v = table(spark, d, "orders").select(F.col("o_custkey").alias("holder"), (F.col("o_orderkey") % 40).alias("skill"), (0.5 + (F.col("o_orderkey") % 4) / 10.0).alias("support")).groupBy("holder", "skill").agg(F.max("support").alias("support"))
     return rel.best_relation(m, r, v).withColumn("match_confidence", F.round("match_confidence", 6))
 
 
@@ -222,10 +222,10 @@ def joi19(spark, d):
     return edges(spark, d).join(ids, "source", "left_semi").select("source", "target", F.round("confidence", 6).alias("confidence"))
 
 
-@query("joi20_dangling_children", f"WITH {_EDGES} SELECT source, target FROM ed WHERE target NOT IN (SELECT source FROM ed WHERE confidence >= 0.9)")
+@query("joi20_dangling_children", f"WITH {_EDGES} SELECT source, target FROM ed WHERE target NOT IN (SELECT source FROM ed WHERE confidence >= 0.99)")
 def joi20(spark, d):
     e = edges(spark, d)
-    return e.select("source", "target").join(e.filter("confidence >= 0.9").select(F.col("source").alias("target")).distinct(), "target", "left_anti")
+    return e.select("source", "target").join(e.filter("confidence >= 0.99").select(F.col("source").alias("target")).distinct(), "target", "left_anti")
 
 
 @query("agg01_status_counts", "SELECT s AS status, count(o_orderkey) AS count FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1")
@@ -338,9 +338,9 @@ def set06(spark, d):
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).withColumn("side", F.lit("before")))
 
 
-@query("set07_combination_shift", f"WITH {FACTS}, a AS (SELECT ent, version, array_to_string(list_sort(list(DISTINCT skill)), ',') AS c FROM f WHERE doc % 20 = 0 GROUP BY 1, 2) SELECT ent, version, c AS combination, coalesce(lag(c) OVER (PARTITION BY ent ORDER BY version) <> c, false) AS shifted FROM a")
+@query("set07_combination_shift", f"WITH {FACTS}, a AS (SELECT ent, version, array_to_string(list_sort(list(DISTINCT skill)), ',') AS c FROM f GROUP BY 1, 2) SELECT ent, version, c AS combination, coalesce(lag(c) OVER (PARTITION BY ent ORDER BY version) <> c, false) AS shifted FROM a")
 def set07(spark, d):
-    a = facts(spark, d).filter("doc % 20 = 0").groupBy("ent", "version").agg(F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("combination"))
+    a = facts(spark, d).groupBy("ent", "version").agg(F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("combination"))
     return a.withColumn("shifted", F.coalesce(F.lag("combination").over(W.partitionBy("ent").orderBy("version")) != F.col("combination"), F.lit(False)))
 
 

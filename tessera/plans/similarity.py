@@ -73,16 +73,16 @@ def clu08(spark, d):
     return sim.components(e, table(spark, d, "documents").select("doc_id"))
 
 
-@query("clu03_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS a, 400 + l_suppkey % 100 AS b FROM lineitem WHERE l_orderkey % 250 = 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS x FROM g), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.reach) SELECT node, min(reach) AS cluster FROM r GROUP BY 1""")
+@query("clu03_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS x FROM g), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.reach) SELECT node, min(reach) AS cluster FROM r GROUP BY 1""")
 def clu03(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 250 = 0").select((F.col("l_partkey") % 400).alias("a"), (400 + F.col("l_suppkey") % 100).alias("b")).distinct()
+    e = table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
     nodes = e.select(F.col("a").alias("x")).unionByName(e.select(F.col("b").alias("x"))).distinct()
     return sim.components(e, nodes)
 
 
-@query("clu02_multi_view", "WITH p AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sem, CASE WHEN a.label = b.label THEN 0.7 ELSE 0.1 END AS sk, ((a.vec_id * 7 + b.vec_id * 3) % 100) / 100.0 AS rs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id < 300) SELECT l AS \"left\", r AS \"right\", (CASE WHEN sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65 THEN 1 ELSE 0 END + CASE WHEN rs >= 0.65 THEN 1 ELSE 0 END >= 2) OR (sem >= 0.85 AND (sk >= 0.35 OR rs >= 0.35)) AS robust FROM p WHERE (CASE WHEN sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.6 THEN 1 ELSE 0 END + CASE WHEN rs >= 0.6 THEN 1 ELSE 0 END >= 2) OR (sem >= 0.8 AND (sk >= 0.3 OR rs >= 0.3))".replace("sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65", "sem >= 0.85 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65"))
+@query("clu02_multi_view", "WITH p AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sem, CASE WHEN a.label = b.label THEN 0.7 ELSE 0.1 END AS sk, ((a.vec_id * 7 + b.vec_id * 3) % 100) / 100.0 AS rs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT l AS \"left\", r AS \"right\", (CASE WHEN sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65 THEN 1 ELSE 0 END + CASE WHEN rs >= 0.65 THEN 1 ELSE 0 END >= 2) OR (sem >= 0.85 AND (sk >= 0.35 OR rs >= 0.35)) AS robust FROM p WHERE (CASE WHEN sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.6 THEN 1 ELSE 0 END + CASE WHEN rs >= 0.6 THEN 1 ELSE 0 END >= 2) OR (sem >= 0.8 AND (sk >= 0.3 OR rs >= 0.3))".replace("sem >= 0.8 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65", "sem >= 0.85 THEN 1 ELSE 0 END + CASE WHEN sk >= 0.65"))
 def clu02(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 300")
+    e = table(spark, d, "embeddings")
     a, b = e.alias("a"), e.alias("b")
     p = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("left"), F.col("b.vec_id").alias("right"), vec.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("sem"), F.lit(0.7).alias("sk"))
     p = p.withColumn("rs", ((F.col("left") * 7 + F.col("right") * 3) % 100) / 100.0)
@@ -145,13 +145,13 @@ def ret01(spark, d):
 
 
 _TOK = "string_split_regex(lower(text), '[^a-zà-ÿ0-9]+')"
-_BM = f"""dt AS (SELECT doc_id, unnest(list_filter({_TOK}, lambda x: x <> '')) AS t FROM documents WHERE n_chars < 2000), ln AS (SELECT doc_id, count(*) AS l FROM dt GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents WHERE n_chars < 2000) AS n, sum(l) / (SELECT count(*) FROM documents WHERE n_chars < 2000) AS avg FROM ln), tf AS (SELECT doc_id, t, count(*) AS f FROM dt GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+_BM = f"""dt AS (SELECT doc_id, unnest(list_filter({_TOK}, lambda x: x <> '')) AS t FROM documents), ln AS (SELECT doc_id, count(*) AS l FROM dt GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, sum(l) / (SELECT count(*) FROM documents) AS avg FROM ln), tf AS (SELECT doc_id, t, count(*) AS f FROM dt GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
 qt AS (SELECT item_id, t, count(*) AS m FROM (SELECT item_id, unnest(list_filter({_TOK}, lambda x: x <> '')) AS t FROM benchmark) GROUP BY 1, 2), bm AS (SELECT item_id, doc_id, sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / greatest(avg, 1)))) AS score FROM qt JOIN tf USING (t) JOIN df USING (t) JOIN ln USING (doc_id), st GROUP BY 1, 2)"""
 
 
 def _bm(spark, d):
     tok = lambda df, i: df.select(i, F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "").alias("tokens"))
-    return ret.bm25(tok(table(spark, d, "documents").filter("n_chars < 2000"), "doc_id"), tok(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id", "tokens")
+    return ret.bm25(tok(table(spark, d, "documents"), "doc_id"), tok(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id", "tokens")
 
 
 @query("ret05_bm25", f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm) SELECT item_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")
@@ -175,7 +175,7 @@ def ret07(spark, d):
 
 @query("ret08_dense_proxy")
 def ret08(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 400")
+    p = table(spark, d, "part")
     q = F.array(F.lit("red"), F.lit("ring"), F.lit("red"))
     return p.select("p_partkey", F.round(ret.dense_proxy(q, F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")), 6).alias("score"))
 

@@ -120,10 +120,10 @@ def str17(spark, d):
     return table(spark, d, "customer").select("c_custkey", tx.degree(t).alias("degree")).withColumn("rank", tx.degree_rank(F.col("degree")))
 
 
-@query("str19_occurrences", "WITH p AS (SELECT doc_id, list_filter(range(1, length(text)), lambda i: substr(text, i, 3) = 'the') AS pos FROM documents WHERE length(text) < 3000) SELECT doc_id, pos[1] - 1 AS first, pos[2] - 1 AS second FROM p")
+@query("str19_occurrences", "WITH p AS (SELECT doc_id, list_filter(range(1, length(text)), lambda i: substr(text, i, 3) = 'the') AS pos FROM documents) SELECT doc_id, pos[1] - 1 AS first, pos[2] - 1 AS second FROM p")
 def str19(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").filter("length(text) < 3000").select("doc_id", big(tx.occurrence(t, F.lit("the"), 0)).alias("first"), big(tx.occurrence(t, F.lit("the"), 1)).alias("second"))
+    return table(spark, d, "documents").select("doc_id", big(tx.occurrence(t, F.lit("the"), 0)).alias("first"), big(tx.occurrence(t, F.lit("the"), 1)).alias("second"))
 
 
 @query("str20_personal_data", r"SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+') THEN 'email' END, CASE WHEN regexp_matches(text, '(^|[^\d])\d{16}($|[^\d])') THEN 'card' END, CASE WHEN regexp_matches(text, '(^|[^\d.])\d{1,3}(\.\d{1,3}){3}($|[^\d.])') THEN 'ip' END, CASE WHEN regexp_matches(text, '(?i)(token|api_key|password)\s*=\s*\S+') THEN 'secret' END) AS kinds FROM documents")
@@ -138,11 +138,11 @@ def str21(spark, d):
     return t.select("conv_id", "turn", (F.col("text") == "[redacted]").alias("redacted"))
 
 
-@query("str22_identifiers", r"SELECT c_custkey, NOT (c_custkey % 7 = 0) AS valid FROM customer WHERE c_custkey % 7 IN (0, 1, 2)")
+@query("str22_identifiers", r"SELECT c_custkey, NOT (c_custkey % 7 = 0) AS valid FROM customer")
 def str22(spark, d):
     k = F.col("c_custkey")
     t = F.when(k % 7 == 0, F.concat(F.lit("phone_"), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("cv:"), k.cast("string"))).otherwise(F.concat(F.lit("doc-"), k.cast("string")))
-    return table(spark, d, "customer").filter("c_custkey % 7 in (0, 1, 2)").select("c_custkey", tx.structured_id(t).alias("valid"))
+    return table(spark, d, "customer").select("c_custkey", tx.structured_id(t).alias("valid"))
 
 
 TOPICS = {"metal": ("bolt", "nut", "gear"), "round": ("ring", "wheel", "red"), "small": ("small", "tiny")}
@@ -163,13 +163,13 @@ def str25(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.keyword_hit(F.col("p_name"), "ring").alias("hit"))
 
 
-@query("str26_skill_lookup", "WITH m AS (SELECT DISTINCT p_name AS raw, p_brand AS id FROM part WHERE p_partkey % 3 = 0), e AS (SELECT raw, min(id) AS id FROM m GROUP BY 1), f AS (SELECT lower(raw) AS k, min(id) AS id, count(DISTINCT id) AS n FROM m GROUP BY 1), q AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS raw FROM part WHERE p_partkey < 300) SELECT p_partkey, coalesce(e.id, CASE WHEN f.n = 1 THEN f.id END) AS id FROM q LEFT JOIN e USING (raw) LEFT JOIN f ON f.k = lower(q.raw)")
+@query("str26_skill_lookup", "WITH m AS (SELECT DISTINCT p_name AS raw, p_brand AS id FROM part WHERE p_size < 20), e AS (SELECT raw, min(id) AS id FROM m GROUP BY 1), f AS (SELECT lower(raw) AS k, min(id) AS id, count(DISTINCT id) AS n FROM m GROUP BY 1), q AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS raw FROM part) SELECT p_partkey, coalesce(e.id, CASE WHEN f.n = 1 THEN f.id END) AS id FROM q LEFT JOIN e USING (raw) LEFT JOIN f ON f.k = lower(q.raw)")
 def str26(spark, d):
     p = table(spark, d, "part")
-    m = p.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("raw"), F.col("p_brand").alias("id")).distinct()
+    m = p.filter("p_size < 20").select(F.col("p_name").alias("raw"), F.col("p_brand").alias("id")).distinct()
     e = m.groupBy("raw").agg(F.min("id").alias("exact"))
     f = m.groupBy(F.lower("raw").alias("k")).agg(F.min("id").alias("folded"), F.countDistinct("id").alias("n")).filter("n = 1").drop("n")
-    q = p.filter("p_partkey < 300").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("raw")).withColumn("k", F.lower("raw"))
+    q = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("raw")).withColumn("k", F.lower("raw"))
     return q.join(e, "raw", "left").join(f, "k", "left").select("p_partkey", F.coalesce("exact", "folded").alias("id"))
 
 
