@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are handled in runs of about this many bytes, which bounds memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True

@@ -34,7 +34,7 @@ def default_path() -> str:
 class PieceCache:
     """Ids of pieces by 64-bit hash; emptied when it holds too many."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
