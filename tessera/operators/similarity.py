@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,49 +11,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder of ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def set_join(df: DataFrame, ident: str, elements: str, threshold: float) -> DataFrame:
     """JOI-14. Pairs (left < right, similarity) of sets with Jaccard similarity of ``threshold`` (over 0) or more.
 
+    Equal sets are one class: the least id stands for it, each other member has
+    one pair with it (similarity 1), and only representatives are joined, so
+    copies are never expanded into all pairs.
+
     Prefix filter: elements are ordered by rising frequency, and two similar
     sets share one among their first ``n - ceil(threshold n) + 1`` elements, so
     only those are joined. Lossless; frequent elements rarely enter a prefix.
     """
-    e = df.select(F.col(ident).alias("_id"), F.explode(F.array_distinct(elements)).alias("_e"))
+    s = df.select(F.col(ident).alias("_id"), F.sort_array(F.array_distinct(elements)).alias("_s"))
+    # Written once: it is read four times, and filters that the optimiser infers would be pushed into what makes the sets.
+    key = settled(s.select("_id", F.sha2(F.array_join(F.transform("_s", lambda x: x.cast("string")), ","), 256).alias("_h"), "_s"))
+    least = key.groupBy("_h").agg(F.min("_id").alias("_rep"), F.count("*").alias("_m"), F.max(F.size("_s")).alias("_z")).filter("_z > 0")
+    member = key.select("_id", "_h").join(least.filter("_m > 1"), "_h").filter("_id <> _rep").select(F.col("_rep").alias("left"), F.col("_id").alias("right"), F.lit(1.0).alias("similarity"))
+    one = key.join(least.select(F.col("_rep").alias("_id")), "_id", "left_semi").select("_id", "_s")
+    e = one.select("_id", F.size("_s").alias("_n"), "_s").select("_id", "_n", F.explode("_s").alias("_e"))  # else every row would carry its set
     freq = e.groupBy("_e").agg(F.count("*").alias("_f"))
-    w = W.partitionBy("_id")
-    r = e.join(freq, "_e").withColumn("_k", F.row_number().over(w.orderBy("_f", "_e"))).withColumn("_n", F.count("*").over(w))
-    p = r.filter(F.col("_k") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1).select("_id", "_e", "_n")
+    r = e.join(freq, "_e").withColumn("_k", F.row_number().over(W.partitionBy("_id").orderBy("_f", "_e")))
+    p = r.filter((F.col("_f") > 1) & (F.col("_k") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1)).select("_id", "_e", "_n")
     a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, F.col("a._e") == F.col("b._e")).filter((F.col("a._id") < F.col("b._id")) & (F.col("a._n") >= threshold * F.col("b._n")) & (F.col("b._n") >= threshold * F.col("a._n")))
+    near = a.join(b, F.col("a._e") == F.col("b._e")).filter((F.col("a._id") < F.col("b._id")) & (F.col("a._n") >= threshold * F.col("b._n") - 1e-9) & (F.col("b._n") >= threshold * F.col("a._n") - 1e-9))
     near = near.select(F.col("a._id").alias("left"), F.col("b._id").alias("right")).distinct()
-    s = df.select(F.col(ident).alias("_id"), F.array_distinct(elements).alias("_s"))
-    j = near.join(s.select(F.col("_id").alias("left"), F.col("_s").alias("_a")), "left").join(s.select(F.col("_id").alias("right"), F.col("_s").alias("_b")), "right")
-    sim = F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))
-    return j.select("left", "right", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
+    j = near.join(one.select(F.col("_id").alias("left"), F.col("_s").alias("_a")), "left").join(one.select(F.col("_id").alias("right"), F.col("_s").alias("_b")), "right")
+    k = F.size(F.array_intersect("_a", "_b"))
+    found = j.select("left", "right", (k / (F.size("_a") + F.size("_b") - k)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return found.unionByName(member)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
     """CLU-03. (node, cluster): cluster is the least node reachable; nodes without an edge are their own.
 
-    Min-label propagation with pointer jumping; each round is cut off by
-    ``checkpoint`` when the session has a checkpoint folder, and the loop ends
-    when no label changes.
+    Large-star and small-star steps in turn on edges alone until they stand
+    still: every node hangs on the least node it can see, hubs are aggregated
+    and never gathered. Raises if that takes more than ``rounds`` rounds.
     """
     a, b = edges.columns
-    spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    cut = (lambda x: x.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    label = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).withColumn("cluster", F.col("node")))
+    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    last = None
     for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("v"), F.col("cluster").alias("_l")), "v").groupBy("u").agg(F.min("_l").alias("_m"))
-        new = label.join(seen, label["node"] == seen["u"], "left").select("node", F.least("cluster", "_m").alias("cluster"))
-        jump = new.select(F.col("node").alias("_j"), F.col("cluster").alias("_c"))
-        new = cut(new.join(jump, new["cluster"] == jump["_j"], "left").select("node", F.least("cluster", "_c").alias("cluster")))
-        moved = new.join(label.withColumnRenamed("cluster", "_o"), "node").filter("cluster <> _o").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return label
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+        large = both.filter("v > u").join(least, "u").filter("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("_m"))
+        small = large.join(low, "u").filter("v <> _m").select(F.greatest("v", "_m").alias("u"), F.least("v", "_m").alias("v"))
+        e = settled(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last:
+            n = nodes.select(F.col(nodes.columns[0]).alias("node"))
+            return n.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("cluster"))
+        last = now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def multi_view(pairs: DataFrame, semantic: Column | None, skill: Column, responsibility: Column, limits: tuple[float, float, float] = (0.8, 0.6, 0.6), supporting: float = 0.3, shift: float = 0.0) -> Column:
@@ -139,11 +161,20 @@ def lineage(edges: DataFrame, previous: DataFrame, current: DataFrame, before: s
     return found.unionByName(gone).unionByName(born)
 
 
-def event_groups(df: DataFrame, block: str, ident: str, ts: str, url: str, title: str, body: str, days: int = 14, title_ratio: float = 0.88, body_ratio: float = 0.85) -> DataFrame:
-    """CLU-01. Greedy event clusters in time order: same URL, or title or body ratio with a representative within ``days``.
+def event_groups(df: DataFrame, ident: str, ts: str, url: str, title: str, body: str, days: int = 14, title_ratio: float = 0.88, body_ratio: float = 0.85, shared: float = 0.3) -> DataFrame:
+    """CLU-01. (ident, event): greedy event clusters in time order: same URL, or title or body ratio with a representative within ``days``.
 
-    The cluster's id is its least id. Blocks keep the greedy part small.
+    The cluster's id is its least id. Rows can only meet if they are linked by
+    an equal URL or title or by bodies whose three-word shingles have a Jaccard
+    similarity of ``shared``; the greedy part runs within components of these
+    links. Ratios of titles are over characters, those of bodies over words.
+    Equal bodies are one text there.
     """
+    words = df.select(ident, F.filter(F.split(F.col(body), "\\s+"), lambda w: w != "").alias("_w"))
+    sets = words.select(ident, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(3)))).alias("_s"))
+    star = lambda c: df.filter((F.col(c) != "")).select(ident, F.col(c).alias("_v")).join(df.filter(F.col(c) != "").groupBy(F.col(c).alias("_v")).agg(F.min(ident).alias("left")), "_v").select("left", F.col(ident).alias("right")).filter("left <> right")
+    links = set_join(sets, ident, "_s", shared).select("left", "right").unionByName(star(url)).unionByName(star(title))
+    part = components(links, df.select(ident)).select(F.col("node").alias(ident), F.col("cluster").alias("_block"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
@@ -152,41 +183,53 @@ def event_groups(df: DataFrame, block: str, ident: str, ts: str, url: str, title
         reps: list[tuple] = []
         urls: dict[str, int] = {}
         out = []
-        for r in pdf.itertuples(index=False):
-            rid, rt, ru, rh, rb = getattr(r, ident), getattr(r, ts), getattr(r, url), getattr(r, title), getattr(r, body)
+        for rid, rt, ru, rh, rb in pdf[[ident, ts, url, title, body]].itertuples(index=False):
             g = urls.get(ru) if ru else None
+            own = (rb or "").split()
             if g is None:
-                for k, (_, t0, h0, b0) in enumerate(reps):
+                for k, (t0, h0, b0) in enumerate(reps):
                     if (rt - t0).total_seconds() > days * 86400:
                         continue
+                    if h0 == rh or (own and own == b0):
+                        g = k
+                        break
                     m = SequenceMatcher(None, h0, rh)
-                    if m.quick_ratio() >= title_ratio and m.ratio() >= title_ratio:
+                    if m.real_quick_ratio() >= title_ratio and m.quick_ratio() >= title_ratio and m.ratio() >= title_ratio:
                         g = k
                         break
-                    m = SequenceMatcher(None, b0, rb)
-                    if rb and m.real_quick_ratio() >= body_ratio and m.quick_ratio() >= body_ratio and m.ratio() >= body_ratio:
+                    m = SequenceMatcher(None, b0, own)
+                    if own and m.real_quick_ratio() >= body_ratio and m.quick_ratio() >= body_ratio and m.ratio() >= body_ratio:
                         g = k
                         break
             if g is None:
                 g = len(reps)
-                reps.append((rid, rt, rh, rb))
+                reps.append((rt, rh, own))
             if ru:
                 urls.setdefault(ru, g)
             out.append(g)
         least = pdf.groupby(pd.Series(out))[ident].min() if len(pdf) else pd.Series(dtype="int64")
-        return pd.DataFrame({block: pdf[block], ident: pdf[ident], "event": [least[g] for g in out]})
+        return pd.DataFrame({ident: pdf[ident], "event": [least[g] for g in out]})
 
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(block, ident, ts, url, title, body).groupBy(block).applyInPandas(run, f"{block} {t[block]}, {ident} {t[ident]}, event {t[ident]}")
+    rows = df.select(ident, ts, url, title, body).join(part, ident)
+    size = part.groupBy("_block").agg(F.count("*").alias("_n"))
+    alone = part.join(size.filter("_n = 1"), "_block", "left_semi").select(ident, F.col(ident).alias("event"))
+    return rows.join(size.filter("_n > 1"), "_block").groupBy("_block").applyInPandas(run, f"{ident} {t[ident]}, event {t[ident]}").unionByName(alone)
 
 
 def constrained_clusters(pairs: DataFrame, members: DataFrame, component: str, ident: str, company: str, source: str) -> DataFrame:
-    """CLU-09..11. Unions in falling order of score, only while all members of both sides are compatible (same company or source, or strong identity).
+    """CLU-09. Unions in falling order of score, only while all members of both sides are compatible (same company or source, or strong identity).
 
     pairs: component, left, right, score, strong. members: component, id,
-    company, source. One component is one task's work; the order is by score,
+    company, source. Where all members of a component have one company, or one
+    source, every union is allowed: such components, however large, are
+    clusters as they are. Any other is one task's work; the order is by score,
     then ids, so nothing depends on how rows arrive.
     """
+    one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    plain = members.groupBy(component).agg((one(company) | one(source)).alias("_u"), F.min(ident).alias("cluster")).filter("_u")
+    whole = members.join(plain.select(component, "cluster"), component).select(ident, "cluster")
+    pairs, members = (x.join(plain.select(component), component, "left_anti") for x in (pairs, members))
 
     def run(key, p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values(ident)
@@ -209,14 +252,15 @@ def constrained_clusters(pairs: DataFrame, members: DataFrame, component: str, i
         return pd.DataFrame({ident: list(root), "cluster": [root[i] for i in root]})
 
     t = {f.name: f.dataType.simpleString() for f in members.schema.fields}
-    return pairs.groupBy(component).cogroup(members.groupBy(component)).applyInPandas(run, f"{ident} {t[ident]}, cluster {t[ident]}")
+    return pairs.groupBy(component).cogroup(members.groupBy(component)).applyInPandas(run, f"{ident} {t[ident]}, cluster {t[ident]}").unionByName(whole)
 
 
 def hashed_tfidf(df: DataFrame, ident: str, tokens: str, dimensions: int = 128) -> DataFrame:
     """CLU-21, CLU-20 (text half). (id, column, value): unit TF-IDF vectors whose column is the token's vocabulary rank modulo ``dimensions``.
 
-    The dense rank over the sorted vocabulary comes from range-partitioned
-    counts, not from one task.
+    The dense rank over the sorted vocabulary is taken in two steps: words are
+    numbered among those that begin alike, and these groups, few, follow each
+    other.
     """
     from tessera.operators.relational import total
 
@@ -225,7 +269,9 @@ def hashed_tfidf(df: DataFrame, ident: str, tokens: str, dimensions: int = 128)
     tf = t.groupBy("_id", "_t").agg(F.count("*").alias("_c"))
     size = t.groupBy("_id").agg(F.count("*").alias("_len"))
     vocab = tf.groupBy("_t").agg(F.count("*").alias("_df"))
-    vocab = vocab.withColumn("_col", ((F.row_number().over(total().orderBy("_t")) - 1) % dimensions).cast("bigint"))
+    vocab = vocab.withColumn("_g", F.substring("_t", 1, 2))
+    group = vocab.groupBy("_g").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(total().orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    vocab = vocab.withColumn("_row", F.row_number().over(W.partitionBy("_g").orderBy("_t"))).join(group, "_g").select("_t", "_df", ((F.col("_before") + F.col("_row") - 1) % dimensions).cast("bigint").alias("_col"))
     x = tf.join(vocab, "_t").join(size, "_id").crossJoin(F.broadcast(n))
     x = x.withColumn("_x", F.col("_c") / F.col("_len") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)).groupBy("_id", "_col").agg(F.sum("_x").alias("_x"))
     length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy("_id")))

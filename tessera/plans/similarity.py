@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions import vectors as vec
 from tessera.functions.scalars import big
+from tessera.operators import independence as ind
 from tessera.operators import retrieval as ret
 from tessera.operators import similarity as sim
 
@@ -47,7 +48,10 @@ def sets(spark, d):
     return table(spark, d, "events").filter("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.get_json_object("props", "$.k").cast("bigint")).alias("s"))
 
 
-@query("joi14_set_similarity", f"WITH {_SETS} SELECT a.id AS \"left\", b.id AS \"right\", round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM st a JOIN st b ON a.id < b.id WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.2")
+_CLASS = "k AS (SELECT *, array_to_string(list_sort(s), ',') AS h FROM st), r AS (SELECT *, min(id) OVER (PARTITION BY h) AS rep FROM k), o AS (SELECT id, s FROM r WHERE id = rep), c AS (SELECT rep AS \"left\", id AS \"right\", 1.0::DOUBLE AS similarity FROM r WHERE id <> rep)"
+
+
+@query("joi14_set_similarity", f"WITH {_SETS}, {_CLASS} SELECT * FROM c UNION ALL SELECT a.id AS \"left\", b.id AS \"right\", round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM o a JOIN o b ON a.id < b.id WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.2")
 def joi14(spark, d):
     return sim.set_join(sets(spark, d), "id", "s", 0.2).withColumn("similarity", F.round("similarity", 6))
 
@@ -62,15 +66,59 @@ def doc_sets(spark, d):
     return x.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(5))))).alias("s"))
 
 
-@query("joi16_near_duplicates", f"WITH {_SHD}, e AS (SELECT doc_id, unnest(s) AS h, len(s) AS n FROM sh), f AS (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1), x AS (SELECT e.* FROM e JOIN f USING (h)), p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT l AS \"left\", r AS \"right\", round(c / (na + nb - c), 6) AS similarity FROM p WHERE c / (na + nb - c) >= 0.8")
-def joi16(spark, d):
+@query("joi16_near_duplicates", f"WITH {_SHD}, st AS (SELECT doc_id AS id, s FROM sh), k AS (SELECT *, md5(array_to_string(list_sort(s), '|')) AS h FROM st), r AS (SELECT *, min(id) OVER (PARTITION BY h) AS rep FROM k), e AS (SELECT id, unnest(s) AS h, len(s) AS n FROM r WHERE id = rep), f AS (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1), x AS (SELECT e.* FROM e JOIN f USING (h)), p AS (SELECT a.id AS l, b.id AS r, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2) SELECT l AS \"left\", r AS \"right\", round(c / (na + nb - c), 6) AS similarity FROM p WHERE c / (na + nb - c) >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM r WHERE id <> rep")
+def joi14d(spark, d):
+    """Documents of one shingle set are a class; pairs join representatives, and each other member to its own."""
     return sim.set_join(doc_sets(spark, d), "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("clu08_independent_clusters")
+_REC = "rec AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'http://x.y/' || (o_orderkey // 21) END AS url, CAST(floor(o_totalprice) AS BIGINT) AS fp, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 20 END AS template, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS company, o_orderpriority AS position, o_orderstatus AS source, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)"
+
+
+def records(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        k.alias("id"), F.when(k % 7 == 0, F.concat(F.lit("http://x.y/"), F.floor(k / 21).cast("string"))).alias("url"), F.floor("o_totalprice").alias("fp"), F.when(k % 5 == 0, F.floor(k / 20)).alias("template"),
+        F.when(k % 11 != 0, F.col("o_custkey")).alias("company"), F.col("o_orderpriority").alias("position"), F.col("o_orderstatus").alias("source"), F.when(k % 13 != 0, F.to_date("o_orderdate")).alias("day"),
+    )
+
+
+@query("clu08_independent_clusters", f"""WITH RECURSIVE {_REC}, n AS (SELECT id, lag(id) OVER w AS p, day - lag(day) OVER w AS gap FROM rec WHERE company IS NOT NULL AND day IS NOT NULL WINDOW w AS (PARTITION BY company, position ORDER BY day, id)),
+e AS (SELECT min(id) OVER (PARTITION BY url) AS a, id AS b FROM rec WHERE url IS NOT NULL UNION SELECT min(id) OVER (PARTITION BY fp), id FROM rec UNION SELECT min(id) OVER (PARTITION BY template), id FROM rec WHERE template IS NOT NULL UNION SELECT p, id FROM n WHERE gap <= 7),
+g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT id AS node, id AS reach FROM rec UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.reach) SELECT node, min(reach) AS cluster FROM r GROUP BY 1""")
 def clu08(spark, d):
-    e = sim.set_join(doc_sets(spark, d), "doc_id", "s", 0.8).select("left", "right")
-    return sim.components(e, table(spark, d, "documents").select("doc_id"))
+    return ind.independent_clusters(records(spark, d), "id", "url", "fp", "template", "company", "position", "day", 7)
+
+
+_PAIR = "pr AS (SELECT a.id AS l, b.id AS r, a.fp = b.fp OR coalesce(a.url = b.url, false) AS strong, a.position = b.position AS same_position, a.source = b.source AS same_source, coalesce(a.template = b.template, false) AS same_template, a.template IS NOT NULL AND b.template IS NOT NULL AS both_templates, a.day IS NOT NULL AND b.day IS NOT NULL AS both_days, coalesce(abs(a.day - b.day) <= 7, false) AS near, 1 - abs(a.fp - b.fp) / greatest(a.fp, b.fp) AS lexical FROM rec a JOIN rec b ON a.company = b.company AND a.id < b.id), av AS (SELECT *, 0.3 + 0.25 + 0.15 + CASE WHEN both_templates THEN 0.1 ELSE 0 END + CASE WHEN both_days THEN 0.2 ELSE 0 END AS w, CASE WHEN strong THEN 0.3 ELSE 0 END + CASE WHEN same_position THEN 0.25 ELSE 0 END + CASE WHEN same_source THEN 0.15 ELSE 0 END + CASE WHEN same_template THEN 0.1 ELSE 0 END + CASE WHEN near THEN 0.2 ELSE 0 END AS s FROM pr), sc AS (SELECT *, round(CAST(s / w AS DOUBLE), 6) AS score, round(CAST(w AS DOUBLE), 6) AS coverage FROM av)"
+
+
+@query("clu10_missing_aware_decisions", f"WITH {_REC}, {_PAIR} SELECT l AS \"left\", r AS \"right\", score, coverage, CASE WHEN score >= 0.55 AND coverage >= 0.4 THEN 'merge' WHEN score <= 0.35 THEN CASE WHEN NOT both_days AND (strong OR lexical >= 0.6 OR (same_template AND same_position)) THEN 'review_required' ELSE 'independent' END ELSE 'review_required' END AS decision FROM sc")
+def clu10(spark, d):
+    p = ind.record_pairs(records(spark, d), "id", ["company"])
+    x = ind.missing_aware(p, "url", "fp", "template", "company", "position", "source", "day", 7, _lexical())
+    return x.select("left", "right", "score", "coverage", "decision")
+
+
+def _lexical():
+    a, b = F.col("a.fp"), F.col("b.fp")
+    return 1 - F.abs(a - b) / F.greatest(a, b)
+
+
+@query("clu11_hard_regions", f"WITH {_REC}, {_PAIR} SELECT l AS \"left\", r AS \"right\", CASE WHEN strong THEN 'merge' WHEN same_position AND same_template THEN CASE WHEN near OR NOT both_days THEN 'merge' ELSE 'review_required' END WHEN same_position AND lexical >= 0.8 AND score >= 0.55 AND coverage >= 0.4 THEN CASE WHEN near OR NOT both_days THEN 'merge' ELSE 'review_required' END WHEN NOT same_template THEN 'independent' WHEN lexical >= 0.55 THEN 'review_required' WHEN score <= 0.35 AND coverage >= 0.4 THEN 'independent' ELSE 'review_required' END AS decision FROM sc")
+def clu11(spark, d):
+    p = ind.record_pairs(records(spark, d), "id", ["company"])
+    x = ind.missing_aware(p, "url", "fp", "template", "company", "position", "source", "day", 7, _lexical())
+    return ind.hard_regions(x, {"lexical_merge": 0.8, "lexical_independent": 0.3, "lexical_review": 0.55, "score_merge": 0.55, "score_review": 0.35, "coverage": 0.4}).select("left", "right", F.col("region").alias("decision"))
+
+
+_SHC = "ps AS (SELECT p_partkey AS id, replace(lower(p_name || ' ' || p_type), ' ', '') AS t, [p_brand, p_type] AS sk FROM part), sg AS (SELECT id, t, sk, list_distinct(list_concat(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3)), list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i, 4)))) AS s FROM ps)"
+
+
+@query("joi16_duplicate_scores", f"WITH {_SHC}, p AS (SELECT a.id AS l, b.id AS r, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS x, len(list_intersect(a.sk, b.sk)) / len(list_distinct(list_concat(a.sk, b.sk))) AS k, 1 - abs(length(a.t) - length(b.t)) / greatest(length(a.t), length(b.t)) AS n FROM sg a JOIN sg b ON a.sk[1] = b.sk[1] AND a.id < b.id), z AS (SELECT *, round(0.65 * x + 0.2 * k + 0.15 * n, 6) AS score FROM p) SELECT l AS \"left\", r AS \"right\", score FROM z WHERE score >= 0.75")
+def joi16(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.array("p_brand", "p_type").alias("skills"))
+    return ind.duplicate_scores(p, "id", "block", "text", "skills", 0.75).select("left", "right", "score")
 
 
 @query("clu03_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS x FROM g), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.reach) SELECT node, min(reach) AS cluster FROM r GROUP BY 1""")
@@ -112,8 +160,8 @@ def clu12(spark, d):
 
 @query("clu01_event_clusters")
 def clu01(spark, d):
-    x = table(spark, d, "documents").filter("length(text) < 600").select((F.col("doc_id") % 8).alias("block"), "doc_id", F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"), F.lit(None).cast("string").alias("url"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
-    return sim.event_groups(x, "block", "doc_id", "ts", "url", "title", "body")
+    x = table(spark, d, "documents").select("doc_id", F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"), F.lit(None).cast("string").alias("url"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
+    return sim.event_groups(x, "doc_id", "ts", "url", "title", "body")
 
 
 @query("clu09_constrained_clusters")

@@ -106,7 +106,55 @@ def test_set_join_is_lossless(spark):
     for t in (0.3, 0.5, 0.8, 1.0):
         got = {(r.left, r.right) for r in sim.set_join(df, "id", "s", t).collect()}
         j = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
-        assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if j(sets[a], sets[b]) >= t - 1e-12 and sets[a] and sets[b]}
+        first = {i: min(k for k in range(60) if sets[k] == sets[i]) for i in range(60)}
+        reps = sorted(set(first.values()))
+        want = {(a, b) for a in reps for b in reps if a < b and j(sets[a], sets[b]) >= t - 1e-12 and sets[a] and sets[b]}
+        assert got == want | {(first[i], i) for i in range(60) if first[i] != i and sets[i]}
+
+
+def test_copies_are_not_expanded(spark):
+    df = spark.range(500).select("id", F.array(*[F.lit(k) for k in range(9)]).alias("s"))
+    assert sim.set_join(df, "id", "s", 0.5).count() == 499
+
+
+def test_components_raise_when_they_do_not_settle(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        sim.components(e, e.select("a"), rounds=1)
+
+
+def test_event_groups_are_those_of_all_pairs(spark):
+    import datetime
+    import difflib
+    import random
+
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(500)}"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(r.randrange(20, 60))]
+        for n in range(4):
+            x = list(base)
+            for _ in range(n):
+                x[r.randrange(len(x))] = word()
+            rows.append((len(rows), day(r.randrange(20)), f"u{r.randrange(30)}" if n == 3 else None, f"title {k} {word()} {word()}", " ".join(x)))
+    got = {g.id: g.event for g in sim.event_groups(spark.createDataFrame(rows, "id long, ts timestamp, url string, title string, body string"), "id", "ts", "url", "title", "body").collect()}
+    reps, urls, group = [], {}, {}
+    for i, ts, u, h, b in sorted(rows, key=lambda x: (x[1], x[0])):
+        g = urls.get(u) if u else None
+        if g is None:
+            for k, (t0, h0, b0) in enumerate(reps):
+                if (ts - t0).days <= 14 and (difflib.SequenceMatcher(None, h0, h).ratio() >= 0.88 or difflib.SequenceMatcher(None, b0, b.split()).ratio() >= 0.85):
+                    g = k
+                    break
+        if g is None:
+            g = len(reps)
+            reps.append((ts, h, b.split()))
+        if u:
+            urls.setdefault(u, g)
+        group[i] = g
+    assert got == {i: min(k for k in group if group[k] == g) for i, g in group.items()}
 
 
 def test_components_and_lineage(spark):
