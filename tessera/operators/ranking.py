@@ -72,3 +72,26 @@ def greedy_queue(df: DataFrame, queue: str, task: str, value_col: str, features:
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     cols = list(dict.fromkeys([queue, task, value_col, *features, *[c for c in (cost, group, blocking) if c]]))
     return df.select(*cols).groupBy(queue).applyInPandas(run, f"{queue} {t[queue]}, {task} {t[task]}, position long, score double")
+
+
+def expected_review_value(blocking: Column, impact: Column, group_size: Column, reviewed: Column, changed: Column, cost: Column, wait: Column, eta: float = 1.0, prior: float = 0.31, strength: float = 2.0) -> Column:
+    """SRT-07. Rank value v5 of a task by itself: the chance that a review changes something, times what hangs on it, over its cost.
+
+    The chance is a Beta posterior of the group's reviews (the prior without
+    any); what hangs on it is 0.4 for blocking, 0.3 for the impact (capped at
+    10) and 0.3 for the share of the group still open, on a log scale. Costs
+    count from 0.05 on; waiting adds up to 0.02. ``greedy_queue`` adds what a
+    task brings to a list.
+    """
+    n, c = F.coalesce(reviewed, F.lit(0)), F.coalesce(changed, F.lit(0))
+    p = F.when(n > 0, F.round((c + prior * strength) / (n + strength), 6)).otherwise(prior)
+    size = F.coalesce(group_size, F.lit(0))
+    left = F.greatest(size - n, F.lit(0))
+    spread = F.when(size > 0, F.log1p(left) / F.log1p(F.greatest(size, F.lit(1)))).otherwise(0.0)
+    value = p * (0.4 * blocking.cast("double") + 0.3 * F.least(F.coalesce(impact, F.lit(0)) / 10.0, F.lit(1.0)) + 0.3 * spread)
+    return value / F.pow(F.greatest(F.coalesce(cost, F.lit(1.0)), F.lit(0.05)), F.lit(eta)) + 0.02 * F.least(F.greatest(F.coalesce(wait, F.lit(0.0)), F.lit(0.0)), F.lit(30.0)) / 30.0
+
+
+def normalized_value(value_col: Column, similarity: Column, blend: float = 0.6) -> Column:
+    """SRT-07. Rank value v3: value over the sum of all weights, blended with the novelty against what is picked (1 - similarity)."""
+    return blend * F.least(F.greatest(value_col, F.lit(0.0)) / sum(VALUE.values()), F.lit(1.0)) + (1 - blend) * (1 - F.coalesce(similarity, F.lit(0.0)))

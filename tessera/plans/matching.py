@@ -198,6 +198,13 @@ def srt08(spark, d):
     return rk.greedy_queue(tasks(spark, d), "queue", "task", "value", ["object", "type", "subject"], group="object", blocking="blocking", penalty=0.05)
 
 
+@query("srt07_review_values", f"WITH {_TASK}, v AS (SELECT task, CASE WHEN reuse % 4 > 0 THEN round((unc % 3 + 0.62) / (reuse % 4 + 2.0), 6) ELSE 0.31 END AS p, CASE WHEN reuse > 0 THEN ln(1 + greatest(reuse - reuse % 4, 0)) / ln(1 + reuse) ELSE 0 END AS spread, blocking, imp, wait, 1 + task % 3 AS cost, 0.4 * CASE WHEN blocking THEN 1 ELSE 0 END + 0.25 * least(unc, 5) / 5.0 + 0.2 * least(imp, 10) / 10.0 + 0.13 * least(reuse, 10) / 10.0 + 0.02 * least(wait, 30) / 30.0 AS base FROM tk) SELECT task, round(CAST(p * (0.4 * CASE WHEN blocking THEN 1 ELSE 0 END + 0.3 * least(imp / 10.0, 1) + 0.3 * spread) / cost + 0.02 * least(wait, 30) / 30.0 AS DOUBLE), 6) AS expected, round(CAST(0.6 * least(base, 1) + 0.4 AS DOUBLE), 6) AS normalized FROM v")
+def srt07(spark, d):
+    t = tasks(spark, d)
+    x = rk.expected_review_value(F.col("blocking"), F.col("imp"), F.col("reuse"), F.col("reuse") % 4, F.col("unc") % 3, F.col("cost"), F.col("wait"))
+    return t.select("task", F.round(x, 6).alias("expected"), F.round(rk.normalized_value(F.col("value"), F.lit(0.0)), 6).alias("normalized"))
+
+
 @query("srt11_mapping_priority", f"WITH {_TASK} SELECT task, round(0.4 * unc / 7.0 + 0.3 * imp / 13.0 + 0.3 * reuse / 12.0, 6) AS priority FROM tk")
 def srt11(spark, d):
     t = tasks(spark, d).withColumn("a", F.col("unc") / 7.0).withColumn("b", F.col("imp") / 13.0).withColumn("c", F.col("reuse") / 12.0)
