@@ -1,4 +1,4 @@
-"""Queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""Queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import filter_audit as _audit
 from . import language_model as _lm
 from . import licenses as _licenses
 from . import media as _media
@@ -101,3 +102,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_license_scan"] = _licenses.oracle()
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = _audit.ORACLE

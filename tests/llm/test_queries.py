@@ -7,7 +7,7 @@ from tessera.llm import queries as q
 
 def test_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
@@ -15,7 +15,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "labels", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = q.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
