@@ -14,6 +14,7 @@ from . import licenses as _licenses
 from . import media as _media
 from . import packing as _packing
 from . import quality as _quality
+from . import run_index as _run_index
 from . import simhash as _simhash
 from . import substring_dedup as _substring
 from . import toxicity as _toxicity
@@ -110,3 +111,9 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_filter_audit"] = _audit.ORACLE
+
+
+@_query
+def op13_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run_index.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
