@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as _alignment
 from . import decontaminate as _decontaminate
 from . import filter_audit as _audit
 from . import language_model as _lm
@@ -113,6 +114,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_filter_audit"] = _audit.ORACLE
 
 
+@_query
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment.align(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run_index.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
