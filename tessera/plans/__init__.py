@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate, evolution, knowledge, matching, relational, similarity, text, timeseries, versions
+from . import aggregate, evolution, knowledge, mass, matching, relational, similarity, text, timeseries, versions
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "win_trend_states"
