@@ -13,11 +13,12 @@ byte, so a pass over the text that looks up the last sample before each place
 streams the matching statistics of all blocks against each other. A window is
 repeated where they reach ``window``.
 
-Skew: blocks are counted before they are shuffled, text is fetched once for
-each different block, and the different blocks of a crowded anchor are dealt by
-their hash to several indexes of bounded size. What such an index has not seen
-twice meets the other indexes of its anchor by window hash, one row a window
-and index, in an aggregation that no task holds whole.
+Skew: blocks are counted before they are shuffled, and text is fetched once for
+each different block. The different blocks of a crowded anchor are texts of
+their own to the same steps with a longer ``gram``: windows that reach far out
+of what the texts share then have anchors of their own and leave. The last
+level takes whole windows as anchors, so each index stays bounded and nothing
+is left to compare in one task.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ U64 = np.uint64
 WINDOW, GRAM = 400, 32
 #: Windows of a block at most; longer runs (one byte over and over) are cut.
 BLOCK = 4096
-#: Different blocks of an anchor that one index takes, on average at most.
+#: Different blocks of an anchor that one index takes.
 CROWD = 512
 #: Bytes of the blocks that are indexed together, beyond which no anchor is added.
 BATCH = 1 << 20
@@ -102,34 +103,48 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
                 )
 
 
+def _sorted_pairs(first: np.ndarray, second: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places by (first, second), all numbers below 2**bits; where a new first begins, and where a new pair does."""
+    if 3 * bits <= 63:  # one number each: far cheaper to sort
+        both = (first << 2 * bits) | (second << bits) | place
+        both.sort()
+        at, both = both & ((1 << bits) - 1), both >> bits
+        one = both >> bits
+    else:
+        order = np.lexsort((second, first))
+        at, one, both = place[order], first[order], second[order]
+    opens = np.concatenate([[True], one[1:] != one[:-1]])
+    return at, opens, opens | np.concatenate([[True], both[1:] != both[:-1]])
+
+
 def suffix_ranks(text: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(length, ranks of all suffixes by their first that many bytes), by doubling from 7 bytes; left: bytes up to the end of a suffix's block.
+    """(length, ranks of all suffixes by their first that many bytes), by doubling; left: bytes up to the end of a suffix's block.
 
     The last ranks differ unless two suffixes are equal to their ends.
     """
-    n = len(text)
-    key = np.minimum(left, 7).astype(U64)
-    padded = np.concatenate([text, np.zeros(7, np.uint8)])
-    for k in range(7):
-        key |= np.where(left > k, padded[k : k + n], 0).astype(U64) << U64(56 - 8 * k)
-    order = np.argsort(key)
+    n, bits = len(text), int(len(text) + 1).bit_length()
+    code = np.zeros(257, np.int64)
+    code[:256][np.bincount(text, minlength=256) > 0] = 1  # 0: behind the end
+    code = np.cumsum(code) * code
+    width = int(code.max()).bit_length()
+    step = max(1, (min(2 * bits, 62)) // width)
+    key, padded = np.zeros(n, np.int64), np.concatenate([code[text], np.zeros(step, np.int64)])
+    for k in range(step):
+        key = (key << width) | np.where(left > k, padded[k : k + n], 0)
+    i = np.arange(n)
+    at, _, fresh = _sorted_pairs(key >> bits, key & ((1 << bits) - 1), i, bits)
     rank = np.empty(n, np.int64)
-    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    levels, step, live = [(7, rank.astype(np.int32))], 7, np.arange(n)
+    rank[at] = np.maximum.accumulate(np.where(fresh, i, 0))
+    levels, live, alive = [(step, rank.astype(np.int32))], i, np.ones(n, bool)
     while True:
-        size = np.bincount(rank, minlength=n)  # a rank is the place of the first of its kind
-        live = live[size[rank[live]] > 1]
+        alive[at[fresh & np.append(fresh[1:], True)]] = False  # nothing shares its rank
+        live = live[alive[live]]
         if not len(live) or step >= left[live].max():
             return levels
-        after = rank[np.minimum(live + step, n - 1)] + 1
-        key = rank[live] * (n + 1) + np.where(left[live] > step, after, 0)
-        order = np.argsort(key)
-        at, was = live[order], rank[live[order]]
+        after = np.where(left[live] > step, rank[np.minimum(live + step, n - 1)] + 1, 0)
+        at, opens, fresh = _sorted_pairs(rank[live], after, live, bits)
         i = np.arange(len(live))
-        old = np.maximum.accumulate(np.where(np.concatenate([[True], was[1:] != was[:-1]]), i, 0))
-        new = np.maximum.accumulate(np.where(np.concatenate([[True], key[order][1:] != key[order][:-1]]), i, 0))
-        rank[at] = was + new - old
+        rank[at] += np.maximum.accumulate(np.where(fresh, i, 0)) - np.maximum.accumulate(np.where(opens, i, 0))
         step *= 2
         levels.append((step, rank.astype(np.int32)))
 
@@ -140,7 +155,7 @@ def common_prefix(text: np.ndarray, left: np.ndarray, levels: list[tuple[int, np
     for step, rank in reversed(levels):
         common += np.where((common < most) & (rank[np.minimum(a + common, last)] == rank[np.minimum(b + common, last)]), step, 0)
     going = common < most
-    for _ in range(7):
+    for _ in range(levels[0][0]):
         going &= (common < most) & (text[np.minimum(a + common, last)] == text[np.minimum(b + common, last)])
         common += going
     return np.minimum(common, most)
@@ -183,57 +198,86 @@ class RunIndex:
 
 
 def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Different blocks sorted by anchor and share -> runs of repeated windows (at, n); of shared anchors also windows to be compared elsewhere (n 0 or -1, hash).
-
-    n is -1 for a window that its index has once, and 0 for one that stands for
-    several and is marked already.
-    """
-    names = ["anchor", "block", "at", "n", "hash"]
+    """Different blocks sorted by anchor -> their runs of repeated windows (at, n)."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         buf, offs = tx.string_buffers(t["bytes"])
-        index = RunIndex(buf, offs[:-1])
-        prev, after = index.matching_statistics()
-        anchor, block, shares = (t[c].to_numpy() for c in ("anchor", "block", "shares"))
-        row = np.repeat(np.arange(len(anchor)), np.diff(offs))
-        at = np.arange(len(buf)) - offs[:-1][row]
+        prev, after = RunIndex(buf, offs[:-1]).matching_statistics()
         i = np.flatnonzero(np.maximum(prev, after) >= window)
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (row[i][1:] != row[i][:-1])])) if len(i) else i
+        row = np.searchsorted(offs, i, side="right") - 1
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (row[1:] != row[:-1])])) if len(i) else i
+        rows = row[edge]
         n = np.diff(np.append(edge, len(i)))
-        e = i[edge]
-        j = np.flatnonzero((shares[row] > 1) & (index.left >= window) & (prev < window))  # one of each kind of window
-        h = Hashes(buf).ranges(j, window) if len(j) else np.zeros(0, U64)
-        rows = np.concatenate([row[e], row[j]])
-        return pa.record_batch(
-            [
-                pa.array(anchor[rows]), pa.array(block[rows]), pa.array(np.concatenate([at[e], at[j]]).astype(np.int32)),
-                pa.array(np.concatenate([n, np.where(after[j] >= window, 0, -1)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(e), np.int64), h.view(np.int64)])),
-            ],
-            names=names,
-        )
+        return pa.record_batch([t["anchor"].combine_chunks().take(pa.array(rows)), t["block"].combine_chunks().take(pa.array(rows)), pa.array((i[edge] - offs[rows]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "block", "at", "n"])
 
     held: list[pa.RecordBatch] = []
     load = 0
     for b in batches:
         held.append(b)
-        load += b.column(4).nbytes
+        load += b.column(2).nbytes
         if load < BATCH:
             continue
         t = pa.Table.from_batches(held)
-        group = t["anchor"].to_numpy(), t["share"].to_numpy()
-        border = np.flatnonzero((group[0][1:] != group[0][:-1]) | (group[1][1:] != group[1][:-1])) + 1
-        size = np.cumsum(pc.binary_length(t["bytes"]).to_numpy())
+        anchor, size = t["anchor"].to_numpy(), np.cumsum(pc.binary_length(t["bytes"]).to_numpy())
+        border = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
         done = 0
-        for k, cut in enumerate(border):  # whole groups of about BATCH bytes; the last group may go on
+        for k, cut in enumerate(border):  # whole anchors of about BATCH bytes; the last one may go on
             if k == len(border) - 1 or size[border[k + 1] - 1] - (size[done - 1] if done else 0) > BATCH:
                 yield solve(t.slice(done, cut - done))
                 done = int(cut)
         held = t.slice(done).combine_chunks().to_batches()
-        load = sum(x.column(4).nbytes for x in held)
+        load = sum(x.column(2).nbytes for x in held)
     if held and sum(map(len, held)):
         yield solve(pa.Table.from_batches(held))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(text, wanted blocks) -> the blocks with their bytes."""
+    for b in batches:
+        buf, offs = tx.string_buffers(b.column(0))
+        raw, flat = memoryview(buf), b.column(1).flatten()
+        anchor, block, crowded, at, n = (flat.field(k) for k in range(5))
+        row = np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy())
+        lo = offs[row] + at.to_numpy()
+        hi = lo + n.to_numpy() + window - 1
+        for i in range(0, len(lo), 4096):
+            k = slice(i, i + 4096)
+            data = pa.array([raw[s:e].tobytes() for s, e in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())
+            yield pa.record_batch([*(c[i : i + 4096] for c in (anchor, block, crowded)), data], names=["anchor", "block", "crowded", "bytes"])
+
+
+def repeated_windows(texts: DataFrame, folder: str, window: int, grams: list[int], crowd: int) -> DataFrame:
+    """(_k1, _k2, _m): runs (at, n) of windows that start elsewhere too, of texts (_k1, _k2, _text: string or binary) that have any.
+
+    ``grams`` are those of this level and the deeper ones, ending with whole
+    windows. Tables between passes are written to ``folder``.
+    """
+    spark, key, gram, last = texts.sparkSession, ["_k1", "_k2"], grams[0], len(grams) == 1
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{gram}-{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{gram}-{name}")
+
+    blocks = written(texts.mapInArrow(tx.tidied(lambda it: _blocks(it, window, gram)), "anchor long, block long, _k1 long, _k2 long, at int, n int, several boolean"), "blocks")
+    kinds = written(blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("_k1", "_k2", "at", "n")).alias("one"), F.max("several").alias("several")), "kinds")
+    anchors = kinds.groupBy("anchor").agg(F.sum("times").alias("_times"), F.count("*").alias("_kinds"), F.max("several").alias("_several")).filter("_times > 1 or _several")
+    anchors = written(anchors.select("anchor", "_several", (F.col("_kinds") > 1).alias("_mixed"), (F.lit(False) if last else F.col("_kinds") > crowd).alias("crowded")), "anchors")
+    known = kinds.join(anchors, "anchor")
+    wanted = known.filter("_mixed or _several").select("one._k1", "one._k2", F.struct("anchor", "block", "crowded", "one.at", "one.n").alias("_w"))
+    wanted = wanted.groupBy(*key).agg(F.collect_list("_w").alias("_w"))  # of one text
+    pieces = written(texts.join(wanted, key).select("_text", "_w").mapInArrow(tx.tidied(lambda it: _cut(it, window)), "anchor long, block long, crowded boolean, bytes binary"), "pieces")
+    found = pieces.filter("not crowded").select("anchor", "block", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tx.tidied(lambda it: _search(it, window)), "anchor long, block long, at int, n int")
+    whole = known.filter("times > 1").select("anchor", "block", F.lit(0).alias("at"), "one.n")
+    marks = found.unionByName(whole).groupBy("anchor", "block").agg(F.collect_list(F.struct("at", "n")).alias("_m"))  # at most a block's windows each
+    if not anchors.filter("crowded").isEmpty():
+        crowded = pieces.filter("crowded").select(F.col("anchor").alias("_k1"), F.col("block").alias("_k2"), F.col("bytes").alias("_text"))
+        deeper = repeated_windows(crowded, folder, window, grams[1:], crowd)
+        marks = marks.unionByName(deeper.select(F.col("_k1").alias("anchor"), F.col("_k2").alias("block"), "_m"))
+    marks = written(marks, "marks")
+    spans = blocks.select("anchor", "block", *key, "at").join(marks, ["anchor", "block"]).select(*key, F.transform("_m", lambda x: F.struct((x["at"] + F.col("at")).alias("at"), x["n"].alias("n"))).alias("_m"))
+    return spans.groupBy(*key).agg(F.flatten(F.collect_list("_m")).alias("_m"))
+
+
 REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
@@ -294,46 +338,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.xxhash64(ident, ident.isNull()).alias("_k1"), F.xxhash64(text).alias("_k2"), text.alias("_text"),
         F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("_rest"),
     )
-    key, folder = ["_k1", "_k2"], f"{shared_dir(spark).rstrip('/')}/run-index-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    blocks = written(base.select(*key, "_text").mapInArrow(tx.tidied(lambda it: _blocks(it, window, gram)), "anchor long, block long, _k1 long, _k2 long, at int, n int, several boolean"), "blocks")
-    kinds = written(blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("_k1", "_k2", "at", "n")).alias("one"), F.max("several").alias("several")), "kinds")
-    anchors = written(kinds.groupBy("anchor").agg(F.sum("times").alias("_times"), F.count("*").alias("_kinds"), F.max("several").alias("_several")).filter("_times > 1 or _several").drop("_times"), "anchors")
-    shares = F.ceil(F.col("_kinds") / crowd).cast("int")
-    known = kinds.join(anchors, "anchor").withColumns({"shares": shares, "share": F.pmod("block", shares).cast("int")})
-    wanted = known.filter("_kinds > 1 or _several").select("one._k1", "one._k2", F.struct("anchor", "block", "share", "shares", "one.at", "one.n").alias("_w"))
-    wanted = wanted.groupBy(*key).agg(F.collect_list("_w").alias("_w"))  # of one text
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = tx.string_buffers(b.column(0))
-            raw = memoryview(buf)
-            flat = b.column(1).flatten()
-            a, bl, sh, shs, at, n = (flat.field(k) for k in range(6))
-            row = np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy())
-            lo = offs[row] + at.to_numpy()
-            hi = lo + n.to_numpy() + window - 1
-            for i in range(0, len(lo), 4096):
-                k = slice(i, i + 4096)
-                data = pa.array([raw[s:e].tobytes() for s, e in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())
-                yield pa.record_batch([*(c[i : i + 4096] for c in (a, bl, sh, shs)), data], names=["anchor", "block", "share", "shares", "bytes"])
-
-    pieces = base.select(*key, "_text").join(wanted, key).select("_text", "_w").mapInArrow(tx.tidied(cut), "anchor long, block long, share int, shares int, bytes binary")
-    found = pieces.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(tx.tidied(lambda it: _search(it, window)), "anchor long, block long, at int, n int, hash long")
-    found = written(found, "found")
-    probes = found.filter("n < 1")
-    twice = probes.groupBy("anchor", "hash").agg(F.count("*").alias("_m")).filter("_m > 1")
-    across = probes.filter("n = -1").join(twice, ["anchor", "hash"]).select("anchor", "block", "at", F.lit(1).alias("n"))
-    whole = known.filter("times > 1").select("anchor", "block", F.lit(0).alias("at"), "one.n")
-    marks = found.filter("n > 0").select("anchor", "block", "at", "n").unionByName(across).unionByName(whole)
-    marks = written(marks.groupBy("anchor", "block").agg(F.collect_list(F.struct("at", "n")).alias("_m")), "marks")  # at most a block's windows each
-    spans = blocks.select("anchor", "block", *key, "at").join(marks, ["anchor", "block"]).select(*key, F.transform("_m", lambda x: F.struct((x["at"] + F.col("at")).alias("at"), x["n"].alias("n"))).alias("_m"))
-    spans = spans.groupBy(*key).agg(F.flatten(F.collect_list("_m")).alias("_m"))
-
+    folder = f"{shared_dir(spark).rstrip('/')}/run-index-{uuid.uuid4().hex}"
+    grams = sorted({min(gram, window), window - max(1, window // 20), window})
+    spans = repeated_windows(base.select("_k1", "_k2", "_text"), folder, window, grams, crowd)
     schema = T.StructType([*(docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in order), *(T.StructField(m, f.dataType) for m, f in zip(made, report))])
     names = schema.fieldNames()
-    return base.join(spans, key, "left").select("_text", "_m", "_rest").mapInArrow(tx.tidied(lambda it: _finish(it, window, names, others, order, text_col)), schema)
+    return base.join(spans, ["_k1", "_k2"], "left").select("_text", "_m", "_rest").mapInArrow(tx.tidied(lambda it: _finish(it, window, names, others, order, text_col)), schema)
