@@ -6,19 +6,24 @@ import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder of ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

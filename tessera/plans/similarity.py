@@ -9,6 +9,7 @@ from tessera.functions import vectors as vec
 from tessera.functions.scalars import big
 from tessera.operators import independence as ind
 from tessera.operators import retrieval as ret
+from tessera.operators import search
 from tessera.operators import similarity as sim
 
 from .registry import query, table
@@ -184,12 +185,11 @@ def clu23(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("dedup-"), F.substring(F.sha2("text", 256), 1, 16)).alias("dedup_id"))
 
 
-@query("ret01_vector_top_k", "WITH q AS (SELECT vec_id AS query, label AS ql, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS score FROM q JOIN embeddings e ON e.label % 2 = q.ql % 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("ret01_vector_top_k", "WITH q AS (SELECT vec_id AS query, label AS ql, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS score FROM q JOIN embeddings e ON e.label % 2 = q.ql % 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def ret01(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select("vec_id", F.col("label").alias("ql"), "embedding")
-    x = ret.vector_top_k(q, e, "vec_id", "vec_id", "embedding", 10, F.col("label") % 2 == F.col("ql") % 2)
-    return x.select("query", F.col("_p").alias("vec_id") if "_p" in x.columns else F.col("vec_id"), F.round("score", 6).alias("score"), "rank")
+    e = table(spark, d, "embeddings").withColumn("parity", F.col("label") % 2)
+    x = search.vector_top_k(e.filter("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", 10, ["parity"])
+    return x.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 _TOK = "string_split_regex(lower(text), '[^a-zà-ÿ0-9]+')"
@@ -202,6 +202,36 @@ def _bm(spark, d):
     return ret.bm25(tok(table(spark, d, "documents"), "doc_id"), tok(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id", "tokens")
 
 
+#: Languages whose documents a query of a language may find.
+_KINDS = {"en": ["en", "de"], "de": ["de", "en"], "fr": ["fr", "es", "en"], "es": ["es", "fr"]}
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, v in _KINDS.items() for b in v)
+_HYBRID = f"""WITH k AS (SELECT * FROM (VALUES {_PAIRS}) t(ql, cl)), d AS (SELECT doc_id, lang, label, embedding::DOUBLE[] AS v, list_filter({_TOK}, lambda x: x <> '') AS w FROM documents JOIN embeddings ON vec_id = doc_id),
+q AS (SELECT doc_id AS query, label AS request, lang AS ql, v, w FROM d WHERE doc_id % 20 = 0),
+de AS (SELECT query, d.doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM q JOIN k USING (ql) JOIN d ON d.lang = cl),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM de),
+t AS (SELECT doc_id, lang, len(w) AS l, unnest(w) AS t FROM d), tf AS (SELECT doc_id, lang, l, t, count(*) AS f FROM t GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+qt AS (SELECT query, ql, t, count(*) AS m FROM (SELECT query, ql, unnest(w) AS t FROM q) GROUP BY ALL),
+se AS (SELECT query, tf.doc_id, round(sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / greatest(mean, 1)))), 6) AS score FROM qt JOIN k USING (ql) JOIN tf ON tf.t = qt.t AND tf.lang = cl JOIN df ON df.t = qt.t, st GROUP BY 1, 2),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM se),
+h AS (SELECT query, doc_id, a.rank AS dense_rank, a.score AS ds, b.rank AS sparse_rank, b.score AS ss FROM (SELECT * FROM dr WHERE rank <= 10) a FULL JOIN (SELECT * FROM sr WHERE rank <= 10) b USING (query, doc_id)),
+r AS (SELECT request, h.*, coalesce(0.7 / (60 + dense_rank), 0) + coalesce(0.3 / (60 + sparse_rank), 0) AS rrf FROM h JOIN q USING (query)),
+f AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(rrf, 12) DESC, query, doc_id) AS final_rank, rrf / max(rrf) OVER (PARTITION BY request) AS rel FROM r)
+SELECT request, query, doc_id, dense_rank, sparse_rank, round(rrf, 8) AS rrf, round(rel, 6) AS retrieval_score, round(coalesce(ds, ss), 4) AS similarity, final_rank FROM f WHERE final_rank <= 40 AND round(rel, 12) >= 0.2"""
+
+
+@query("ret04_hybrid_retrieval", _HYBRID)
+def ret04(spark, d):
+    words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "")
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("vec_id") == F.col("doc_id")).select("doc_id", "lang", F.col("label").alias("request"), "embedding", words.alias("w"))
+    q = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query").withColumnRenamed("lang", "ql")
+    asked = search.allowed(q, "ql", _KINDS, "lang")
+    index = search.build_index(docs, "doc_id", "w", folder=sim.shared_dir(spark), on=["lang"])
+    dense = search.vector_top_k(asked, docs, "query", "doc_id", "embedding", 10, ["lang"])
+    sparse = search.search_index(index, asked, "query", "w", 10, ["lang"]).withColumnRenamed("_d", "doc_id")
+    out = search.hybrid(dense, sparse, q, "request", "query", "doc_id", limit=40, threshold=0.2)
+    return out.select("request", "query", "doc_id", "dense_rank", "sparse_rank", F.round("rrf", 8).alias("rrf"), F.round("retrieval_score", 6).alias("retrieval_score"), F.round("similarity", 4).alias("similarity"), "final_rank")
+
+
 @query("ret05_bm25", f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm) SELECT item_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")
 def ret05(spark, d):
     x = _bm(spark, d).withColumn("s", F.round("score", 9))
