@@ -20,7 +20,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .columns import free
 
 STRIPES = 256
 #: Bytes of texts whose links are gathered together (one text at least).
-RUN = 4 << 20
+RUN = 2 << 20
 #: Links of a row at most: what a batch of rows takes stays small.
 ROW = 512
 #: Runs that one task scores against a stripe.
@@ -88,7 +88,7 @@ class Pair:
 
     known: dict[tuple[str, str], Pair] = {}
 
-    def __init__(self, a_path: str, b_path: str, most: int = 250_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -102,10 +102,17 @@ class Pair:
             self.a_bytes[i] = bytes(char[c] for c in entry) if all(c in char for c in entry) else entry.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
         self.width, self.most = len(self.b_bytes), most
+        self.a_table, self.b_table = self._table(self.a_bytes), self._table(self.b_bytes)
         inner = any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.width)))
         assert not inner, "a piece goes on behind a space: texts can't be cut there"
         self.clear()
 
+    @staticmethod
+    def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All entries' bytes, where each begins and its size."""
+        size = np.array([len(e) for e in entries])
+        return np.frombuffer(b"".join(entries) + b"\0", np.uint8), np.cumsum(size) - size, size
+
     @classmethod
     def of(cls, paths: tuple[str, str]) -> Pair:
         if paths not in cls.known:
@@ -118,49 +125,80 @@ class Pair:
         self.sums = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, 1 if the bytes differ
         self.pairs, self.times, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def aligned(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[bytes, tuple[int, int, int, int, int], dict[int, int]]:
-        """(groups as text, sums, links of each pair) of one chunk."""
-        if b"".join([self.a_bytes[i] for i in ids_a]) != raw or b"".join([self.b_bytes[i] for i in ids_b]) != raw:
-            return b"", (0, 0, 0, 0, 1), {}
-        if len(ids_a) == 1 or len(ids_b) == 1:
-            parts = [(ids_a, ids_b)]
-        else:
-            ends_a, ends_b = list(accumulate(len(self.a_bytes[i]) for i in ids_a)), list(accumulate(len(self.b_bytes[i]) for i in ids_b))
-            place_b = {e: k for k, e in enumerate(ends_b)}
-            parts, p, q = [], 0, 0
-            for k, e in enumerate(ends_a):
-                if (m := place_b.get(e)) is not None:
-                    parts.append((ids_a[p : k + 1], ids_b[q : m + 1]))
-                    p, q = k + 1, m + 1
-        links: dict[int, int] = {}
-        for x, y in parts:
-            if len(x) * len(y) > 64:  # equal ids first
-                many_a, many_b = ({i: z.count(i) for i in set(z)} if len(z) < 64 else dict(zip(*(v.tolist() for v in np.unique(z, return_counts=True)))) for z in (x, y))
-                for a, n in many_a.items():
-                    for b, m in many_b.items():
-                        links[a * self.width + b] = links.get(a * self.width + b, 0) + n * m
-            else:
-                for a in x:
-                    for b in y:
-                        links[a * self.width + b] = links.get(a * self.width + b, 0) + 1
-        said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in parts])
-        return said.encode(), (len(ids_a), len(ids_b), len(parts), sum(len(x) * len(y) for x, y in parts), 0), links
-
     def learn(self, keys: list[int], chunks: list[str]) -> None:
-        encoded = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        """Encodes chunks and keeps what ``_encode`` needs of each: all of them at once, token by token only in large groups."""
+        sides = []
+        encoded = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         pieces = self.b.encode([c[1:] for c in chunks], num_threads=1)  # the model adds the space
-        sums, flat, times, counts = [], [], [], []
-        for key, chunk, e, y in zip(keys, chunks, encoded, pieces):
-            said, s, links = self.aligned(chunk.encode(), e.ids, y)
-            self.at[key] = len(self.groups)
-            self.groups.append(said)
-            sums.append(s)
-            flat.extend(links)
-            times.extend(links.values())
-            counts.append(len(links))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64).reshape(-1, 5)])
-        self.pairs, self.times = np.concatenate([self.pairs, np.array(flat, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        raw = np.frombuffer("".join(chunks).encode(), np.uint8)
+        chunk_size = np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks))
+        end_of_chunk = np.cumsum(chunk_size)
+        bad = np.zeros(len(chunks), bool)
+        for lists, (table, first, size) in ((encoded, self.a_table), (pieces, self.b_table)):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
+            chunk = np.repeat(np.arange(len(chunks)), n)
+            total = np.concatenate([[0], np.cumsum(size[ids])])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            wrong = np.diff(total[ends]) != chunk_size
+            # Bytes of chunks of the right length, held against the text.
+            t = np.flatnonzero(~wrong[chunk])
+            start = total[:-1][t] - total[ends[chunk[t]]] + (end_of_chunk - chunk_size)[chunk[t]]
+            at = np.arange(int(size[ids[t]].sum())) - np.repeat(np.cumsum(size[ids[t]]) - size[ids[t]], size[ids[t]])
+            differs = table[np.repeat(first[ids[t]], size[ids[t]]) + at] != raw[np.repeat(start, size[ids[t]]) + at]
+            if differs.any():
+                wrong[np.repeat(chunk[t], size[ids[t]])[differs]] = True
+            bad |= wrong
+            sides.append((ids, chunk, total[1:] - np.repeat(total[ends[:-1]], n)))
+        (a, chunk_a, end_a), (b, chunk_b, end_b) = ((x[~bad[c]], c[~bad[c]], e[~bad[c]]) for x, c, e in sides)
+        span = int(chunk_size.max(initial=0)) + 1
+        code_a, code_b = chunk_a * span + end_a, chunk_b * span + end_b
+        both = np.intersect1d(code_a, code_b, assume_unique=True)  # the end of a group on both sides
+        of_group = both // span
+        last_a, last_b = np.searchsorted(code_a, both), np.searchsorted(code_b, both)
+        n_a, n_b = np.diff(np.append(-1, last_a)), np.diff(np.append(-1, last_b))
+        first_a, first_b = last_a + 1 - n_a, last_b + 1 - n_b
+        # Decimal ids in the order of the text: a group's A tokens, its B tokens.
+        place_a = np.arange(len(a)) + np.repeat(first_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(last_a + 1, n_b)
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        digits = (ids[:, None] // 10 ** np.arange(6, -1, -1)) % 10
+        shown = np.maximum.accumulate(digits > 0, axis=1)
+        shown[:, -1] = True
+        grid = np.concatenate([(digits + 48).astype(np.uint8), mark[:, None]], axis=1)
+        keep = np.concatenate([shown, np.ones((len(ids), 1), bool)], axis=1)
+        said = grid[keep].tobytes()
+        said_end = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
+        count = lambda x, w=None: np.bincount(x, weights=w, minlength=len(chunks)).astype(np.int64)
+        tokens_a, tokens_b = count(chunk_a), count(chunk_b)
+        text_end = said_end[np.cumsum(tokens_a + tokens_b)]
+        # Links: small groups in one step, large ones by their different ids.
+        links = n_a * n_b
+        small = links <= 4096
+        g = np.flatnonzero(small)
+        k = np.arange(int(links[g].sum())) - np.repeat(np.cumsum(links[g]) - links[g], links[g])
+        width = np.repeat(n_b[g], links[g])
+        pairs = a[np.repeat(first_a[g], links[g]) + k // width] * self.width + b[np.repeat(first_b[g], links[g]) + k % width]
+        chunk_of, times = np.repeat(of_group[g], links[g]), np.ones(len(pairs), np.int64)
+        more = [[chunk_of], [pairs], [times]]
+        for g in np.flatnonzero(~small).tolist():
+            x, many_x = np.unique(a[first_a[g] : last_a[g] + 1], return_counts=True)
+            y, many_y = np.unique(b[first_b[g] : last_b[g] + 1], return_counts=True)
+            for part, new in zip(more, (np.full(len(x) * len(y), of_group[g]), (x[:, None] * self.width + y).ravel(), (many_x[:, None] * many_y).ravel())):
+                part.append(new)
+        chunk_of, pairs, times = map(np.concatenate, more)
+        order = np.argsort(chunk_of, kind="stable")
+        base = len(self.groups)
+        self.at.update(zip(keys, range(base, base + len(keys))))
+        ends = text_end.tolist()
+        self.groups.extend(said[s:e] for s, e in zip([0, *ends[:-1]], ends))
+        sums = np.column_stack([tokens_a, tokens_b, count(of_group), np.zeros(len(chunks), np.int64), bad])
+        np.add.at(sums[:, 3], of_group, links)
+        self.sums = np.concatenate([self.sums, sums.astype(np.int64)])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs[order]]), np.concatenate([self.times, times[order]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count(chunk_of))])
 
     def chunk_ids(self, c: Chunks, buf: np.ndarray) -> np.ndarray:
         if len(self.groups) > self.most:
@@ -205,7 +243,7 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], stripes:
             sums = np.diff(total, axis=0)
             good = (sums[:, 4] == 0) & (sums[:, 0] > 0)
             sums[~good] = 0
-            said = [hashlib.sha256(b";".join([pair.groups[i] for i in ids[c.first[k] : c.first[k + 1]].tolist()])).hexdigest() if g else "" for k, g in enumerate(good)]
+            said = [hashlib.sha256(b"".join([pair.groups[i] for i in ids[c.first[k] : c.first[k + 1]].tolist()])[:-1]).hexdigest() if g else "" for k, g in enumerate(good)]
             n = hi - lo
             none = pa.nulls(n, pa.binary())
             yield pa.record_batch([pa.array(np.full(n, run)), pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)), b.column(0).slice(lo, n), *(pa.array(sums[:, k]) for k in range(4)), pa.array(said, pa.string()), none, none, none, none], names=names)
@@ -299,20 +337,53 @@ def _tallied(batches: Iterator[pa.RecordBatch], width: int, height: int) -> Iter
         yield rows()
 
 
+def _added(run: np.ndarray, doc: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n and s added up for each document of a run, sorted."""
+    order = np.lexsort((doc, run))
+    run, doc, n, s = run[order], doc[order], n[order], s[order]
+    one = np.flatnonzero(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(doc) != 0)]))
+    return run[one], doc[one], np.add.reduceat(n, one), np.add.reduceat(s, one)
+
+
+def _by_run(run: np.ndarray, doc: np.ndarray, n: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """One row a run: its documents' places and sums."""
+    row = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
+    return pa.record_batch([pa.array(run[row]), _column(doc.astype(np.int32), row), _column(n, row), _column(s, row)], names=["run", "places", "bests", "sums"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs, sorted by run -> (run, place, n_best, count_sum) of each document."""
+
+    def rows(held):
+        run, doc, n, s = _added(*(np.concatenate(x) for x in zip(*held)))
+        return pa.record_batch([pa.array(run), pa.array(doc), pa.array(n), pa.array(s)], names=["run", "place", "n_best", "count_sum"])
+
+    held, now = [], None
+    for b in batches:
+        runs = b.column(0).to_numpy()
+        (doc, size), (n, _), (s, _) = _ints(b.column(1), np.int32), _ints(b.column(2), np.int64), _ints(b.column(3), np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        for r, run in enumerate(runs.tolist()):
+            if held and run != now:
+                yield rows(held)
+                held = []
+            now, k = run, slice(ends[r], ends[r + 1])
+            held.append((np.full(size[r], run), doc[k], n[k], s[k]))
+    if held:
+        yield rows(held)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], width: int, height: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """A stripe's block (kind 0), then its links of a share of the runs (kind 1) -> (run, place, n_best, count_sum) added up within the task."""
+    """A stripe's block (kind 0), then its links of a share of the runs (kind 1) -> rows of runs with their documents' sums, added up within the task."""
     count, best, now = np.zeros(height * width, np.int64), np.zeros(height * width, bool), None
     held, load = [], 0
 
     def flush():
         run, doc, n, s = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, run))
-        run, doc, n, s = run[order], doc[order], n[order], s[order]
-        one = np.flatnonzero(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(doc) != 0)]))
-        return run[one], doc[one], np.add.reduceat(n, one), np.add.reduceat(s, one)
+        return _added(run, doc, n, s)
 
     def rows(x):
-        return pa.record_batch([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.array(x[2]), pa.array(x[3])], names=["run", "place", "n_best", "count_sum"])
+        return _by_run(*x)
 
     for b in batches:
         stripes, kinds, runs = (b.column(k).to_numpy() for k in (0, 2, 3))
@@ -381,8 +452,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
     of_run = F.pmod(F.xxhash64("run"), F.lit(shares)).cast("int")
     blocks = totals.select("stripe", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("run"), "keys", "counts", nothing.alias("docs"), nothing.alias("links"), "best")
     scored = blocks.unionByName(links.select("stripe", of_run.alias("share"), F.lit(1).alias("kind"), "run", "keys", "counts", "docs", "links", nothing.alias("best")))
-    scored = scored.repartition("stripe", "share").sortWithinPartitions("stripe", "share", "kind").mapInArrow(tx.tidied(lambda it: _scored(it, width, height)), "run long, place int, n_best long, count_sum long")
-    sums = scored.groupBy("run", "place").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    scored = scored.repartition("stripe", "share").sortWithinPartitions("stripe", "share", "kind").mapInArrow(tx.tidied(lambda it: _scored(it, width, height)), "run long, places binary, bests binary, sums binary")
+    sums = scored.repartition("run").sortWithinPartitions("run").mapInArrow(tx.tidied(_gathered), "run long, place int, n_best long, count_sum long")
     out = written.filter("stripe = -1").select("run", "place", "_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, ["run", "place"], "left").fillna(0, ["n_best", "count_sum"])
     made = [f.name for f in T._parse_datatype_string(REPORT).fields]
     mark = free("", [id_col]) if id_col.lower() in made else ""
