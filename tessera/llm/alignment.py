@@ -58,13 +58,13 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Chunks:
-    """A run of texts cut before single spaces that no token of either vocabulary crosses."""
+    """A run of texts cut before spaces and line ends behind other characters, which no token of either vocabulary crosses."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         n = len(buf)
         before = np.zeros(n, np.uint8)
         before[1:] = buf[:-1]
-        cut = (buf == 0x20) & (before > 0x20) & (before != 0x7F)
+        cut = ((buf == 0x20) | (buf == 0x0A)) & (before > 0x20) & (before != 0x7F)
         # White space beyond ASCII before a space is one run with it, so what may be its last byte cuts nothing.
         for i in (1, 2):
             lead = np.zeros(n, np.uint8)
@@ -103,8 +103,8 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
         self.width, self.most = len(self.b_bytes), most
         self.a_table, self.b_table = self._table(self.a_bytes), self._table(self.b_bytes)
-        inner = any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.width)))
-        assert not inner, "a piece goes on behind a space: texts can't be cut there"
+        inner = any("▁" in p.lstrip("▁") or "\n" in p for p in map(self.b.id_to_piece, range(self.width)))
+        assert not inner, "a piece goes on behind a space or a line end: texts can't be cut there"
         self.clear()
 
     @staticmethod
@@ -129,7 +129,8 @@ class Pair:
         """Encodes chunks and keeps what ``_encode`` needs of each: all of them at once, token by token only in large groups."""
         sides = []
         encoded = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        pieces = self.b.encode([c[1:] for c in chunks], num_threads=1)  # the model adds the space
+        # The model adds a space to what it gets: that of the chunk, or one that is taken off before a line end.
+        pieces = [y if c[0] == " " else y[1:] for c, y in zip(chunks, self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1))]
         raw = np.frombuffer("".join(chunks).encode(), np.uint8)
         chunk_size = np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks))
         end_of_chunk = np.cumsum(chunk_size)
