@@ -92,13 +92,22 @@ def multi_view(pairs: DataFrame, semantic: Column | None, skill: Column, respons
     return (n >= 2) | support | (k if semantic is None else F.lit(False))
 
 
-def average_link(df: DataFrame, block: str, ident: str, vector: str, threshold: float) -> DataFrame:
-    """CLU-04. Average-link agglomerative clustering within blocks down to a similarity threshold; ties go to the least ids.
+def average_link(df: DataFrame, block: str, ident: str, vector: str, threshold: float, most: int = 2000) -> DataFrame:
+    """CLU-04. Average-link agglomerative clustering within blocks down to a similarity threshold over 0; ties go to the least ids.
 
-    A block is one task's work: block so that blocks stay small.
+    A block of up to ``most`` members is one task's work; larger ones are merged
+    in rounds that spread over tasks (``agglomerate``), with the same result.
     """
     import numpy as np
 
+    from tessera.operators.agglomerate import average_link_rounds
+
+    large = df.groupBy(block).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(block)
+    rounds = None
+    if not large.isEmpty():
+        rounds = average_link_rounds(df.join(large, block, "left_semi"), block, ident, vector, threshold)
+        df = df.join(large, block, "left_anti")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident).reset_index(drop=True)
         v = np.array(pdf[vector].tolist(), float)
@@ -125,7 +134,8 @@ def average_link(df: DataFrame, block: str, ident: str, vector: str, threshold:
         return pd.DataFrame({block: pdf[block], ident: pdf[ident], "cluster": pdf[ident].to_numpy()[root]})
 
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(block, ident, vector).groupBy(block).applyInPandas(run, f"{block} {t[block]}, {ident} {t[ident]}, cluster {t[ident]}")
+    small = df.select(block, ident, vector).groupBy(block).applyInPandas(run, f"{block} {t[block]}, {ident} {t[ident]}, cluster {t[ident]}")
+    return small if rounds is None else small.unionByName(rounds)
 
 
 def occupation_key(title: Column, suffixes: Sequence[str] = ("engineer", "developer", "manager", "specialist")) -> Column:
