@@ -174,15 +174,21 @@ def greedy_actions(df: DataFrame, key: str, action: str, requirement: str, gain:
     return df.select(key, action, requirement, gain, effort).groupBy(key).applyInPandas(run, f"{key} {t[key]}, {action} {t[action]}, step long, marginal double, cumulative double")
 
 
-def best_subset(df: DataFrame, key: str, action: str, gain: str, target: float, most: int = 10) -> DataFrame:
-    """MAT-35. The smallest subset of at most ``most`` actions (the first by id) whose gains reach the target; ties to the larger gain, then the lesser mask."""
+def best_subset(df: DataFrame, key: str, action: str, gain: str, target: float, most: int = 62) -> DataFrame:
+    """MAT-35. The smallest subset of a key's actions (the first ``most`` by id, as bits of mask) whose gains reach the target; ties to the larger gain, then the lesser mask.
+
+    Gains add up, so the best subset of each size holds the largest gains: one
+    sort of a key's actions and a running sum, no enumeration.
+    """
     a = df.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(action)) - 1).filter(F.col("_k") < most)
-    v = a.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", gain))).alias("_v")).select(key, F.transform("_v", lambda x: x[gain].cast("double")).alias("_g"))
-    m = v.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("shiftleft(1L, size(_g)) - 1"))))
-    total = F.aggregate(F.transform("_g", lambda x, i: F.when(F.call_function("getbit", F.col("mask"), i) == 1, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    m = m.withColumn("gain", total).withColumn("size", F.bit_count("mask").cast("bigint")).filter(F.col("gain") >= target)
-    w = W.partitionBy(key).orderBy("size", F.desc(F.round("gain", 9)), "mask")
-    return m.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(key, "mask", "size", "gain")
+    v = a.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col(gain).cast("double")).alias("g"), F.col("_k").alias("k")))).alias("_v"))
+    none = F.struct(F.lit(0.0).alias("gain"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mask"))
+
+    def add(s, x):
+        more = F.struct((s["gain"] - x["g"]).alias("gain"), (s["size"] + 1).alias("size"), s["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["k"])).alias("mask"))
+        return F.when((s["size"] > 0) & (s["gain"] >= target), s).otherwise(more)
+
+    return v.select(key, F.aggregate("_v", none, add).alias("_b")).filter(F.col("_b.gain") >= target).select(key, "_b.mask", "_b.size", "_b.gain")
 
 
 def sufficiency(df: DataFrame, blocking: Mapping[str, Column], material: Mapping[str, Column], minor: Mapping[str, Column], failed: Column) -> DataFrame:

@@ -269,3 +269,20 @@ def test_partition_invariance(spark, sf, n):
         assert sorted(map(tuple, plans.QUERIES[name](spark, sf).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+
+def test_best_subset_equals_enumeration(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, a, round(rng.uniform(-0.2, 1.0), 3)) for k in range(25) for a in range(k % 8)] + [(30, a, 0.5) for a in range(6)]
+    got = {r.k: (r.mask, r["size"], round(r.gain, 9)) for r in mt.best_subset(spark.createDataFrame(rows, "k long, a long, g double"), "k", "a", "g", 1.4).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        g = [x for kk, _, x in sorted(rows) if kk == k]
+        fits = [(n, -round(sum(g[i] for i in s), 9), sum(1 << i for i in s)) for n in range(1, len(g) + 1) for s in itertools.combinations(range(len(g)), n) if sum(g[i] for i in s) >= 1.4]
+        if fits:
+            n, gain, mask = min(fits)
+            want[k] = (mask, n, -gain)
+    assert got == want and got[30] == (7, 3, 1.5)
