@@ -13,14 +13,14 @@ from .registry import query, table
 from .relational import FACTS, facts
 from .timeseries import S, daily
 
-#: Versions of positions: skills bought in 1997 and 1998 (a part of them), with illustrative weights.
-_V = """v AS (SELECT position, version, skill, least(1.0, sum(w) / 7) AS weight, least(1.0, count(*) / 10.0) AS confidence, count(*) AS support, count(DISTINCT source) AS sources, count(DISTINCT ent % 4) AS enterprises, (skill // 5) % 3 AS category FROM f WHERE version IN (1997, 1998) AND (doc * 7 + skill * version) % 25 = 0 GROUP BY 1, 2, 3),
+#: Versions of positions (here suppliers): all that was bought of them in 1997 and in 1998, with illustrative weights.
+_V = """v AS (SELECT ent AS position, version, skill, least(1.0, sum(w) / 7) AS weight, least(1.0, count(*) / 10.0) AS confidence, count(*) AS support, count(DISTINCT source) AS sources, count(DISTINCT doc % 4) AS enterprises, (skill // 5) % 3 AS category FROM f WHERE version IN (1997, 1998) GROUP BY 1, 2, 3),
 vs AS (SELECT *, count(*) OVER (PARTITION BY position, version) AS samples FROM v), b AS (SELECT * FROM vs WHERE version = 1997), a AS (SELECT * FROM vs WHERE version = 1998)"""
 
 
 def versions(spark, d):
-    v = facts(spark, d).filter(F.col("version").isin(1997, 1998) & ((F.col("doc") * 7 + F.col("skill") * F.col("version")) % 25 == 0))
-    v = v.groupBy("position", "version", "skill").agg(F.least(F.lit(1.0), F.sum("w") / 7).alias("weight"), F.least(F.lit(1.0), F.count("*") / 10.0).alias("confidence"), F.count("*").alias("support"), F.countDistinct("source").alias("sources"), F.countDistinct(F.col("ent") % 4).alias("enterprises"))
+    v = facts(spark, d).filter(F.col("version").isin(1997, 1998)).drop("position").withColumnRenamed("ent", "position")
+    v = v.groupBy("position", "version", "skill").agg(F.least(F.lit(1.0), F.sum("w") / 7).alias("weight"), F.least(F.lit(1.0), F.count("*") / 10.0).alias("confidence"), F.count("*").alias("support"), F.countDistinct("source").alias("sources"), F.countDistinct(F.col("doc") % 4).alias("enterprises"))
     v = v.withColumn("category", F.floor(F.col("skill") / 5) % 3).withColumn("samples", F.count("*").over(W.partitionBy("position", "version")))
     return v.filter("version = 1997").drop("version"), v.filter("version = 1998").drop("version")
 

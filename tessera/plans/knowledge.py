@@ -193,10 +193,16 @@ def evo09(spark, d):
     return kn.requirement_drops(f.filter("version = 1997"), f.filter("version = 1998"), ["ent", "skill"], "y").withColumn("magnitude", F.round("magnitude", 6))
 
 
-@query("evo13_controlled_replay", f"WITH {FACTS}, p AS (SELECT unnest(range(4)) AS mask) SELECT mask, (SELECT count(*) FROM f WHERE version = CASE WHEN mask & 1 <> 0 THEN 1998 ELSE 1997 END AND doc % 50 = 0 AND ent IN (SELECT ent FROM f WHERE version = CASE WHEN mask & 2 <> 0 THEN 1998 ELSE 1997 END AND doc % 100 = 7)) AS n FROM p")
+@query("evo13_controlled_replay", f"WITH {FACTS}, c AS (SELECT version, ent, count(*) AS n, avg(count(*)) OVER (PARTITION BY version) AS mean FROM f GROUP BY 1, 2), p AS (SELECT unnest(range(4)) AS mask) SELECT mask, CAST(sum(a.n) AS BIGINT) AS n FROM p JOIN c a ON a.version = CASE WHEN mask & 1 <> 0 THEN 1998 ELSE 1997 END JOIN c b ON b.ent = a.ent AND b.n > b.mean AND b.version = CASE WHEN mask & 2 <> 0 THEN 1998 ELSE 1997 END GROUP BY 1")
 def evo13(spark, d):
     f = facts(spark, d)
-    inputs = lambda v: {"a_facts": f.filter((F.col("version") == v) & (F.col("doc") % 50 == 0)), "b_sources": f.filter((F.col("version") == v) & (F.col("doc") % 100 == 7)).select("ent").distinct()}
+
+    def inputs(v):
+        """The facts of a version, and its sources with more facts than the mean of all."""
+        a = f.filter(F.col("version") == v)
+        n = a.groupBy("ent").agg(F.count("*").alias("n"))
+        return {"a_facts": a, "b_sources": n.filter(F.col("n") > n.agg(F.avg("n")).first()[0]).select("ent")}
+
     return kn.replay(lambda x: x["a_facts"].join(x["b_sources"], "ent", "left_semi").agg(F.count("*").alias("n")), inputs(1997), inputs(1998)).select("mask", "n")
 
 
