@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .similarity import components
+from .similarity import components, settled
 
 #: CLU-10. Fixed weights and limits.
 WEIGHTS = {"text": 0.30, "entity": 0.25, "provenance": 0.15, "structure": 0.10, "temporal": 0.20}
@@ -115,18 +115,25 @@ def duplicate_scores(df: DataFrame, ident: str, block: str, text: str, skills: s
 
     Three- and four-letter shingles of the lower-cased text without spaces,
     skill sets and lengths. As skills and length add at most ``1 - 0.65``, a
-    pair needs a shingle similarity of ``(least - 0.35) / 0.65``, so only
-    pairs that share enough shingles are scored.
+    pair needs a shingle similarity of ``(least - 0.35) / 0.65``, and two such
+    texts share one of the rarest shingles of each: only those are joined, and
+    whole sets meet once a candidate pair.
     """
     t = F.regexp_replace(F.lower(text), " ", "")
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(k)))
     x = df.select(F.col(ident).alias("_id"), F.col(block).alias("_b"), F.col(skills).alias("_k"), t.alias("_t"))
     x = x.withColumn("_s", F.array_distinct(F.filter(F.concat(grams(3), grams(4)), lambda g: F.length(g) >= 3)))
-    e = x.select("_id", "_b", F.explode("_s").alias("_e"))
-    a, b = e.alias("a"), e.alias("b")
-    both = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._e") == F.col("b._e")) & (F.col("a._id") < F.col("b._id"))).groupBy(F.col("a._id").alias("left"), F.col("b._id").alias("right")).agg(F.count("*").alias("_n"))
-    side = lambda s: x.select(F.col("_id").alias(s), F.col("_k").alias(f"_k{s}"), F.size("_s").alias(f"_n{s}"), F.length("_t").alias(f"_l{s}"))
-    j = both.join(side("left"), "left").join(side("right"), "right")
+    x = settled(x.select("_id", "_b", "_k", F.length("_t").alias("_l"), F.array_distinct(F.transform("_s", lambda g: F.xxhash64(g))).alias("_s")))
+    need = max(0.0, (least - 5e-7 - (1 - DUPLICATE["text"])) / DUPLICATE["text"])
+    e = x.select("_id", "_b", F.size("_s").alias("_n"), F.explode("_s").alias("_e"))
+    seen = e.groupBy("_b", "_e").agg(F.count("*").alias("_f"))
+    r = e.join(seen, ["_b", "_e"]).withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_f", "_e")))
+    p = r.filter((F.col("_f") > 1) & (F.col("_r") <= F.col("_n") - F.ceil(F.lit(need) * F.col("_n") - 1e-9) + 1)).select("_id", "_b", "_e", "_n")
+    a, b = p.alias("a"), p.alias("b")
+    alike = (F.col("a._n") >= need * F.col("b._n") - 1e-9) & (F.col("b._n") >= need * F.col("a._n") - 1e-9)
+    both = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._e") == F.col("b._e"))).filter((F.col("a._id") < F.col("b._id")) & alike).select(F.col("a._id").alias("left"), F.col("b._id").alias("right")).distinct()
+    side = lambda s: x.select(F.col("_id").alias(s), F.col("_k").alias(f"_k{s}"), F.col("_s").alias(f"_s{s}"), F.size("_s").alias(f"_n{s}"), F.col("_l").alias(f"_l{s}"))
+    j = both.join(side("left"), "left").join(side("right"), "right").withColumn("_n", F.size(F.array_intersect("_sleft", "_sright"))).filter("_n > 0")
     same, every = F.size(F.array_intersect("_kleft", "_kright")), F.size(F.array_union("_kleft", "_kright"))
     j = j.select(
         "left", "right", (F.col("_n") / (F.col("_nleft") + F.col("_nright") - F.col("_n"))).alias("text"), F.when(every > 0, same / every).otherwise(0.0).alias("skills"),
