@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate, embedding, evolution, knowledge, mass, matching, relational, similarity, streams, structures, text, timeseries, versions
+from . import aggregate, embedding, evolution, knowledge, mass, matching, relational, scalars, similarity, streams, structures, text, timeseries, versions
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "win_trend_states"
