@@ -20,6 +20,25 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def review_tasks(tasks: DataFrame, builds: DataFrame, number: int = 1, size: int = 20, status: str | None = None, statuses: Sequence[str] = (), kind: str | None = None, risk: str | None = None, build: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """FLT-03. (page of review tasks by id, table of one row with the total) under the filters that are given.
+
+    tasks: id, status, kind, risk_level, build_run_id. builds: build_run_id,
+    current boolean, relations: how many the build has. Tasks of normalisation
+    are never shown. Without ``build``, tasks of builds that are not current are
+    left out, and those of graph versions whose build has no relations.
+    """
+    x = tasks.filter(F.coalesce(F.col("kind") != "skill_normalization", F.lit(True)))
+    for c, v in (("status", status), ("kind", kind), ("risk_level", risk), ("build_run_id", build)):
+        x = x.filter(F.col(c) == v) if v is not None else x
+    x = x.filter(F.col("status").isin(*statuses)) if statuses else x
+    if build is None:
+        x = x.join(builds.select("build_run_id", F.col("current").alias("_c"), F.col("relations").alias("_r")), "build_run_id", "left")
+        bare = F.coalesce((F.col("kind") == "graph_version") & (F.col("_r") == 0), F.lit(False))
+        x = x.filter((F.col("build_run_id").isNull() | F.coalesce("_c", F.lit(False))) & ~bare).drop("_c", "_r")
+    return page(x, [F.asc("id")], number, size), x.agg(F.count("*").alias("total"))
+
+
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """FLT-06, AGG-24. The first row of every key by the given total order."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_k = 1").drop("_k")

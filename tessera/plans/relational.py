@@ -42,6 +42,26 @@ def flt04(spark, d):
     return rel.page(table(spark, d, "orders").filter("o_totalprice > 100000"), [rank, F.desc("o_orderdate"), F.desc("o_orderkey")], 1, 50).select("o_orderkey", "o_orderstatus")
 
 
+#: Orders are tasks, customers the builds they come from.
+_TASKS = """t AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE o_orderkey % 5 WHEN 0 THEN 'skill_normalization' WHEN 1 THEN 'graph_version' ELSE 'relation' END AS kind, substr(o_orderpriority, 1, 1) AS risk, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS build FROM orders),
+b AS (SELECT c_custkey AS build, c_mktsegment <> 'BUILDING' AS current, c_custkey % 4 AS relations FROM customer), s AS (SELECT t.* FROM t LEFT JOIN b USING (build) WHERE kind <> 'skill_normalization' AND status IN ('O', 'P') AND risk = '2' AND (t.build IS NULL OR coalesce(current, false)) AND NOT coalesce(kind = 'graph_version' AND relations = 0, false))"""
+
+
+@query("flt03_review_tasks", f"WITH {_TASKS} SELECT id, kind, (SELECT count(*) FROM s) AS total FROM s ORDER BY id LIMIT 25 OFFSET 25")
+def flt03(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.when(k % 5 == 0, "skill_normalization").when(k % 5 == 1, "graph_version").otherwise("relation")
+    t = table(spark, d, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("status"), kind.alias("kind"), F.substring("o_orderpriority", 1, 1).alias("risk_level"), F.when(k % 11 != 0, F.col("o_custkey")).alias("build_run_id"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("build_run_id"), (F.col("c_mktsegment") != "BUILDING").alias("current"), (F.col("c_custkey") % 4).alias("relations"))
+    rows, total = rel.review_tasks(t, b, 2, 25, statuses=("O", "P"), risk="2")
+    return rows.join(F.broadcast(total)).select("id", "kind", "total")
+
+
+@query("mat15_json_path", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1")
+def mat15(spark, d):
+    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
 @query("flt05_exclusion_reasons", """SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', CASE WHEN l_quantity < 10 THEN 'weight_below_threshold' END, CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' OR l_shipdate >= TIMESTAMP '2000-01-01' THEN 'outside_window' END,
  CASE WHEN l_returnflag = 'N' THEN 'not_confirmed' END) AS reasons, NOT (l_quantity < 10 OR l_shipdate < TIMESTAMP '1996-01-01' OR l_shipdate >= TIMESTAMP '2000-01-01' OR l_returnflag = 'N') AS included FROM lineitem""")
 def flt05(spark, d):
