@@ -133,10 +133,11 @@ def what_if(items: DataFrame, actions: DataFrame, key: Sequence[str], requiremen
     """MAT-32. Score of every scenario: its actions raise the requirements they name, all else stays; with the change to the baseline.
 
     actions: scenario, requirement, new_score. Each pair meets each scenario
-    once; scenarios are few.
+    once; scenarios and actions are few and are sent, never the items.
     """
-    scenarios = actions.select("scenario").distinct()
-    x = items.crossJoin(scenarios).join(actions.withColumnRenamed(requirement, "_r"), (F.col(requirement) == F.col("_r")) & (actions["scenario"] == scenarios["scenario"]), "left").select(*key, scenarios["scenario"], score, weight, "new_score")
+    scenarios = F.broadcast(actions.select("scenario").distinct())
+    raised = F.broadcast(actions.withColumnRenamed(requirement, "_r"))
+    x = items.crossJoin(scenarios).join(raised, (F.col(requirement) == F.col("_r")) & (actions["scenario"] == scenarios["scenario"]), "left").select(*key, scenarios["scenario"], score, weight, "new_score")
     after = F.greatest(F.coalesce(score, F.lit(0.0)), F.coalesce("new_score", F.lit(0.0)))
     mean = lambda v: 100 * F.sum(v * F.col(weight)) / F.sum(weight)
     g = x.groupBy(*key, "scenario").agg(mean(F.coalesce(score, F.lit(0.0))).alias("baseline"), mean(after).alias("scenario_score"))
