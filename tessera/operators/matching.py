@@ -206,18 +206,19 @@ def requirement_tree(leaves: DataFrame, groups: DataFrame, key: str, depth: int)
 
     leaves: key, node, value. groups: node, parent is given as (parent, child,
     op, need) rows. A group is 1 (0) when its children make it so whatever the
-    unknown ones are, else null.
+    unknown ones are, else null. The tree is sent to the tasks; leaves, of which
+    Spark's estimate knows too few once they are unfolded, never are.
     """
     known = leaves.select(key, "node", "value")
     for _ in range(depth):
-        x = groups.join(known, groups["child"] == known["node"])
+        x = known.join(F.broadcast(groups), known["node"] == groups["child"])
         g = x.groupBy(key, "parent").agg(F.first("op").alias("op"), F.first("need").alias("need"), F.sum((F.col("value") == 1).cast("int")).alias("_y"), F.sum(F.coalesce((F.col("value") == 0).cast("int"), F.lit(0))).alias("_n"), F.count("*").alias("_c"))
         size = groups.groupBy("parent").agg(F.count("*").alias("_size"))
-        g = g.join(size, "parent").filter("_c = _size")
+        g = g.join(F.broadcast(size), "parent").filter("_c = _size")
         need = F.when(F.col("op") == "and", F.col("_size")).when(F.col("op") == "or", 1).otherwise(F.col("need"))
         y = F.coalesce("_y", F.lit(0))
         v = F.when(y >= need, 1).when(F.col("_size") - F.col("_n") < need, 0)
-        new = g.select(key, F.col("parent").alias("node"), v.alias("value")).join(known.select(key, "node"), [key, "node"], "left_anti")
+        new = g.select(key, F.col("parent").alias("node"), v.alias("value")).join(known.select(key, "node").hint("merge"), [key, "node"], "left_anti")
         known = known.unionByName(new)
     return known
 
