@@ -65,7 +65,7 @@ def with_root(edges: DataFrame, requirements: DataFrame, position: str, root: st
     """The edges and those of an AND root over each position's top groups and the requirements that no group holds."""
     below = edges.select(position, F.col("child").alias("_n")).distinct()
     nodes = edges.select(position, F.col("parent").alias("_n")).unionByName(requirements.filter("requirement_id is not null").select(position, F.col("requirement_id").cast("string").alias("_n"))).distinct()
-    top = nodes.join(below, [position, "_n"], "left_anti")
+    top = nodes.join(below.hint("merge"), [position, "_n"], "left_anti")
     return edges.unionByName(top.select(position, F.lit(root).alias("parent"), F.col("_n").alias("child"), F.lit("and").alias("op"), F.lit(None).cast("int").alias("need")))
 
 
@@ -82,22 +82,23 @@ def evaluate(edges: DataFrame, values: DataFrame, position: str, key: str, level
 
     AND needs all children, OR one, min_count ``need``. A node is 1 (0) when its
     children make it so whatever the unknown ones are, else null. A requirement
-    without a row counts as unknown.
+    without a row counts as unknown. Graphs and values are unfolded rows, of
+    which Spark's estimate knows too few, so no side of a join is sent whole.
     """
     edges = settled(edges)  # read at every level
     size = edges.groupBy(position, "parent").agg(F.count("*").alias("_size"), F.first("op").alias("op"), F.first("need").alias("need"))
     inner = edges.select(position, F.col("parent").alias("node")).distinct()
-    leaves = edges.select(position, F.col("child").alias("node")).distinct().join(inner, [position, "node"], "left_anti")
+    leaves = edges.select(position, F.col("child").alias("node")).distinct().join(inner.hint("merge"), [position, "node"], "left_anti")
     people = values.select(position, key).distinct()
-    known = settled(leaves.join(people, position).join(values, [position, key, "node"], "left").select(position, key, "node", "value"))
+    known = settled(leaves.join(people.hint("merge"), position).join(values.hint("merge"), [position, key, "node"], "left").select(position, key, "node", "value"))
     for _ in range(levels):
-        x = edges.join(known.withColumnRenamed("node", "child"), [position, "child"]).groupBy(position, key, "parent").agg(
+        x = edges.join(known.withColumnRenamed("node", "child").hint("merge"), [position, "child"]).groupBy(position, key, "parent").agg(
             F.sum(F.coalesce((F.col("value") == 1).cast("int"), F.lit(0))).alias("_y"), F.sum(F.coalesce((F.col("value") == 0).cast("int"), F.lit(0))).alias("_n"), F.count("*").alias("_c")
         )
-        g = x.join(size, [position, "parent"]).filter("_c = _size")
+        g = x.join(size.hint("merge"), [position, "parent"]).filter("_c = _size")
         need = F.when(F.col("op") == "and", F.col("_size")).when(F.col("op") == "or", 1).otherwise(F.col("need"))
         value = F.when(F.col("_y") >= need, 1).when(F.col("_size") - F.col("_n") < need, 0)
-        new = g.select(position, key, F.col("parent").alias("node"), value.alias("value")).join(known.select(position, key, "node"), [position, key, "node"], "left_anti")
+        new = g.select(position, key, F.col("parent").alias("node"), value.alias("value")).join(known.select(position, key, "node").hint("merge"), [position, key, "node"], "left_anti")
         known = settled(known.unionByName(new))
     return known
 

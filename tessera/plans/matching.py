@@ -10,7 +10,7 @@ from tessera.operators import matching as mt
 from tessera.operators import ranking as rk
 from tessera.streaming import events as st
 
-from .registry import query, table
+from .registry import query, spread, table
 from .timeseries import series
 
 #: Candidates are customers, requirements ten per position, items one per pair.
@@ -20,7 +20,7 @@ si AS (SELECT *, CASE WHEN status = 'unknown' THEN NULL WHEN status = 'missing'
 
 
 def items(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("cand"))
+    c = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("cand")), "cand", rows=10_000)  # forty items each
     x = c.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).withColumn("req", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")))
     k = (F.col("cand") * 3 + F.col("position") * 5 + F.col("req") * 7) % 7
     s = F.when(k.isin(0, 1, 6), "matched").when(k == 2, "weak").when(k == 3, "declared_only").when(k == 4, "missing").otherwise("unknown")
