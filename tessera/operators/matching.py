@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from tessera.functions.scalars import clamp, ordinal
@@ -94,6 +97,26 @@ def transferable_coverage(items: DataFrame, key: Sequence[str], status: str, sco
     return items.groupBy(*key).agg(F.avg(F.when(ok, F.coalesce(score, F.lit(0.0)))).alias("transferable_coverage"))
 
 
+def _each_key(df: DataFrame, key: str, columns: Sequence[str], run: Callable[..., list[tuple]], fields: str) -> DataFrame:
+    """(key, fields) of ``run``'s rows for each key; it gets a key's columns as lists, sorted by the first. Keys go through a task in batches, not as a data frame each."""
+    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns)), lambda a, b: F.when(a[columns[0]] < b[columns[0]], -1).when(a[columns[0]] > b[columns[0]], 1).otherwise(0)).alias("_v"))
+    out = StructType.fromDDL(f"`{key}` {df.schema[key].dataType.simpleString()}, {fields}")
+    kinds = [f.type for f in to_arrow_schema(out)]
+
+    def batch(batches):
+        for b in batches:
+            v = b.column(1)
+            at = v.offsets.to_numpy()
+            cols = [c.to_pylist() for c in v.flatten().flatten()]
+            at = at - at[0]
+            rows = [run(*(c[i:j] for c in cols)) for i, j in zip(at[:-1], at[1:])]
+            keys = b.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows])))
+            flat = [x for r in rows for x in r]
+            yield pa.RecordBatch.from_arrays([keys.cast(kinds[0])] + [pa.array([x[i] for x in flat], k) for i, k in enumerate(kinds[1:])], names=out.names)
+
+    return lists.mapInArrow(batch, out)
+
+
 def water_fill(totals: Sequence[float], mass: float, share: float) -> list[float]:
     """MAT-27. Totals capped at ``share * mass``; what is cut goes to those below the cap, by their room; the rest stays unallocated."""
     cap = share * mass
@@ -110,14 +133,13 @@ def water_fill(totals: Sequence[float], mass: float, share: float) -> list[float
 def capped_shares(df: DataFrame, key: str, requirement: str, weight: str, share: float, mass: float = 1.0) -> DataFrame:
     """MAT-27. Requirement weights of each key after capping; a key's requirements are one task's work."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(requirement)
-        w = pdf[weight].to_numpy(float)
+    def run(reqs: list, weights: list) -> list[tuple]:
+        w = np.array(weights, float)
         w = w / w.sum() * mass if w.sum() > 0 else w
-        return pd.DataFrame({key: pdf[key], requirement: pdf[requirement], "weight": water_fill(w.tolist(), mass, share)})
+        return list(zip(reqs, water_fill(w.tolist(), mass, share)))
 
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, requirement, weight).groupBy(key).applyInPandas(run, f"{key} {t[key]}, {requirement} {t[requirement]}, weight double")
+    return _each_key(df, key, [requirement, weight], run, f"{requirement} {t[requirement]}, weight double")
 
 
 def gaps(items: DataFrame, key: Sequence[str], requirement: str, score: str, importance: str, cost: str, budget: float) -> DataFrame:
@@ -157,22 +179,23 @@ def what_if_outcome(gate_before: Column, gate_after: Column, rec_before: Column,
 def greedy_actions(df: DataFrame, key: str, action: str, requirement: str, gain: str, effort: str, target: float, most: int = 5) -> DataFrame:
     """MAT-34. Actions picked one by one by marginal gain (then effort, then id) until the target or the limit; gains of one requirement do not add up."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda r: r[action])
+    def run(actions: list, reqs: list, gains: list, efforts: list) -> list[tuple]:
+        # A null gain adds nothing; null requirements are not one requirement.
+        rows = [(a, object() if r is None else r, float("nan") if g is None else g, float("nan") if e is None else e) for a, r, g, e in zip(actions, reqs, gains, efforts)]
         have: dict = {}
-        out = []
+        out: list[tuple] = []
         while rows and len(out) < most and sum(have.values()) < target - 1e-12:
-            best = min(rows, key=lambda r: (-round(max(0.0, r[gain] - have.get(r[requirement], 0.0)), 9), r[effort], r[action]))
-            plus = max(0.0, best[gain] - have.get(best[requirement], 0.0))
+            best = min(rows, key=lambda r: (-round(max(0.0, r[2] - have.get(r[1], 0.0)), 9), r[3], r[0]))
+            plus = max(0.0, best[2] - have.get(best[1], 0.0))
             if plus <= 1e-9:
                 break
-            have[best[requirement]] = have.get(best[requirement], 0.0) + plus
-            out.append({key: best[key], action: best[action], "step": len(out) + 1, "marginal": plus, "cumulative": sum(have.values())})
+            have[best[1]] = have.get(best[1], 0.0) + plus
+            out.append((best[0], len(out) + 1, plus, sum(have.values())))
             rows.remove(best)
-        return pd.DataFrame(out, columns=[key, action, "step", "marginal", "cumulative"])
+        return out
 
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, action, requirement, gain, effort).groupBy(key).applyInPandas(run, f"{key} {t[key]}, {action} {t[action]}, step long, marginal double, cumulative double")
+    return _each_key(df, key, [action, requirement, gain, effort], run, f"{action} {t[action]}, step long, marginal double, cumulative double")
 
 
 def best_subset(df: DataFrame, key: str, action: str, gain: str, target: float, most: int = 62) -> DataFrame:

@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera.operators import knowledge as kn
 from tessera.operators import matching as mt
+from tessera.operators import relational as rel
 from tessera.operators import requirements as rq
 
 
@@ -45,3 +47,32 @@ def test_graph_values_send_nothing_whole(spark):
         rq.settled = settle
     assert seen and all(set(j) <= {"SortMergeJoin"} for j in seen)
     assert {r.p: r.value for r in out.filter("node = 'root'").collect()} == {p: None if p == 3 else 1 for p in range(5)}
+
+
+def test_keys_go_through_in_batches(spark):
+    x = spark.range(60).select(F.floor(F.col("id") / 6).alias("k"), (F.col("id") % 6).alias("a"), (F.col("id") % 2).alias("r"), ((F.col("id") * 7 % 10 + 1) / 10).alias("g"), F.lit(1.0).alias("e"))
+    out = mt.greedy_actions(x, "k", "a", "r", "g", "e", 1.5)
+    assert "FlatMapGroups" not in plan(out) and "FlatMapGroups" not in plan(mt.capped_shares(x, "k", "a", "g", 0.2))
+    # Key 0 has gains 0.1, 0.8, 0.5, 0.2, 0.9, 0.6 of requirements 0, 1, 0, 1, 0, 1.
+    assert [(r.a, r.step, round(r.marginal, 6), round(r.cumulative, 6)) for r in out.filter("k = 0").orderBy("step").collect()] == [(4, 1, 0.9, 0.9), (1, 2, 0.8, 1.7)]
+    w = {r.a: round(r.weight, 6) for r in mt.capped_shares(x.filter("k = 0"), "k", "a", "g", 0.2).collect()}
+    assert len(w) == 6 and max(w.values()) <= 0.2 and abs(sum(w.values()) - 1) < 1e-5
+
+
+def test_suggestions_score_different_names_once(spark):
+    raw = spark.range(500).select("id", F.when(F.col("id") % 2 == 0, "red ring").otherwise("Blue Rings").alias("n"))
+    catalog = spark.createDataFrame([("s3", "Red Ring"), ("s1", "red ring"), ("s2", "blue rings"), ("s4", "ring"), ("s5", "stone")], "s string, l string")
+    out = kn.suggestions(raw, catalog, "id", "n", "s", "l")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append((r["rank"], r.s))
+    assert len(got) == 500 and sorted(got[0]) == [(1, "s1"), (2, "s3"), (3, "s4")] and [s for _, s in sorted(got[1])] == ["s2", "s1", "s3"]
+    assert plan(out).count("Window") and not any("id#" in l.split("[")[1] for l in plan(out).split("\n") if " Window [" in l)
+
+
+def test_within_days_does_not_shuffle_pairs(spark):
+    o = spark.range(90).select("id", (F.col("id") % 3).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")).alias("d"))
+    out = rel.within_days(o, "id", ["k"], "d", 7)
+    assert "HashAggregate" not in plan(out)
+    rows = [(i, i % 3, i % 30) for i in range(90)]
+    assert sorted((r.left, r.right) for r in out.collect()) == [(a, b) for a, k, x in rows for b, j, y in rows if a < b and k == j and abs(x - y) <= 7]
