@@ -42,6 +42,8 @@ def average_link_rounds(df: DataFrame, block: str, ident: str, vector: str, thre
     all gives. Equal vectors are one cluster from the start. Clusters without a
     neighbour at the threshold are done and leave. A cluster is named by its
     least id; null vectors and ids are left out. Raises after ``rounds``.
+    Checkpoints keep the estimate of what they came from, vectors included, so
+    no side of a join over clusters is left to be sent whole.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     x = df.filter(F.col(vector).isNotNull() & F.col(ident).isNotNull()).select(F.col(block).alias("_k"), F.col(ident).alias("_m"), unit(F.col(vector)).alias("_v"))
@@ -49,9 +51,9 @@ def average_link_rounds(df: DataFrame, block: str, ident: str, vector: str, thre
     zero = F.forall("_v", lambda v: v == 0)
     x = settled(x.withColumn("_h", F.when(zero, F.concat(F.lit("0"), F.col("_m").cast("string"))).otherwise(F.array_join(F.transform("_v", lambda v: F.round(v, 12).cast("string")), ","))))
     first = x.groupBy("_k", "_h").agg(F.min("_m").alias("_id"))
-    members = settled(x.join(first, ["_k", "_h"]).select("_k", "_m", F.col("_id").alias("_c")))
+    members = settled(x.join(first.hint("merge"), ["_k", "_h"]).select("_k", "_m", F.col("_id").alias("_c")))
     size = members.groupBy("_k", F.col("_c").alias("_id")).agg(F.count("*").cast("double").alias("_n"))
-    play = x.select("_k", F.col("_m").alias("_id"), "_v").join(size, ["_k", "_id"]).select("_k", "_id", "_n", F.transform("_v", lambda v: v * F.col("_n")).alias("_s"))
+    play = x.select("_k", F.col("_m").alias("_id"), "_v").join(size.hint("merge"), ["_k", "_id"]).select("_k", "_id", "_n", F.transform("_v", lambda v: v * F.col("_n")).alias("_s"))
     play = settled(play)
     out = f"_k {kinds[block]}, _id {kinds[ident]}, _o {kinds[ident]}, _x double"
 
@@ -74,10 +76,10 @@ def average_link_rounds(df: DataFrame, block: str, ident: str, vector: str, thre
         if moved.isEmpty():
             break
         # What has no neighbour at the threshold never gets one.
-        active = play.join(near.select("_k", "_id"), ["_k", "_id"], "left_semi").join(moved, ["_k", "_id"], "left").withColumn("_to", F.coalesce("_to", "_id"))
+        active = play.join(near.select("_k", "_id").hint("merge"), ["_k", "_id"], "left_semi").join(moved.hint("merge"), ["_k", "_id"], "left").withColumn("_to", F.coalesce("_to", "_id"))
         sums = F.aggregate(F.collect_list("_s"), F.array_repeat(F.lit(0.0), F.size(F.first("_s"))), lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
         play = settled(active.groupBy("_k", F.col("_to").alias("_id")).agg(F.sum("_n").alias("_n"), sums.alias("_s")))  # two rows a group at most
-        members = settled(members.join(moved.withColumnRenamed("_id", "_c"), ["_k", "_c"], "left").select("_k", "_m", F.coalesce("_to", "_c").alias("_c")))
+        members = settled(members.join(moved.withColumnRenamed("_id", "_c").hint("merge"), ["_k", "_c"], "left").select("_k", "_m", F.coalesce("_to", "_c").alias("_c")))
     else:
         raise RuntimeError(f"clusters still merge after {rounds} rounds")
     return members.select(F.col("_k").alias(block), F.col("_m").alias(ident), F.col("_c").alias("cluster"))
