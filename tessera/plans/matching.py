@@ -63,7 +63,7 @@ def mat20(spark, d):
 
 @query("mat28_recommendations", f"WITH {_IT}, {_DIM}, {_GATE} SELECT cand, position, CASE WHEN gate = 'failed' THEN 'not_recommended' WHEN score IS NULL OR confidence < 0.4 THEN 'insufficient_information' WHEN score >= 60 AND gate IN ('passed', 'not_applicable') THEN 'strong_match' WHEN score >= 45 THEN 'potential_match' WHEN score >= 30 THEN 'weak_match' ELSE 'not_recommended' END AS recommendation FROM ds JOIN hg USING (cand, position)")
 def mat28(spark, d):
-    x = scored(spark, d).join(gates(spark, d), ["cand", "position"])
+    x = scored(spark, d).join(gates(spark, d).hint("merge"), ["cand", "position"])
     return x.select("cand", "position", mt.recommendation(F.col("score"), F.col("confidence"), F.col("gate"), (60.0, 45.0, 30.0)).alias("recommendation"))
 
 

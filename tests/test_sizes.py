@@ -122,3 +122,12 @@ def test_rounds_of_average_link_send_nothing_whole(spark):
         ag.settled = settle
     # The number of a block's parts may be sent: a row a block.
     assert len(seen) > 4 and not any(re.search(r"BroadcastHashJoin \[[^\]]*,", p) for p in seen)
+
+
+def test_items_are_dealt_over_tasks_by_customer(spark, tmp_path):
+    from tessera.plans import matching as pm
+
+    spark.range(25_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    x = pm.items(spark, str(tmp_path))
+    assert x.rdd.getNumPartitions() == 3 and x.count() == 1_000_000
+    assert "BroadcastHashJoin" not in plan(pm.mat28(spark, str(tmp_path)))
