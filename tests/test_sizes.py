@@ -131,3 +131,16 @@ def test_items_are_dealt_over_tasks_by_customer(spark, tmp_path):
     x = pm.items(spark, str(tmp_path))
     assert x.rdd.getNumPartitions() == 3 and x.count() == 1_000_000
     assert "BroadcastHashJoin" not in plan(pm.mat28(spark, str(tmp_path)))
+
+
+def test_set_join_asks_only_pairs_that_can_reach_the_threshold(spark):
+    from tessera.operators import similarity as sim
+
+    # Any two of 41 sets of 40 elements share one; besides, sets 100 and 101 share 30 of 40.
+    rows = [(i, [min(i, j) * 1000 + max(i, j) for j in range(41) if j != i]) for i in range(41)]
+    rows += [(100, list(range(90_000, 90_040))), (101, list(range(90_010, 90_050))), (102, list(range(90_010, 90_050)))]
+    near, left, member = sim.candidates(spark.createDataFrame(rows, "id long, s array<long>"), "id", "s", 0.5)
+    assert near.count() < 820 / 4 and (100, 101) in {(r.left, r.right) for r in near.collect()}  # the prefixes alone meet in 232
+    assert left.filter("_id >= 100").count() == 60  # what one set alone holds is counted, not kept
+    got = {(r.left, r.right, round(r.similarity, 9)) for r in sim.set_join(spark.createDataFrame(rows, "id long, s array<long>"), "id", "s", 0.5).collect()}
+    assert got == {(100, 101, 0.6), (101, 102, 1.0)}
