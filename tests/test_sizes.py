@@ -177,3 +177,18 @@ def test_parts_are_scored_in_tasks_of_bounded_rows(spark, tmp_path):
     spark.range(45_000).selectExpr("id AS p_partkey", "concat('red', id) AS p_name", "'ring' AS p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     x = plans.QUERIES["ret08_dense_proxy"](spark, str(tmp_path))
     assert x.rdd.getNumPartitions() == 3 and x.count() == 45_000
+
+
+def test_pairs_of_a_label_come_from_blocks(spark, sf):
+    from tessera import plans
+    from tessera.operators import pairs
+
+    rows = [(i, i % 2, [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(30)] + [(30, 0, [0.0] * 4), (31, 0, [1.0]), (32, 0, None), (33, None, [1.0] * 4), (34, 1, [1.0, None, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "i long, c int, v array<float>")
+    good = lambda v: v is not None and None not in v and any(v)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))) if good(a) and good(b) and len(a) == len(b) else 0.0
+    want = {(i, j): cos(v, w) for i, c, v in rows for j, k, w in rows if i < j and c == k and c is not None}
+    for size, step in ((7, 10), (1000, 1 << 20)):
+        got = {(r.left, r.right): r.cosine for r in pairs.cosine_pairs(df, "c", "i", "v", size, step).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "FlatMapGroupsInArrow" in plan(plans.QUERIES["clu02_multi_view"](spark, sf))
