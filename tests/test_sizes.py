@@ -192,3 +192,19 @@ def test_pairs_of_a_label_come_from_blocks(spark, sf):
         got = {(r.left, r.right): r.cosine for r in pairs.cosine_pairs(df, "c", "i", "v", size, step).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "FlatMapGroupsInArrow" in plan(plans.QUERIES["clu02_multi_view"](spark, sf))
+
+
+def test_sets_of_common_elements_are_compared_in_blocks(spark):
+    from tessera.operators import pairs
+    from tessera.operators import similarity as sim
+
+    rows = [(i, [f"e{(i * i + k * (i % 7 + 1)) % 23}" for k in range(9)]) for i in range(80)] + [(80, []), (81, ["x"]), (82, ["x", "y"])]
+    df = spark.createDataFrame(rows, "id long, s array<string>")
+    sets = {i: frozenset(s) for i, s in rows if s}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    reps = sorted(set(first.values()))
+    want = {(i, j, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9)) for i in reps for j in reps if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.2} | {(first[i], i, 1.0) for i in sets if first[i] != i}
+    out = sim.set_join(df, "id", "s", 0.2)
+    assert "FlatMapGroupsInArrow" in plan(out) and {(r.left, r.right, round(r.similarity, 9)) for r in out.collect()} == want
+    one = spark.createDataFrame([(i, len(sets[i]), [hash(e) for e in sets[i]]) for i in reps], "i long, n int, e array<long>")
+    assert {(r.left, r.right, round(r.similarity, 9)) for r in pairs.overlap_pairs(one, "i", "n", "e", 0.2, 9, 20).collect()} == {x for x in want if x[0] in reps and x[1] in reps}
