@@ -203,11 +203,24 @@ def inflation_status(modality: Column, support: Column, required: Column, preval
 
 
 def dependency_pairs(baskets: DataFrame, context: str, item: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """AGG-22. Ordered pairs (prerequisite, advanced) with P(pre | adv) - P(adv | pre) > 0 and their joint support."""
-    b = baskets.select(context, item).distinct()
-    n = b.groupBy(item).agg(F.count("*").alias("_n"))
-    pairs = b.withColumnRenamed(item, "prerequisite").join(baskets.withColumnRenamed(item, "advanced"), context).filter("prerequisite <> advanced")
-    j = pairs.groupBy("prerequisite", "advanced").agg(F.countDistinct(context).alias("joint"), *extra)
+    """AGG-22. Ordered pairs (prerequisite, advanced) with P(pre | adv) - P(adv | pre) > 0 and their joint support.
+
+    Without ``extra`` pairs are counted where a context's items lie together:
+    nothing is joined with itself, and an item with itself counts its contexts.
+    """
+    if extra:
+        b = baskets.select(context, item).distinct()
+        n = b.groupBy(item).agg(F.count("*").alias("_n"))
+        pairs = b.withColumnRenamed(item, "prerequisite").join(baskets.withColumnRenamed(item, "advanced"), context).filter("prerequisite <> advanced")
+        j = pairs.groupBy("prerequisite", "advanced").agg(F.countDistinct(context).alias("joint"), *extra)
+    else:
+        from tessera.operators.similarity import settled
+
+        s = baskets.groupBy(context).agg(F.collect_set(item).alias("_s"))
+        pairs = s.select(context, F.explode("_s").alias("prerequisite"), "_s").select(context, "prerequisite", F.explode("_s").alias("advanced"))
+        j = settled(pairs.filter(F.col(context).isNotNull() | (F.col("prerequisite") == F.col("advanced"))).groupBy("prerequisite", "advanced").agg(F.count("*").alias("joint")))
+        n = j.filter("prerequisite = advanced").select(F.col("prerequisite").alias(item), F.col("joint").alias("_n"))
+        j = j.filter("prerequisite <> advanced")
     j = j.join(n.select(F.col(item).alias("prerequisite"), F.col("_n").alias("_np")), "prerequisite").join(n.select(F.col(item).alias("advanced"), F.col("_n").alias("_na")), "advanced")
     out = j.withColumn("p_pre_given_adv", F.col("joint") / F.col("_na")).withColumn("p_adv_given_pre", F.col("joint") / F.col("_np"))
     return out.withColumn("dependency", F.col("p_pre_given_adv") - F.col("p_adv_given_pre")).filter("dependency > 0").drop("_np", "_na")

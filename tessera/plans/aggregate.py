@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import big, freshness, log_support
 from tessera.operators import aggregate as ag
 
-from .registry import query, table
+from .registry import query, spread, table
 from .relational import FACTS, facts
 
 _BEST = "b AS (SELECT position, skill, doc, arg_max(modality, CASE modality WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 ELSE 1 END) AS modality, max(w) AS w, min(ent) AS ent, min(source) AS source, max(day) AS day FROM f GROUP BY 1, 2, 3)"
@@ -147,7 +147,8 @@ _BASKET = "bk AS (SELECT DISTINCT l_orderkey AS ctx, CASE WHEN l_partkey % 50 >
 
 def baskets(spark, d):
     k = F.col("l_partkey") % 50
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.when(k > 20, F.lit(3).cast("bigint")).otherwise(k).alias("item")).distinct()
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.when(k > 20, F.lit(3).cast("bigint")).otherwise(k).alias("item"))
+    return spread(x, "ctx", rows=500_000).distinct()  # what follows groups by context, within these tasks
 
 
 @query("agg22_dependencies", f"""WITH {_BASKET}, n AS (SELECT item, count(*) AS n FROM bk GROUP BY 1), j AS (SELECT a.item AS p, b.item AS a, count(*) AS joint FROM bk a JOIN bk b ON a.ctx = b.ctx AND a.item <> b.item GROUP BY 1, 2)

@@ -208,3 +208,16 @@ def test_sets_of_common_elements_are_compared_in_blocks(spark):
     assert "FlatMapGroupsInArrow" in plan(out) and {(r.left, r.right, round(r.similarity, 9)) for r in out.collect()} == want
     one = spark.createDataFrame([(i, len(sets[i]), [hash(e) for e in sets[i]]) for i in reps], "i long, n int, e array<long>")
     assert {(r.left, r.right, round(r.similarity, 9)) for r in pairs.overlap_pairs(one, "i", "n", "e", 0.2, 9, 20).collect()} == {x for x in want if x[0] in reps and x[1] in reps}
+
+
+def test_dependencies_join_no_contexts(spark):
+    from tessera.operators import aggregate as agg
+
+    rows = [(i % 40, (i * i) % 9) for i in range(200)] + [(None, 1), (None, 2), (3, None)]
+    out = agg.dependency_pairs(spark.createDataFrame(rows, "c long, i long").repartition(3), "c", "i")
+    assert "c#" not in "".join(x for x in plan(out).split("\n") if "Join" in x)
+    have = {k: {c for c, i in rows if i == k} for k in range(9)}
+    joint = {(p, a): len({c for c in have[p] & have[a] if c is not None}) for p in have for a in have if p != a}
+    want = {k: (n, n / len(have[k[1]]) - n / len(have[k[0]])) for k, n in joint.items() if n and n / len(have[k[1]]) - n / len(have[k[0]]) > 0}
+    got = {(r.prerequisite, r.advanced): (r.joint, r.dependency) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
