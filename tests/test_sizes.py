@@ -221,3 +221,12 @@ def test_dependencies_join_no_contexts(spark):
     want = {k: (n, n / len(have[k[1]]) - n / len(have[k[0]])) for k, n in joint.items() if n and n / len(have[k[1]]) - n / len(have[k[0]]) > 0}
     got = {(r.prerequisite, r.advanced): (r.joint, r.dependency) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_versions_take_each_line_item_once(spark, sf):
+    from tessera.plans import evolution as pe
+
+    before, after = pe.versions(spark, sf)
+    assert "Expand" not in plan(before) and "Expand" not in plan(after)
+    v = pe.facts(spark, sf).filter("version = 1998").groupBy(F.col("ent").alias("position"), "skill").agg(F.countDistinct(F.col("doc") % 4).alias("n"))
+    assert {(r.position, r.skill): r.enterprises for r in after.collect()} == {(r.position, r.skill): r.n for r in v.collect()}
