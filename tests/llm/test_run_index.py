@@ -102,3 +102,19 @@ def test_matching_statistics_from_run_ends(blocks):
     prev, after = index.matching_statistics()
     assert np.maximum(prev, after).tolist() == want
     assert index.lengths.sum() == len(text) and len(index.symbols) == len(index.heads[0]) == len(index.tails[0])
+
+
+def test_a_block_meets_one_mark(spark, tmp_path):
+    """What is known to be repeated as a whole is not looked up again on the deeper levels."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    base = [word() for _ in range(20)]
+    rows = []
+    for i in range(60):  # near copies: some of their blocks are equal, and an anchor has many different ones
+        t = list(base)
+        t[rng.randrange(20)] = word()
+        rows.append((i, i, "".join(t), False))
+    texts = spark.createDataFrame(rows, "_k1 long, _k2 long, _text string, _done boolean")
+    run_index.repeated_windows(texts, str(tmp_path), 40, [8, 38, 40], 4).collect()
+    marks = spark.read.parquet(f"{tmp_path}/8-marks")
+    assert marks.count() == marks.select("anchor", "block").distinct().count() > 0
