@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MISSING_CATALOG, OTHER_VERSION, COVERAGE, UNKNOWN_SKILL, CONTENT, OPEN = (
     "taxonomy_catalog_missing", "taxonomy_version_mismatch", "taxonomy_projection_coverage_mismatch",
     "taxonomy_projection_skill_missing", "taxonomy_projection_content_mismatch", "taxonomy_projection_not_closed",
 )
+#: Paths that one task holds, about.
+PATHS = 400_000
 RELATIONS = "array<struct<facet:string,code:string,is_primary:boolean>>"
 
 
@@ -19,20 +23,22 @@ def closure(edges: DataFrame, child: str, parent: str, rounds: int = 16) -> Data
     """(node, ancestor, depth): everything above each node with the fewest steps to it; a node on a cycle is its own ancestor.
 
     Paths double in length each round, so 16 rounds reach 65 536 levels; raises
-    beyond. Edges with a null end are left out.
+    beyond. Edges with a null end are left out. Only the longest paths are
+    prolonged: a shortest path of more steps begins with one of just so many,
+    and where there is none all are known. Paths are dealt over tasks by node.
     """
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("bigint").alias("depth")).filter("node is not null and ancestor is not null").distinct()
-    known = settled(e)
-    size = known.count()
-    for _ in range(rounds):
-        a, b = known.alias("a"), known.alias("b")
-        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = settled(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        now = grown.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
-        same = now.n == size and grown.exceptAll(known).isEmpty()
-        known, size = grown, now.n
-        if same:
+    known, step = settled(e), 1
+    for left in range(rounds, -1, -1):
+        a, b = known.filter(F.col("depth") == step).alias("a"), known.alias("b")
+        now = known.agg(F.count("*").alias("n"), F.count_if(F.col("depth") == step).alias("longest")).first()
+        if not now.longest:
             return known
+        if not left:
+            break
+        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        dealt = known.unionByName(longer).repartition(math.ceil((now.n + now.longest * step) / PATHS), "node")
+        known, step = settled(dealt.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))), 2 * step
     raise RuntimeError(f"the relation is deeper than 2^{rounds} levels")
 
 

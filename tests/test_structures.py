@@ -26,6 +26,11 @@ def above(edges):
     return out
 
 
+def test_closure_needs_no_round_to_see_that_it_is_whole(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "c long, p long")
+    assert tax.closure(chain, "c", "p", rounds=6).count() == 40 * 41 // 2  # 6 rounds reach 64 levels
+
+
 def test_closure_with_cycles_and_shortcuts(spark):
     rng = random.Random(1)
     edges = [(i, rng.randrange(i)) for i in range(1, 60)] + [(i, i - 1) for i in range(61, 90)] + [(3, 50), (70, 80), (7, 7), (None, 1), (1, None), (5, 2), (5, 2)]
