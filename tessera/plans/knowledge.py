@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from tessera.operators import knowledge as kn
 from tessera.operators import novelty as nv
 
-from .registry import query, table
+from .registry import query, spread, table
 from .relational import FACTS, facts
 
 
@@ -99,7 +99,8 @@ _CL = "cl AS (SELECT o_orderkey AS claim, o_custkey % 50 AS subject, 'REQUIRES'
 
 def claims(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(k.alias("claim"), (F.col("o_custkey") % 50).alias("subject"), F.lit("REQUIRES").alias("predicate"), (k % 40).alias("object"), F.array(k * 10 + k % 6).alias("evidence"), (F.col("o_orderstatus") == "F").alias("published"))
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", rows=100_000)
+    return o.select(k.alias("claim"), (F.col("o_custkey") % 50).alias("subject"), F.lit("REQUIRES").alias("predicate"), (k % 40).alias("object"), F.array(k * 10 + k % 6).alias("evidence"), (F.col("o_orderstatus") == "F").alias("published"))
 
 
 @query("clu14_projection_edges", f"WITH {_CL} SELECT 'position:' || subject AS source, 'claim:' || claim AS target, 'HAS_CLAIM' AS kind, CASE WHEN published THEN 'authoritative' ELSE 'observed' END AS plane FROM cl UNION ALL SELECT 'claim:' || claim, 'skill:' || object, predicate, CASE WHEN published THEN 'authoritative' ELSE 'observed' END FROM cl UNION ALL SELECT 'claim:' || claim, 'evidence:' || (claim * 10 + e), 'SUPPORTED_BY', CASE WHEN published THEN 'authoritative' ELSE 'observed' END FROM cl")
@@ -109,7 +110,8 @@ def clu14(spark, d):
 
 @query("clu15_projection_counts", f"WITH {_CL} SELECT (SELECT count(DISTINCT subject) + count(DISTINCT object) + 2 * count(*) FROM cl) AS nodes, 3 * count(*) AS edges, CAST(0 AS BIGINT) AS node_collisions, CAST(0 AS BIGINT) AS edge_collisions, CAST(0 AS BIGINT) AS dangling FROM cl")
 def clu15(spark, d):
-    return kn.verify_projection(*kn.project_graph(claims(spark, d)))
+    tasks = table(spark, d, "orders").count() // 100_000 + 1
+    return kn.verify_projection(*kn.project_graph(claims(spark, d), tasks), tasks)
 
 
 @query("clu16_diffusion_graph", "WITH o AS (SELECT DISTINCT user_id % 30 AS c, CAST(ts AS DATE) AS w, event_type AS co, CAST(user_id % 4 AS VARCHAR) AS so FROM events), x AS (SELECT *, c || ':' || w AS obs FROM o), n AS (SELECT DISTINCT c, w, obs FROM x), l AS (SELECT obs, lead(obs) OVER (PARTITION BY c ORDER BY w) AS nx FROM n) SELECT DISTINCT CAST(c AS VARCHAR) AS source, obs AS target, 'OBSERVED' AS kind FROM x UNION ALL SELECT DISTINCT obs, co, 'COMPANY' FROM x UNION ALL SELECT DISTINCT obs, so, 'SOURCE' FROM x UNION ALL SELECT obs, nx, 'NEXT' FROM l WHERE nx IS NOT NULL")

@@ -230,3 +230,15 @@ def test_versions_take_each_line_item_once(spark, sf):
     assert "Expand" not in plan(before) and "Expand" not in plan(after)
     v = pe.facts(spark, sf).filter("version = 1998").groupBy(F.col("ent").alias("position"), "skill").agg(F.countDistinct(F.col("doc") % 4).alias("n"))
     assert {(r.position, r.skill): r.enterprises for r in after.collect()} == {(r.position, r.skill): r.n for r in v.collect()}
+
+
+def test_projection_is_verified_without_joins(spark):
+    from tessera.operators import knowledge as kn
+
+    nodes = spark.createDataFrame([("a", 1), ("b", 2), (None, 1)], "node_id string, collisions long")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "x", 2), ("y", "x", 1), (None, "b", 1)], "source string, target string, collisions long")
+    for tasks in (None, 3):
+        out = kn.verify_projection(nodes, edges, tasks)
+        assert out.first().asDict() == {"nodes": 3, "node_collisions": 1, "edges": 4, "edge_collisions": 1, "dangling": 4}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert kn.verify_projection(nodes.limit(0), edges.limit(0)).first().asDict() == {"nodes": 0, "node_collisions": 0, "edges": 0, "edge_collisions": 0, "dangling": 0}
