@@ -1,6 +1,6 @@
-"""Agglomeration in rounds over the whole table: no block is one task's work (CLU-04).
+"""Average-link agglomeration of a block in one task's memory, and in rounds over the whole table (CLU-04).
 
-Each round merges what a sequential run would merge anyway, since nothing that
+Both merge what a sequential run would merge anyway, since nothing that
 is still open could come before it at the clusters it touches.
 """
 
@@ -14,8 +14,75 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import unit
 from tessera.operators.similarity import settled
 
-#: Clusters that one task compares with as many.
-ROWS = 1024
+#: Clusters that one task compares with as many; similarities that a block holds at a time.
+ROWS, STEP = 1024, 1 << 22
+
+
+def average_link_block(ids: np.ndarray, vectors: np.ndarray, threshold: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their ids, and for each the place in that order of its cluster's least id; ``threshold`` is over 0.
+
+    Equal vectors are one cluster from the start, and rows without a neighbour
+    at the threshold are done. Of the rest, a chain goes from each cluster to
+    its nearest until two are each other's, which are merged. What is kept is a
+    mean vector a cluster: similarities are computed again for one cluster at a
+    time, and only where its nearest was merged. Similarities have twelve
+    decimals, ties go to the least id.
+    """
+    order = np.argsort(ids, kind="stable")
+    v = vectors[order]
+    length = np.linalg.norm(v, axis=1)
+    v = v / np.where(length == 0, 1, length)[:, None]
+    place = np.arange(len(v))
+    if not len(v):
+        return order, place
+    _, first, same = np.unique(np.round(v, 12) + 0.0, axis=0, return_index=True, return_inverse=True)
+    root = first[same.ravel()]
+    root[length == 0] = place[length == 0]  # a zero vector is like nothing, itself included
+    name, count = np.unique(root, return_counts=True)
+    m, n = v[name], count.astype(float)
+    many, near = max(1, step // len(m)), np.zeros(len(m), bool)
+    for lo in range(0, len(m), many):
+        s = m[lo : lo + many] @ m.T
+        s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
+        near[lo : lo + many] = s.max(axis=1) >= threshold - 1e-9
+    name, m, n = name[near], m[near], n[near]
+    while len(m):
+        # What is merged or done is a zero row; rows are taken out when they are half of all.
+        best, seen, made, open_ = np.full(len(m), -1), np.zeros(len(m), int), np.zeros(len(m), int), np.ones(len(m), bool)
+        chain: list[int] = []
+        start, left = 0, len(m)
+        while chain or left > len(m) // 2:
+            if not chain:
+                start += int(open_[start:].argmax())
+                chain = [start]
+            i = chain[-1]
+            j = best[i]
+            if j < 0 or made[j] != seen[i]:
+                s = np.round(m @ m[i], 12)
+                s[i] = -np.inf
+                j = int(s.argmax())
+                if s[j] < threshold:
+                    chain.pop()
+                    m[i], open_[i] = 0, False
+                    left -= 1
+                    continue
+                best[i], seen[i] = j, made[j]
+            if j not in chain:
+                chain.append(j)
+                continue
+            a, b = min(i, j), max(i, j)
+            m[a] = (m[a] * n[a] + m[b] * n[b]) / (n[a] + n[b])
+            n[a] += n[b]
+            root[name[b]] = name[a]
+            m[b], open_[b], best[a] = 0, False, -1
+            made[a] += 1
+            made[b] += 1
+            left -= 1
+            del chain[chain.index(j) if len(chain) > 1 and chain[-2] == j else 0 :]
+        name, m, n = name[open_], m[open_], n[open_]
+    for k in np.flatnonzero(root != place):  # each hangs on a lesser one
+        root[k] = root[root[k]]
+    return order, root
 
 
 def _nearest(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> list[tuple]:
