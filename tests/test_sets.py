@@ -43,3 +43,15 @@ def test_elements_of_one_set_alone_are_not_written(spark):
     before = size()
     assert {(r.left, r.right, r.similarity) for r in sim.set_join(df, "id", "s", 0.5).collect()} == {(k, 5000 + k, 0.75) for k in range(3)}
     assert size() - before < 500_000  # the sets have 3.2 MB
+
+
+def test_event_clusters_write_no_shingles(spark):
+    folders = {Path(f.removeprefix("file:")) for f in (sim.shared_dir(spark), spark.sparkContext.getCheckpointDir())}
+    size = lambda: sum(p.stat().st_size for f in folders for p in f.rglob("*") if p.is_file())
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.hex(F.xxhash64("id", k))), " ")
+    df = spark.range(1500).select("id", F.timestamp_seconds("id").alias("ts"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), words.alias("body"))
+    df = df.unionByName(df.filter("id < 3").withColumns({"id": F.col("id") + 5000, "title": F.concat("title", F.lit(" again and again")), "body": F.concat("body", F.lit(" end"))}))
+    before = size()
+    got = {r.id: r.event for r in sim.event_groups(df, "id", "ts", "url", "title", "body").collect()}
+    assert all(got[5000 + k] == got[k] for k in range(3)) and len(got) == 1503
+    assert size() - before < 700_000  # the shingles have 2.4 MB
